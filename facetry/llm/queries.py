@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import fertility, lengths, mixing
+from facetry.llm import fertility, language, lengths, mixing, quality
 from facetry.llm.texts import checkpointed, documents
 
 
@@ -28,12 +28,26 @@ OP2_SQL = (
 )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit_quality(docs, documents(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (~quality.learnable() & F.col("doc_id").isNotNull()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    names, counts = language.language_counts(docs.where(F.coalesce(language.bucket_of(F.col("doc_id"), 5) != 0, F.lit(False))))
+    found = language.identify(docs, language.OutputCodes(names, counts))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_table(checkpointed(lengths.length_histogram(lengths.encoded_lengths(documents(spark, sf_dir)))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_source_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_source_mixing, op3_quality_classifier, op4_language_codes, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
