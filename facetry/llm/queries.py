@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import fertility, language, lengths, mixing, quality, simhash
+from facetry.llm import fertility, hnsw, language, lengths, mixing, quality, simhash
 from facetry.llm.texts import checkpointed, documents
 
 
@@ -42,6 +42,10 @@ def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op5_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.embedding_groups(documents(spark, sf_dir, "embeddings"))
+
+
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", simhash.hexadecimal(F.col("bits")).alias("fingerprint"), "component_id")
 
@@ -51,7 +55,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_source_mixing, op3_quality_classifier, op4_language_codes, op6_golay_simhash, op10_token_counts)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_source_mixing, op3_quality_classifier, op4_language_codes, op5_hnsw_near_dedup, op6_golay_simhash, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
