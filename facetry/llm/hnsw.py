@@ -79,6 +79,8 @@ class Graph:
 
     def _link_back(self, layer: int, source: np.ndarray, target: np.ndarray) -> None:
         source, target = source[target >= 0], target[target >= 0]
+        if not len(target):  # the first node of a layer
+            return
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         first = np.flatnonzero(np.append(True, target[1:] != target[:-1]))
