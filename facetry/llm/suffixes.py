@@ -22,7 +22,7 @@ LENGTH = 400
 #: Length of the k-grams whose least hash deals windows out.
 GRAM = 48
 #: Bytes handled at once; spans of a k-gram sorted in one task at most; bytes of spans sorted at once.
-PIECE, HOT, SORT = 1 << 21, 20_000, 6 << 20
+PIECE, HOT, SORT = 1 << 21, 20_000, 2 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -45,7 +45,7 @@ class Hashes:
     """Hashes of all substrings of a buffer, from sums of powers."""
 
     def __init__(self, buffer: np.ndarray):
-        value, up, self.down = powers(PIECE + 2 * LENGTH + 1 if len(buffer) <= PIECE + 2 * LENGTH else len(buffer) + 1)
+        value, up, self.down = powers(max(1 << 22, 1 << len(buffer).bit_length()))  # few sizes, as they are kept
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(value[buffer] * up[: len(buffer)], out=self.sums[1:])
 
