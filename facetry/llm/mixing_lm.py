@@ -278,20 +278,21 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def learn_online(grams: DataFrame, tables: list[np.ndarray]) -> ContextMixing:
+def learn_online(grams: DataFrame, tables) -> ContextMixing:
     """Weights, then refinement, over all counted sequences: each task learns online from its own, tasks are averaged by what they saw.
 
-    A sequence's own occurrence is left out of the counts that predict it, as a new text's would be.
+    A sequence's own occurrence is left out of the counts that predict it, as a new text's would be. ``tables`` is the
+    broadcast of the predictors' tables; the model returned has none, as tasks hold them already.
     """
-    model = ContextMixing.new(tables)
+    model = ContextMixing.new([])
     shape = model.weights.shape
 
     def over(step, model):
-        shared = grams.sparkSession.sparkContext.broadcast(model)  # the tables' fixed size
-
         def make():
+            whole = ContextMixing(tables.value, model.weights, model.refined)
+
             def each(batch):
-                found = [step(shared.value, np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for k, c in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True)]
+                found = [step(whole, np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for k, c in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True)]
                 return {"n": [float(n) for n, _ in found], "x": [x.astype(np.float64).tobytes() for _, x in found]}
 
             return each
@@ -348,13 +349,13 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     sums = [np.frombuffer(r.counts, np.int64) for r in found.where("kind = 2").select("counts").toLocalIterator()]  # two numbers a part
     n_train, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
     grams = found.where("kind = 1").select("keys", "counts")
-    model = learn_online(grams, predictor_tables(grams))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    tables = docs.sparkSession.sparkContext.broadcast(predictor_tables(grams))  # of a fixed size
+    learned = learn_online(grams, tables)
     lists = found.where("kind = 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
     kind = docs.schema[id_col].dataType
 
     def make():
-        model = shared.value
+        model = ContextMixing(tables.value, learned.weights, learned.refined)
 
         def each(batch):
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")}

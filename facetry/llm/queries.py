@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import fertility, hnsw, language, lengths, mixing, mixing_lm, quality, simhash, suffixes
+from facetry.llm import fertility, hnsw, language, lengths, mixing, mixing_lm, pieces, quality, simhash, suffixes
 from facetry.llm.texts import checkpointed, documents
 
 
@@ -55,6 +55,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def segmented(docs: DataFrame) -> DataFrame:
+    found = pieces.encode_pieces(docs)
+    scores = [F.get("scores", F.lit(i)).alias(f"score_{i + 1}") for i in range(pieces.N_BEST)]
+    return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "n_fallback", *scores, "pieces_md5", "decoded")
+
+
+def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmented(documents(spark, sf_dir))
+
+
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing_lm.score_texts(documents(spark, sf_dir), mixing_lm.learnable())
     return found.withColumn("held_out", mixing_lm.held_out())
@@ -65,7 +75,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_source_mixing, op3_quality_classifier, op4_language_codes, op5_hnsw_near_dedup, op6_golay_simhash, op7_suffix_dedup, op9_context_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_source_mixing, op3_quality_classifier, op4_language_codes, op5_hnsw_near_dedup, op6_golay_simhash, op7_suffix_dedup, op8_nbest_pieces, op9_context_mixing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
