@@ -183,6 +183,6 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     groups = near_groups(docs, id_col, text_col, width)
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    kept = docs.alias("d").join(gone.alias("g"), F.col(f"d.`{id_col}`") == F.col("g.doc_id"), "left_anti")
     known = F.col(f"`{id_col}`").isNotNull()
     return kept.where(known).dropDuplicates([id_col, text_col]).unionByName(kept.where(~known))
