@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import facetry.more  # noqa: F401
 import facetry.queries as core
 
 FOLDER = "/root/testdata/sf0.001"
