@@ -202,7 +202,8 @@ def flow_loop(spark, d):
 
 @query()
 def flow_prune(spark, d):
-    e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("long").alias("start"), (F.col("ts").cast("long") + F.col("event_id") % 5000 + 1).alias("end"))
+    start = F.col("ts").cast("timestamp").cast("long")  # the tables hold times without a zone
+    e = table(spark, d, "events").select("user_id", "event_id", start.alias("start"), (start + F.col("event_id") % 5000 + 1).alias("end"))
     return flow.pruned(e, "user_id", "start", "end")
 
 
