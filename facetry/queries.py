@@ -286,7 +286,8 @@ def text_ngrams(spark, d):
 @query("SELECT token, count(*) AS count, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS token FROM documents) GROUP BY 1")
 def text_index(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(F.transform(fn.tokens(F.col("text")), F.lower)).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("count"), F.countDistinct("doc_id").alias("docs"))
+    counted = words.groupBy("token", "doc_id").agg(F.count("*").alias("n"))  # so that a frequent token is a row a text
+    return counted.groupBy("token").agg(F.sum("n").alias("count"), F.count("doc_id").alias("docs"))
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages")
