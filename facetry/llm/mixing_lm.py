@@ -1,7 +1,8 @@
 """LM scoring by logistic context mixing: hashed-context bit predictors, gated weights and an adaptive refinement.
 
-Counts of the whole training corpus are gathered as packed rows: of words, dealt by hash, and of byte sequences, which give
-every predictor its counts. Texts are kept in blocks, so that word counts come back to a block as few rows.
+Counts of the whole training corpus are gathered as packed rows: of words, dealt by hash, of byte sequences and of words'
+beginnings, which give every predictor its counts. Texts are kept in blocks, so that word counts come back to a block as
+few rows. Weights and refinement are learned online from all training texts, block by block.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -17,17 +19,23 @@ from pyspark.sql import types as T
 
 from facetry.llm.texts import bucket_of, checkpointed, id_type, map_rows
 
-#: Context lengths in bytes, and the logarithm of the slots of each predictor's table.
-ORDERS, SLOT_BITS = (1, 2, 3, 4), (16, 20, 22, 22)
-BLOCK = 4 << 20
+#: Context lengths in bytes, 0 for the word as far as it goes, and the logarithm of the slots of each predictor's table.
+ORDERS, SLOT_BITS = (1, 2, 3, 4, 0), (16, 20, 22, 22, 24)
+#: Bytes of text in a block, and in what is looked at together; sequences that a task holds before it hands them on.
+BLOCK, SLICE, HELD = 4 << 20, 1 << 20, 3 << 20
 #: Slots of a table that are summed and sent at once.
 CHUNK = 1 << 16
 #: The byte that ends a text and stands before it; UTF-8 has no such byte. The key of the end among words.
 END, END_WORD = 0xFF, b" "
 #: Weight sets: by the longest context seen before and how often; refinement cells by that context and the mixed odds.
 SEEN, CELLS, REFINED = 4, 33, 0.5
+#: Steps of the mixed odds for which refined probabilities are tabled.
+STEPS = 1 << 12
 PRIOR, CLIP = 0.3, 8.0
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A slot's zeros and ones are a byte each: the number of the level at or below the count, in steps of a twentieth from 32 on.
+LEVELS = np.concatenate([np.arange(32), np.floor(32 * 1.05 ** np.arange(224))])
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LETTER = np.random.default_rng(2).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def blocks(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,19 +93,48 @@ def block_words(row: dict) -> tuple[list[np.ndarray], np.ndarray, list[list[byte
     return ids, np.fromiter(map(xxh64_intdigest, number), np.uint64, len(number)), texts
 
 
-def grams_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Five bytes up to and with each byte of the texts (words with single spaces) and their ends, as one number; and each text's share of them."""
+def slices(texts: list[list[bytes]]):
+    """Runs of texts of about SLICE bytes, so that what is looked at together takes bounded memory; a longer text is a run of its own."""
+    held, size = [], 0
+    for words in texts:
+        n = sum(map(len, words)) + len(words)
+        if held and size + n > SLICE:
+            yield held
+            held, size = [], 0
+        held.append(words)
+        size += n
+    if held:
+        yield held
+
+
+def sites_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte of the texts (words with single spaces) and their ends: the five bytes up to and with it, as one number;
+    a hash of its word so far with the byte below; and each text's share of them."""
     width = max(ORDERS)
     lead, tail = bytes([END]) * width, bytes([END])
     joined = [b" ".join(words) for words in texts]
     buffer = np.frombuffer(b"".join(x for t in joined for x in (lead, t, tail)), np.uint8)
     size = np.array([len(t) + 1 for t in joined], np.int64)
     starts = np.cumsum(size + width) - size  # of each text's first byte
+    at = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
     key = np.zeros(len(buffer), np.uint64)
     for k in range(width, -1, -1):
         key[width:] = key[width:] << np.uint64(8) | buffer[width - k : len(buffer) - k].astype(np.uint64)
-    at = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    return key[at], size
+    apart = (buffer == 32) | (buffer == END)
+    last = np.maximum.accumulate(np.where(apart, np.arange(len(buffer)), 0))  # what came before the word
+    place = np.arange(len(buffer)) - last
+    power = np.cumprod(np.full(int(place.max(initial=0)) + 1, _STEP))
+    total = np.cumsum(np.where(apart, np.uint64(0), _LETTER[buffer] * power[place]), dtype=np.uint64)
+    word = (total[at - 1] - total[last[at - 1]]) * _MIX
+    return key[at], (word ^ word >> np.uint64(29)) << np.uint64(8) | buffer[at].astype(np.uint64), size
+
+
+def distinct_sites(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs, where each came from, and how often each occurs."""
+    back, found = pd.factorize((keys * _STEP ^ words) * _MIX)
+    first = np.empty(len(found), np.int64)
+    first[back[::-1]] = np.arange(len(back))[::-1]
+    return keys[first], words[first], back, np.bincount(back, minlength=len(found))
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -119,14 +156,26 @@ COUNTED = "kind int, part int, block long, keys binary, counts binary"
 
 
 def counted(blocked: DataFrame, parts: int) -> DataFrame:
-    """Packed counts: of each block's words (kind 0), and of the task's five-byte sequences (kind 1), both in texts learned from."""
+    """Packed counts, in texts learned from: of each block's words (kind 0), and of the task's five-byte sequences (kind 1) and words so far with the next byte (kind 3)."""
 
     def make():
-        grams: list[tuple[np.ndarray, np.ndarray]] = []
+        sites: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 3: []}
 
-        def fold():
-            keys, back = np.unique(np.concatenate([g[0] for g in grams]), return_inverse=True)
-            grams[:] = [(keys, np.bincount(back, weights=np.concatenate([g[1] for g in grams])).astype(np.int64))]
+        def fold(held):
+            keys, back = np.unique(np.concatenate([g[0] for g in held]), return_inverse=True)
+            held[:] = [(keys, np.bincount(back, weights=np.concatenate([g[1] for g in held])).astype(np.int64))]
+
+        def add(out, kind, block, keys, counts):
+            for p, k, c in dealt(keys, counts, parts):
+                for name, v in (("kind", kind), ("part", p), ("block", block), ("keys", k.tobytes()), ("counts", c.astype("<i8").tobytes())):
+                    out[name].append(v)
+
+        def hand_on(out, most):
+            for kind, held in sites.items():
+                if sum(len(k) for k, _ in held) > most:
+                    fold(held)
+                    if len(held[0][0]) > most // 2:
+                        add(out, kind, None, *held.pop())
 
         def each(batch):
             out: dict[str, list] = {k: [] for k in ("kind", "part", "block", "keys", "counts")}
@@ -134,22 +183,17 @@ def counted(blocked: DataFrame, parts: int) -> DataFrame:
                 ids, hashes, texts = block_words(row)
                 learned = [x for x, ok in zip(ids, row["learn"], strict=True) if ok]
                 counts = np.bincount(np.concatenate(learned), minlength=len(hashes)) if learned else np.zeros(len(hashes), np.int64)
-                for p, k, c in dealt(hashes, counts, parts):
-                    for name, v in (("kind", 0), ("part", p), ("block", row["block"]), ("keys", k.tobytes()), ("counts", c.astype("<i8").tobytes())):
-                        out[name].append(v)
-                if learned:
-                    keys, n = np.unique(grams_of([t for t, ok in zip(texts, row["learn"], strict=True) if ok])[0], return_counts=True)
-                    grams.append((keys, n))
-                    if len(grams) > 4:
-                        fold()
+                add(out, 0, row["block"], hashes, counts)
+                for few in slices([t for t, ok in zip(texts, row["learn"], strict=True) if ok]):
+                    for kind, keys in zip(sites, sites_of(few)):
+                        sites[kind].append(np.unique(keys, return_counts=True))
+                    hand_on(out, HELD)
             return out
 
         def finish():
-            if not grams:
-                return None
-            fold()
-            rows = list(dealt(grams[0][0], grams[0][1], parts))
-            return {"kind": [1] * len(rows), "part": [p for p, _, _ in rows], "block": [None] * len(rows), "keys": [k.tobytes() for _, k, _ in rows], "counts": [c.astype("<i8").tobytes() for _, _, c in rows]}
+            out: dict[str, list] = {k: [] for k in ("kind", "part", "block", "keys", "counts")}
+            hand_on(out, 0)
+            return out if out["kind"] else None
 
         each.finish = finish
         return each
@@ -160,7 +204,7 @@ def counted(blocked: DataFrame, parts: int) -> DataFrame:
         total = np.bincount(back, weights=np.concatenate([np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()]).astype(np.float64)).astype(np.int64)
         part = key[1].as_py()
         if key[0].as_py():
-            return pa.table({"kind": pa.array([1], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([None], pa.int64()), "keys": pa.array([found.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([None], pa.int64()), "keys": pa.array([found.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
         sums = np.array([total.sum(), (total > 0).sum()], np.int64)
         cut = np.cumsum([len(k) for k in keys])[:-1]
         rows = [np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in np.split(total[back], cut)]
@@ -170,11 +214,12 @@ def counted(blocked: DataFrame, parts: int) -> DataFrame:
     return map_rows(blocked.select("block", "learn", "ends", "packed"), make, COUNTED).groupBy("kind", "part").applyInArrow(summed, COUNTED)
 
 
-def nodes_of(keys: np.ndarray, order: int) -> np.ndarray:
-    """For each sequence the slots of the eight bits of its last byte, after the ``ORDERS[order]`` bytes before."""
-    context = (keys >> np.uint64(8)) & np.uint64((1 << 8 * ORDERS[order]) - 1)
-    byte = keys & np.uint64(255)
-    out = np.empty((len(keys), 8), np.int64)
+def nodes_of(sites: np.ndarray, order: int) -> np.ndarray:
+    """For each site the slots of the eight bits of its last byte, after the ``ORDERS[order]`` bytes before or the word so far."""
+    length = ORDERS[order]
+    context = (sites >> np.uint64(8)) & np.uint64((1 << 8 * (length or 7)) - 1)
+    byte = sites & np.uint64(255)
+    out = np.empty((len(sites), 8), np.int64)
     for j in range(8):
         node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
         mixed = (context << np.uint64(8) | node) * _MIX
@@ -187,18 +232,36 @@ def bits_of(keys: np.ndarray) -> np.ndarray:
     return (keys[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)[None, :] & np.uint64(1)).astype(np.int64)
 
 
-def predictor_tables(grams: DataFrame) -> list[np.ndarray]:
-    """For each order the zeros and ones seen in each slot, scaled to 16 bits: fixed sizes, whatever the corpus."""
+def levels_of(pair: np.ndarray) -> np.ndarray:
+    """Zeros and ones of each slot as one number of 16 bits, scaled down together where a count is above the highest level."""
+    scale = np.maximum(1.0, pair.max(axis=1, keepdims=True) / LEVELS[-1])
+    level = np.searchsorted(LEVELS, np.where(pair > 0, np.maximum(1, np.floor(pair / scale)), 0), "right") - 1
+    return (level[:, 0] | level[:, 1] << 8).astype("<u2")
+
+
+def readings() -> tuple[np.ndarray, np.ndarray]:
+    """The odds of a one and how often it was seen (0: never, else 1 to SEEN) for each slot's number: as it is, with a zero left out, with a one left out."""
+    zeros, ones = (np.tile(x, (3, 1)) for x in (np.tile(LEVELS, 256), np.repeat(LEVELS, 256)))
+    zeros[1], ones[2] = np.maximum(zeros[1] - 1, 0), np.maximum(ones[2] - 1, 0)
+    odds, times = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -CLIP, CLIP), zeros + ones
+    return odds.astype(np.float32).ravel(), np.where(times > 0, 1 + np.digitize(times, (2, 6, 40)), 0).astype(np.int8).ravel()
+
+
+def predictor_tables(sites: DataFrame) -> list[np.ndarray]:
+    """For each order the zeros and ones seen in each slot, as levels: fixed sizes, whatever the corpus."""
 
     def make():
         def each(batch):
             out: dict[str, list] = {k: [] for k in ("order", "chunk", "slots", "counts")}
-            for k, c in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            for kind, k, c in zip(batch["kind"].to_pylist(), batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
                 keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
                 bit = bits_of(keys).ravel()
-                for order in range(len(ORDERS)):
-                    slot, back = np.unique(nodes_of(keys, order).ravel() * 2 + bit, return_inverse=True)
-                    total = np.bincount(back, weights=np.repeat(counts, 8)).astype(np.int64)
+                for order in [i for i, length in enumerate(ORDERS) if (length > 0) == (kind == 1)]:
+                    slot = nodes_of(keys, order).ravel() * 2 + bit
+                    by_slot = np.argsort(slot)
+                    slot = slot[by_slot]
+                    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+                    slot, total = slot[first], np.add.reduceat(np.repeat(counts, 8)[by_slot], first)
                     cut = np.flatnonzero(np.diff(slot // (2 * CHUNK))) + 1
                     for s, n in zip(np.split(slot, cut), np.split(total, cut), strict=True):
                         if len(s):
@@ -212,15 +275,13 @@ def predictor_tables(grams: DataFrame) -> list[np.ndarray]:
         total = np.zeros(2 * CHUNK, np.int64)
         for s, n in zip(table["slots"].to_pylist(), table["counts"].to_pylist(), strict=True):
             total[np.frombuffer(s, "<i4")] += np.frombuffer(n, "<i8")
-        pair = total.reshape(-1, 2)
-        scale = np.maximum(1.0, pair.max(axis=1, keepdims=True) / 65535.0)
-        small = np.where(pair > 0, np.maximum(1, np.floor(pair / scale)), 0).astype("<u2")
+        small = levels_of(total.reshape(-1, 2))
         return pa.table({"order": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "slots": pa.array([None], pa.binary()), "counts": pa.array([small.tobytes()], pa.binary())})
 
     kind = "order int, chunk int, slots binary, counts binary"
-    tables = [np.zeros((1 << b, 2), np.uint16) for b in SLOT_BITS]
-    for r in map_rows(grams, make, kind).groupBy("order", "chunk").applyInArrow(summed, kind).toLocalIterator():  # the tables' fixed size in all
-        small = np.frombuffer(r.counts, "<u2").reshape(-1, 2)
+    tables = [np.zeros(1 << b, np.uint16) for b in SLOT_BITS]
+    for r in map_rows(sites, make, kind).groupBy("order", "chunk").applyInArrow(summed, kind).toLocalIterator():  # the tables' fixed size in all
+        small = np.frombuffer(r.counts, "<u2")
         tables[r.order][r.chunk * CHUNK : r.chunk * CHUNK + len(small)] = small[: len(tables[r.order])]
     return tables
 
@@ -231,46 +292,48 @@ class ContextMixing:
     weights: np.ndarray
     refined: np.ndarray
 
+    def __post_init__(self):
+        self.odds, self.times = readings()
+
     @classmethod
     def new(cls, tables: list[np.ndarray]) -> ContextMixing:
-        weights = np.full(((len(ORDERS) + 1) * SEEN, len(ORDERS) + 1), 0.3)
+        weights = np.full(((len(ORDERS) + 1) * SEEN, len(ORDERS) + 1), 0.3, np.float32)
         weights[:, -1] = 0.0
         return cls(tables, weights, np.tile(logistic(np.linspace(-CLIP, CLIP, CELLS)), (len(ORDERS) + 1, 1)))
 
-    def inputs(self, keys: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, keys: np.ndarray, words: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The predictors' odds of a one and the weight set, for each of eight bits; ``without``: the bits, each left out once of what was counted."""
-        odds = np.zeros((len(keys), 8, len(ORDERS) + 1))
+        odds = np.empty((len(keys), 8, len(ORDERS) + 1), np.float32)
         odds[:, :, -1] = 0.3
-        longest, times = np.zeros((len(keys), 8), np.int64), np.zeros((len(keys), 8))
+        gate = np.zeros((len(keys), 8), np.int64)
         for order, table in enumerate(self.tables):
-            zeros, ones = np.moveaxis(table[nodes_of(keys, order)].astype(np.float64), -1, 0)
+            slot = table[nodes_of(keys if ORDERS[order] else words, order)].astype(np.int64)
             if without is not None:
-                zeros, ones = np.maximum(zeros - (1 - without), 0), np.maximum(ones - without, 0)
-            odds[:, :, order] = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -CLIP, CLIP)
-            seen = zeros + ones > 0
-            longest, times = np.where(seen, order + 1, longest), np.where(seen, zeros + ones, times)
-        return odds, longest * SEEN + np.digitize(times, (2, 6, 40))
+                slot += (without + 1) << 16
+            odds[:, :, order] = self.odds[slot]
+            times = self.times[slot]
+            gate = np.where(times > 0, (order + 1) * SEEN - 1 + times, gate)
+        return odds, gate
 
     def mix(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((odds * self.weights[gate]).sum(axis=-1), -CLIP * 1.5, CLIP * 1.5)
-
-    def refine(self, mixed: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """The probability of a one: the mixed one, averaged with what followed such odds before."""
-        at = np.clip((mixed + CLIP) / (2 * CLIP) * (CELLS - 1), 0, CELLS - 1)
-        low = np.minimum(at.astype(int), CELLS - 2)
-        row = self.refined[gate // SEEN]
-        pick = lambda i: np.take_along_axis(row, i[..., None], -1)[..., 0]
-        cell = pick(low) * (1 - at + low) + pick(low + 1) * (at - low)
-        return np.clip((1 - REFINED) * logistic(mixed) + REFINED * cell, 1e-6, 1 - 1e-6)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each sequence's last byte after the bytes before."""
-        out = np.empty(len(keys))
-        for i in range(0, len(keys), 50_000):
-            few = keys[i : i + 50_000]
-            odds, gate = self.inputs(few)
-            p, bit = self.refine(self.mix(odds, gate), gate), bits_of(few)
-            out[i : i + 50_000] = np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
+        return np.clip(np.einsum("ijk,ijk->ij", odds, self.weights[gate]), -CLIP * 1.5, CLIP * 1.5).astype(np.float64)
+
+    def refined_logs(self) -> np.ndarray:
+        """log10 of the probability of each bit, by the longest context seen, the bit and the step of the mixed odds: the mixed probability, averaged with what followed such odds before."""
+        mixed = (np.arange(STEPS) + 0.5) / STEPS * 3 * CLIP - 1.5 * CLIP
+        at = np.linspace(-CLIP, CLIP, CELLS)
+        p = np.stack([(1 - REFINED) * logistic(mixed) + REFINED * np.interp(mixed, at, row) for row in self.refined])
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        return np.log10(np.stack([1 - p, p], axis=1))
+
+    def log10(self, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """log10 probability of each site's byte after what is before it."""
+        out, logs = np.empty(len(keys)), self.refined_logs().ravel()
+        for i in range(0, len(keys), 25_000):
+            few = keys[i : i + 25_000]
+            odds, gate = self.inputs(few, words[i : i + 25_000])
+            step = ((self.mix(odds, gate) + 1.5 * CLIP) * (STEPS / (3 * CLIP))).astype(np.int64)
+            out[i : i + 25_000] = logs[(gate // SEEN * 2 + bits_of(few)) * STEPS + np.minimum(step, STEPS - 1)].sum(axis=1)
         return out
 
 
@@ -278,59 +341,52 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def learn_online(grams: DataFrame, tables) -> ContextMixing:
-    """Weights, then refinement, over all counted sequences: each task learns online from its own, tasks are averaged by what they saw.
+def learn_online(blocked: DataFrame, tables) -> ContextMixing:
+    """Weights and refinement from all texts learned from: each task learns online from its own blocks, tasks are averaged by what they saw.
 
-    A sequence's own occurrence is left out of the counts that predict it, as a new text's would be. ``tables`` is the
+    A byte's own occurrence is left out of the counts that predict it, as a new text's would be. ``tables`` is the
     broadcast of the predictors' tables; the model returned has none, as tasks hold them already.
     """
     model = ContextMixing.new([])
-    shape = model.weights.shape
-
-    def over(step, model):
-        def make():
-            whole = ContextMixing(tables.value, model.weights, model.refined)
-
-            def each(batch):
-                found = [step(whole, np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)) for k, c in zip(batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True)]
-                return {"n": [float(n) for n, _ in found], "x": [x.astype(np.float64).tobytes() for _, x in found]}
-
-            return each
-
-        return [(r.n, np.frombuffer(r.x)) for r in map_rows(grams, make, "n double, x binary").toLocalIterator()]  # a small row a part
-
-    def weigh(model, keys, counts):
-        own = ContextMixing(model.tables, model.weights.copy(), model.refined)
-        square, order = np.full(shape, 1e-3), np.random.default_rng(1).permutation(len(keys))
-        for i in range(0, len(keys), 2048):
-            few = order[i : i + 2048]
-            bit = bits_of(keys[few])
-            odds, gate = own.inputs(keys[few], bit)
-            off = (bit - logistic(own.mix(odds, gate))) * counts[few, None]
-            grad, n = np.zeros(shape), np.zeros(shape[0])
-            np.add.at(grad, gate.ravel(), (off[..., None] * odds).reshape(-1, shape[1]))
-            np.add.at(n, gate.ravel(), np.repeat(counts[few], 8))
-            grad /= np.maximum(n, 1)[:, None]
-            square += grad * grad
-            own.weights += 0.05 * grad / np.sqrt(square)
-        return counts.sum(), own.weights.ravel()
-
-    def refine(model, keys, counts):
-        total = np.zeros((2, len(ORDERS) + 1, CELLS))
-        for i in range(0, len(keys), 50_000):
-            few, n = keys[i : i + 50_000], np.repeat(counts[i : i + 50_000], 8).astype(float)
-            bit = bits_of(few)
-            odds, gate = model.inputs(few, bit)
-            cell = np.clip(np.rint((model.mix(odds, gate) + CLIP) / (2 * CLIP) * (CELLS - 1)), 0, CELLS - 1).astype(int)
-            at = (gate // SEEN * CELLS + cell).ravel()
-            total[0] += np.bincount(at, weights=n * bit.ravel(), minlength=total[0].size).reshape(total[0].shape)
-            total[1] += np.bincount(at, weights=n, minlength=total[1].size).reshape(total[1].shape)
-        return counts.sum(), total.ravel()
-
-    found = over(weigh, model)
-    if n := sum(k for k, _ in found):
-        model.weights = (sum(k * x for k, x in found) / n).reshape(shape)
-        ones, all_ = sum(x for _, x in over(refine, model)).reshape(2, *model.refined.shape)
+    n_sets, n_inputs = model.weights.shape
+
+    def make():
+        own, square = ContextMixing.new(tables.value), np.full((n_sets, n_inputs), 1e-3)
+        seen, cells = [0], np.zeros((2, len(ORDERS) + 1, CELLS))
+
+        def step(keys, words, n):
+            bit, weight = bits_of(keys), np.repeat(n, 8).astype(float)
+            odds, gate = own.inputs(keys, words, bit)
+            mixed = own.mix(odds, gate)
+            cell = np.clip(np.rint((mixed + CLIP) / (2 * CLIP) * (CELLS - 1)), 0, CELLS - 1).astype(int)
+            at, set_ = (gate // SEEN * CELLS + cell).ravel(), gate.ravel()
+            for total, w in zip(cells, (weight * bit.ravel(), weight), strict=True):
+                total += np.bincount(at, weights=w, minlength=total.size).reshape(total.shape)
+            off = ((bit - logistic(mixed)) * n[:, None]).ravel()
+            grad = np.stack([np.bincount(set_, weights=off * odds[:, :, k].ravel(), minlength=n_sets) for k in range(n_inputs)], axis=1)
+            grad /= np.maximum(np.bincount(set_, weights=weight, minlength=n_sets), 1)[:, None]
+            square[:] += grad * grad
+            own.weights += (0.05 * grad / np.sqrt(square)).astype(np.float32)
+            seen[0] += int(n.sum())
+
+        def each(batch):
+            for row in batch.to_pylist():
+                for few in slices([t for t, ok in zip(words_of(row), row["learn"], strict=True) if ok]):
+                    keys, words, _, n = distinct_sites(*sites_of(few)[:2])
+                    mixed_up = np.argsort(keys * _STEP ^ words)  # as neighbours in a text are alike
+                    keys, words, n = keys[mixed_up], words[mixed_up], n[mixed_up]
+                    for i in range(0, len(keys), 4096):
+                        step(keys[i : i + 4096], words[i : i + 4096], n[i : i + 4096])
+
+        each.finish = lambda: {"n": [float(seen[0])], "weights": [own.weights.astype(np.float64).tobytes()], "cells": [cells.tobytes()]} if seen[0] else None
+        return each
+
+    n, weights, cells = 0.0, 0.0, 0.0
+    for r in map_rows(blocked.select("learn", "ends", "packed"), make, "n double, weights binary, cells binary").toLocalIterator():  # a small row a task
+        n, weights, cells = n + r.n, weights + r.n * np.frombuffer(r.weights), cells + np.frombuffer(r.cells)
+    if n:
+        model.weights = (weights / n).reshape(model.weights.shape).astype(np.float32)
+        ones, all_ = cells.reshape(2, *model.refined.shape)
         model.refined = (ones + 20 * model.refined) / (all_ + 20)
     return model
 
@@ -340,7 +396,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
 
     A text is its lower-cased words and an end, single spaces between: both scores are log10 probabilities of that. A null or
     empty text is an end alone. Texts for which ``learn`` is null aren't learned from; with none learned from, words have
-    count 0 and bits even odds. The order of texts doesn't matter; repeated rows count as often as they occur.
+    count 0 and bits even odds. Repeated rows count as often as they occur. Counts don't depend on the order of texts; weights
+    are learned online, so in the last digits a score depends on how texts lie in partitions.
     """
     blocked = checkpointed(blocks(docs, learn, id_col, text_col))
     n_blocks = blocked.count()
@@ -348,9 +405,8 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     found = checkpointed(counted(blocked, parts))
     sums = [np.frombuffer(r.counts, np.int64) for r in found.where("kind = 2").select("counts").toLocalIterator()]  # two numbers a part
     n_train, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    grams = found.where("kind = 1").select("keys", "counts")
-    tables = docs.sparkSession.sparkContext.broadcast(predictor_tables(grams))  # of a fixed size
-    learned = learn_online(grams, tables)
+    tables = docs.sparkSession.sparkContext.broadcast(predictor_tables(found.where("kind in (1, 3)").select("kind", "keys", "counts")))  # of a fixed size
+    learned = learn_online(blocked, tables)
     lists = found.where("kind = 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
     kind = docs.schema[id_col].dataType
 
@@ -367,10 +423,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
                 for r in row["found"]:
                     counts[order[bounds[r["part"]] : bounds[r["part"] + 1]]] = np.frombuffer(r["counts"], "<u4")
                 word = np.log10((counts + 0.5) / (n_train + 0.5 * (distinct + 1)))
-                for i in range(0, len(texts), 512):  # so that a block's sequences take bounded memory
-                    keys, size = grams_of(texts[i : i + 512])
-                    some, back = np.unique(keys, return_inverse=True)
-                    total = np.add.reduceat(model.log10(some)[back], np.cumsum(size) - size)
+                for few in slices(texts):
+                    keys, words, size = sites_of(few)
+                    some, so_far, back, _ = distinct_sites(keys, words)
+                    total = np.add.reduceat(model.log10(some, so_far)[back], np.cumsum(size) - size)
                     out["score"] += total.tolist()
                     out["bits_per_byte"] += (-total * np.log2(10) / size).tolist()
                 out["doc_id"] += row["ids"]

@@ -76,11 +76,27 @@ def test_base_scores_match_plain_ones(spark):
 
 def test_bytes_after_a_context_sum_to_one():
     random = np.random.default_rng(3)
-    tables = [random.integers(0, 50, size=(1 << b, 2)).astype(np.uint16) for b in mixing_lm.SLOT_BITS]
+    tables = [mixing_lm.levels_of(random.integers(0, 50, size=(1 << b, 2))) for b in mixing_lm.SLOT_BITS]
     model = mixing_lm.ContextMixing.new(tables)
     for context in (0, 0x20746865, 0xFFFFFFFF):
-        keys = np.uint64(context << 8) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** model.log10(keys)).sum() - 1) < 1e-9
+        keys, word = np.uint64(context << 8) | np.arange(256, dtype=np.uint64), np.uint64(context * 77 << 8) | np.arange(256, dtype=np.uint64)
+        assert abs((10 ** model.log10(keys, word)).sum() - 1) < 1e-9
+
+
+def test_sites_of_words():
+    texts = [[b"the", b"then"], [], [b"in", b"the"]]
+    keys, words, size = mixing_lm.sites_of(texts)
+    assert size.tolist() == [9, 1, 7] and bytes((keys & np.uint64(255)).astype(np.uint8)) == b"the then\xff\xffin the\xff"
+    assert (words[0:3] == words[4:7]).all() and (words[0:3] == words[13:16]).all()  # a word so far, wherever it starts
+    assert words[3] != words[7] and words[8] != words[9] and len(set((words >> np.uint64(8)).tolist())) == 7
+    assert [len(x) for x in mixing_lm.slices([[b"a" * mixing_lm.SLICE], [b"b"], []])] == [1, 2]
+
+
+def test_levels_keep_small_counts():
+    pair = np.array([[0, 0], [3, 31], [0, 1], [5_000_000, 1], [40, 7]])
+    code = mixing_lm.levels_of(pair)
+    found = mixing_lm.LEVELS[np.stack([code & 255, code >> 8], axis=1)]
+    assert found[:3].tolist() == pair[:3].tolist() and found[3][1] == 1 and abs(found[4][0] - 40) <= 2 and found[4][1] == 7
 
 
 def test_context_mixing_of_nulls_and_untrained_texts(spark):
