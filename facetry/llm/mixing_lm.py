@@ -22,9 +22,9 @@ from facetry.llm.texts import bucket_of, checkpointed, id_type, map_rows
 #: Context lengths in bytes, 0 for the word as far as it goes, and the logarithm of the slots of each predictor's table.
 ORDERS, SLOT_BITS = (1, 2, 3, 4, 0), (16, 20, 22, 22, 24)
 #: Bytes of text in a block, and in what is looked at together; sequences that a task holds before it hands them on.
-BLOCK, SLICE, HELD = 4 << 20, 1 << 20, 3 << 20
+BLOCK, SLICE, HELD = 4 << 20, 2 << 20, 3 << 20
 #: Slots of a table that are summed and sent at once.
-CHUNK = 1 << 16
+CHUNK = 1 << 15
 #: The byte that ends a text and stands before it; UTF-8 has no such byte. The key of the end among words.
 END, END_WORD = 0xFF, b" "
 #: Weight sets: by the longest context seen before and how often; refinement cells by that context and the mixed odds.
@@ -152,6 +152,16 @@ def dealt(keys: np.ndarray, counts: np.ndarray, parts: int):
             yield p, keys[rows], counts[rows]
 
 
+def narrow(counts: np.ndarray) -> bytes:
+    """The counts in the fewest bytes that hold them all."""
+    return counts.astype(next(t for t in ("<u1", "<u2", "<u4", "<i8") if counts.max(initial=0) <= np.iinfo(t).max)).tobytes()
+
+
+def widened(packed: bytes, n: int) -> np.ndarray:
+    size = len(packed) // max(n, 1)
+    return np.frombuffer(packed, f"<u{size}" if size < 8 else "<i8").astype(np.int64)
+
+
 COUNTED = "kind int, part int, block long, keys binary, counts binary"
 
 
@@ -167,7 +177,7 @@ def counted(blocked: DataFrame, parts: int) -> DataFrame:
 
         def add(out, kind, block, keys, counts):
             for p, k, c in dealt(keys, counts, parts):
-                for name, v in (("kind", kind), ("part", p), ("block", block), ("keys", k.tobytes()), ("counts", c.astype("<i8").tobytes())):
+                for name, v in (("kind", kind), ("part", p), ("block", block), ("keys", k.tobytes()), ("counts", narrow(c))):
                     out[name].append(v)
 
         def hand_on(out, most):
@@ -201,10 +211,10 @@ def counted(blocked: DataFrame, parts: int) -> DataFrame:
     def summed(key, table):
         keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
         found, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate([np.frombuffer(x, "<i8") for x in table["counts"].to_pylist()]).astype(np.float64)).astype(np.int64)
+        total = np.bincount(back, weights=np.concatenate([widened(x, len(k)) for x, k in zip(table["counts"].to_pylist(), keys, strict=True)])).astype(np.int64)
         part = key[1].as_py()
         if key[0].as_py():
-            return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([None], pa.int64()), "keys": pa.array([found.tobytes()], pa.binary()), "counts": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([None], pa.int64()), "keys": pa.array([found.tobytes()], pa.binary()), "counts": pa.array([narrow(total)], pa.binary())})
         sums = np.array([total.sum(), (total > 0).sum()], np.int64)
         cut = np.cumsum([len(k) for k in keys])[:-1]
         rows = [np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in np.split(total[back], cut)]
@@ -229,7 +239,7 @@ def nodes_of(sites: np.ndarray, order: int) -> np.ndarray:
 
 
 def bits_of(keys: np.ndarray) -> np.ndarray:
-    return (keys[:, None] >> np.arange(7, -1, -1, dtype=np.uint64)[None, :] & np.uint64(1)).astype(np.int64)
+    return np.unpackbits(keys.astype(np.uint8)[:, None], axis=1)
 
 
 def levels_of(pair: np.ndarray) -> np.ndarray:
@@ -254,7 +264,8 @@ def predictor_tables(sites: DataFrame) -> list[np.ndarray]:
         def each(batch):
             out: dict[str, list] = {k: [] for k in ("order", "chunk", "slots", "counts")}
             for kind, k, c in zip(batch["kind"].to_pylist(), batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+                keys = np.frombuffer(k, np.uint64)
+                counts = widened(c, len(keys))
                 bit = bits_of(keys).ravel()
                 for order in [i for i, length in enumerate(ORDERS) if (length > 0) == (kind == 1)]:
                     slot = nodes_of(keys, order).ravel() * 2 + bit
@@ -265,7 +276,7 @@ def predictor_tables(sites: DataFrame) -> list[np.ndarray]:
                     cut = np.flatnonzero(np.diff(slot // (2 * CHUNK))) + 1
                     for s, n in zip(np.split(slot, cut), np.split(total, cut), strict=True):
                         if len(s):
-                            for name, v in (("order", order), ("chunk", s[0] // (2 * CHUNK)), ("slots", (s % (2 * CHUNK)).astype("<i4").tobytes()), ("counts", n.astype("<i8").tobytes())):
+                            for name, v in (("order", order), ("chunk", s[0] // (2 * CHUNK)), ("slots", (s % (2 * CHUNK)).astype("<u2").tobytes()), ("counts", narrow(n))):
                                 out[name].append(v)
             return out
 
@@ -274,7 +285,8 @@ def predictor_tables(sites: DataFrame) -> list[np.ndarray]:
     def summed(key, table):
         total = np.zeros(2 * CHUNK, np.int64)
         for s, n in zip(table["slots"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            total[np.frombuffer(s, "<i4")] += np.frombuffer(n, "<i8")
+            slots = np.frombuffer(s, "<u2")
+            total[slots] += widened(n, len(slots))
         small = levels_of(total.reshape(-1, 2))
         return pa.table({"order": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "slots": pa.array([None], pa.binary()), "counts": pa.array([small.tobytes()], pa.binary())})
 
@@ -305,18 +317,18 @@ class ContextMixing:
         """The predictors' odds of a one and the weight set, for each of eight bits; ``without``: the bits, each left out once of what was counted."""
         odds = np.empty((len(keys), 8, len(ORDERS) + 1), np.float32)
         odds[:, :, -1] = 0.3
-        gate = np.zeros((len(keys), 8), np.int64)
+        gate = np.zeros((len(keys), 8), np.int8)
         for order, table in enumerate(self.tables):
             slot = table[nodes_of(keys if ORDERS[order] else words, order)].astype(np.int64)
             if without is not None:
-                slot += (without + 1) << 16
+                slot += (without.astype(np.int64) + 1) << 16
             odds[:, :, order] = self.odds[slot]
             times = self.times[slot]
-            gate = np.where(times > 0, (order + 1) * SEEN - 1 + times, gate)
+            gate = np.where(times > 0, times + np.int8((order + 1) * SEEN - 1), gate)
         return odds, gate
 
     def mix(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ijk,ijk->ij", odds, self.weights[gate]), -CLIP * 1.5, CLIP * 1.5).astype(np.float64)
+        return np.clip(np.einsum("ijk,ijk->ij", odds, self.weights[gate]), -CLIP * 1.5, CLIP * 1.5)
 
     def refined_logs(self) -> np.ndarray:
         """log10 of the probability of each bit, by the longest context seen, the bit and the step of the mixed odds: the mixed probability, averaged with what followed such odds before."""
@@ -333,7 +345,7 @@ class ContextMixing:
             few = keys[i : i + 25_000]
             odds, gate = self.inputs(few, words[i : i + 25_000])
             step = ((self.mix(odds, gate) + 1.5 * CLIP) * (STEPS / (3 * CLIP))).astype(np.int64)
-            out[i : i + 25_000] = logs[(gate // SEEN * 2 + bits_of(few)) * STEPS + np.minimum(step, STEPS - 1)].sum(axis=1)
+            out[i : i + 25_000] = logs[(gate // SEEN * np.int64(2) + bits_of(few)) * STEPS + np.minimum(step, STEPS - 1)].sum(axis=1)
         return out
 
 
@@ -355,15 +367,18 @@ def learn_online(blocked: DataFrame, tables) -> ContextMixing:
         seen, cells = [0], np.zeros((2, len(ORDERS) + 1, CELLS))
 
         def step(keys, words, n):
-            bit, weight = bits_of(keys), np.repeat(n, 8).astype(float)
+            bit = bits_of(keys)
             odds, gate = own.inputs(keys, words, bit)
             mixed = own.mix(odds, gate)
-            cell = np.clip(np.rint((mixed + CLIP) / (2 * CLIP) * (CELLS - 1)), 0, CELLS - 1).astype(int)
-            at, set_ = (gate // SEEN * CELLS + cell).ravel(), gate.ravel()
-            for total, w in zip(cells, (weight * bit.ravel(), weight), strict=True):
-                total += np.bincount(at, weights=w, minlength=total.size).reshape(total.shape)
-            off = ((bit - logistic(mixed)) * n[:, None]).ravel()
-            grad = np.stack([np.bincount(set_, weights=off * odds[:, :, k].ravel(), minlength=n_sets) for k in range(n_inputs)], axis=1)
+            cell = np.clip(np.rint((mixed + CLIP) * ((CELLS - 1) / (2 * CLIP))), 0, CELLS - 1).astype(np.int64)
+            set_, weight = gate.ravel().astype(np.int64), np.repeat(n.astype(float), 8)
+            at = (bit * cells[0].size + gate // SEEN * np.int64(CELLS) + cell).ravel()
+            cells[:] += np.bincount(at, weights=weight, minlength=cells.size).reshape(cells.shape)
+            off = (bit - logistic(mixed)) * n[:, None].astype(np.float32)
+            push, order = (off[..., None] * odds).reshape(-1, n_inputs), np.argsort(set_.astype(np.int8), kind="stable")
+            here, first = np.unique(set_[order], return_index=True)
+            grad = np.zeros((n_sets, n_inputs))
+            grad[here] = np.add.reduceat(push[order], first, axis=0)
             grad /= np.maximum(np.bincount(set_, weights=weight, minlength=n_sets), 1)[:, None]
             square[:] += grad * grad
             own.weights += (0.05 * grad / np.sqrt(square)).astype(np.float32)
@@ -382,12 +397,12 @@ def learn_online(blocked: DataFrame, tables) -> ContextMixing:
         return each
 
     n, weights, cells = 0.0, 0.0, 0.0
-    for r in map_rows(blocked.select("learn", "ends", "packed"), make, "n double, weights binary, cells binary").toLocalIterator():  # a small row a task
+    for r in checkpointed(map_rows(blocked.select("learn", "ends", "packed"), make, "n double, weights binary, cells binary")).toLocalIterator():  # a small row a task
         n, weights, cells = n + r.n, weights + r.n * np.frombuffer(r.weights), cells + np.frombuffer(r.cells)
     if n:
         model.weights = (weights / n).reshape(model.weights.shape).astype(np.float32)
-        ones, all_ = cells.reshape(2, *model.refined.shape)
-        model.refined = (ones + 20 * model.refined) / (all_ + 20)
+        zeros, ones = cells.reshape(2, *model.refined.shape)
+        model.refined = (ones + 20 * model.refined) / (zeros + ones + 20)
     return model
 
 

@@ -104,3 +104,9 @@ def test_context_mixing_of_nulls_and_untrained_texts(spark):
     found = {r.doc_id: r for r in mixing_lm.score_texts(docs, mixing_lm.F.lit(False)).collect()}
     assert found[1].n_tokens == found[2].n_tokens == 1 and found[3].n_tokens == 4 and found[3].n_known == 0 and found[3].train_tokens == 0
     assert abs(found[1].score - 8 * math.log10(0.5)) < 0.5
+
+
+def test_counts_packed_and_read_again():
+    for top in (0, 200, 300, 70_000, 1 << 40):
+        counts = np.array([0, 1, top])
+        assert mixing_lm.widened(mixing_lm.narrow(counts), 3).tolist() == counts.tolist()
