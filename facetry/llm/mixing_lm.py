@@ -228,14 +228,18 @@ def nodes_of(sites: np.ndarray, order: int) -> np.ndarray:
     """For each site the slots of the eight bits of its last byte, after the ``ORDERS[order]`` bytes before or the word so far."""
     length = ORDERS[order]
     context = (sites >> np.uint64(8)) & np.uint64((1 << 8 * (length or 7)) - 1)
-    byte = sites & np.uint64(255)
-    out = np.empty((len(sites), 8), np.int64)
-    for j in range(8):
-        node = np.uint64(1 << j) | byte >> np.uint64(8 - j)
-        mixed = (context << np.uint64(8) | node) * _MIX
+    high, low = sites >> np.uint64(4) & np.uint64(15), sites & np.uint64(15)
+
+    def start(key):
+        mixed = key * _MIX
         mixed ^= mixed >> np.uint64(29)
-        out[:, j] = (mixed * _MIX >> np.uint64(64 - SLOT_BITS[order])).astype(np.int64)
-    return out
+        return mixed * _MIX >> np.uint64(64 - SLOT_BITS[order])
+
+    out = np.empty((len(sites), 8), np.uint64)
+    for k, (half, base) in enumerate(((high, start(context << np.uint64(8))), (low, start(context << np.uint64(8) | np.uint64(16) | high)))):
+        for j in range(4):  # the slots of four bits lie together
+            out[:, 4 * k + j] = base + (np.uint64(1 << j) | half >> np.uint64(4 - j))
+    return (out & np.uint64((1 << SLOT_BITS[order]) - 1)).astype(np.int64)
 
 
 def bits_of(keys: np.ndarray) -> np.ndarray:
@@ -298,6 +302,18 @@ def predictor_tables(sites: DataFrame) -> list[np.ndarray]:
     return tables
 
 
+def packed(tables: list[np.ndarray]) -> list[bytes]:
+    import zstandard
+
+    return [zstandard.ZstdCompressor(level=1).compress(t.tobytes()) for t in tables]
+
+
+def unpacked(tables: list[bytes]) -> list[np.ndarray]:
+    import zstandard
+
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(t), np.uint16) for t in tables]
+
+
 @dataclass
 class ContextMixing:
     tables: list[np.ndarray]
@@ -357,13 +373,13 @@ def learn_online(blocked: DataFrame, tables) -> ContextMixing:
     """Weights and refinement from all texts learned from: each task learns online from its own blocks, tasks are averaged by what they saw.
 
     A byte's own occurrence is left out of the counts that predict it, as a new text's would be. ``tables`` is the
-    broadcast of the predictors' tables; the model returned has none, as tasks hold them already.
+    broadcast of the predictors' packed tables; the model returned has none, as tasks hold them already.
     """
     model = ContextMixing.new([])
     n_sets, n_inputs = model.weights.shape
 
     def make():
-        own, square = ContextMixing.new(tables.value), np.full((n_sets, n_inputs), 1e-3)
+        own, square = ContextMixing.new(unpacked(tables.value)), np.full((n_sets, n_inputs), 1e-3)
         seen, cells = [0], np.zeros((2, len(ORDERS) + 1, CELLS))
 
         def step(keys, words, n):
@@ -420,13 +436,13 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     found = checkpointed(counted(blocked, parts))
     sums = [np.frombuffer(r.counts, np.int64) for r in found.where("kind = 2").select("counts").toLocalIterator()]  # two numbers a part
     n_train, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    tables = docs.sparkSession.sparkContext.broadcast(predictor_tables(found.where("kind in (1, 3)").select("kind", "keys", "counts")))  # of a fixed size
+    tables = docs.sparkSession.sparkContext.broadcast(packed(predictor_tables(found.where("kind in (1, 3)").select("kind", "keys", "counts"))))  # of a fixed size
     learned = learn_online(blocked, tables)
     lists = found.where("kind = 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
     kind = docs.schema[id_col].dataType
 
     def make():
-        model = ContextMixing(tables.value, learned.weights, learned.refined)
+        model = ContextMixing(unpacked(tables.value), learned.weights, learned.refined)
 
         def each(batch):
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")}
