@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import mixing, quality, queries, simhash, suffixes
+from facetry.llm import mixing, near_copies, quality, queries, suffixes
 from facetry.llm.texts import shared_folder
 
 
@@ -15,8 +15,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest identifier, of each group of linked fingerprints."""
-    return simhash.first_of_groups(docs)
+    """One document, that of the smallest identifier, of each group of linked fingerprints or shingle sets."""
+    return near_copies.first_of_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

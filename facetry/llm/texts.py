@@ -93,6 +93,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row``, a number that no other row has, and ``of``, all columns; written to the shared folder, so that numbers stay."""
+    folder = shared_folder(docs.sparkSession)
+    docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("of")).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def entropy(counts) -> float:
     total = sum(counts)
     return -sum(c / total * math.log2(c / total) for c in counts if c) if total else 0.0
