@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.texts import checkpointed, id_type, map_rows, record_batch
+from facetry.llm.texts import checkpointed, id_type, map_rows, numbered, record_batch
 
 LENGTH = 400
 #: Length of the k-grams whose least hash deals windows out.
@@ -273,8 +273,12 @@ def spans_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return map_rows(texts, make, f"doc_id {id_type(docs, 'doc_id')}, k1 long, k2 long, lo long, h long, hot boolean, span binary")
 
 
-def keyed_texts(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Two hashes name a row: of its identifier with its text, and of its text."""
+def keyed_texts(docs: DataFrame, id_col: str, text_col: str, first_stays: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Two keys name a row: hashes of its identifier with its text, and of its text; or, where rows that are equal in both differ in what they lose, its number in a written table, and 0."""
+    if first_stays:
+        table = numbered(docs)
+        of = F.col("of").getField
+        return table.select(of(id_col).alias("doc_id"), F.col("row").alias("k1"), F.lit(0).cast("long").alias("k2"), of(text_col).cast("string").cast("binary").alias("text"), *(of(c).alias(f"row_{i}") for i, c in enumerate(carry)))
     text = F.col(f"`{text_col}`").cast("string")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{id_col}`"), text, F.lit("row")).alias("k1"), F.xxhash64(text, F.lit("text")).alias("k2"), text.cast("binary").alias("text"), *(F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(carry)))
 
@@ -329,11 +333,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A byte goes if a 400-byte string that covers it occurs at an earlier place, the order being that of the identifiers, then
     of places (or, without ``first_stays``, at any other place, in the same text included). ``characters`` leaves cut
-    characters whole. Null texts are empty; texts under 400 bytes lose nothing; rows that repeat identifier and text count as
-    places of their own and are treated alike, so that all of them lose what the first keeps only if it recurs elsewhere.
+    characters whole. Null texts are empty; texts under 400 bytes lose nothing; rows that repeat identifier and text, or have
+    a null identifier, are places of their own, so that the first of them keeps its text.
     ``carry`` names columns that come along as row_0, row_1 and so on.
     """
-    texts = keyed_texts(docs, id_col, text_col, carry)
+    texts = keyed_texts(docs, id_col, text_col, first_stays, carry)
     lists = repeated_ranges(texts, first_stays).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     more = tuple(f"row_{i}" for i in range(len(carry)))
 
