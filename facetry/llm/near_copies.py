@@ -10,7 +10,7 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.llm.components import connected_components
@@ -90,14 +90,24 @@ def described(rows: DataFrame) -> DataFrame:
     return map_rows(rows, make, f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits long, n long, node long, bands array<long>")
 
 
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of the pairs ``a``, ``b`` of rows those whose shingle sets have a Jaccard similarity of 0.8 or more."""
+def rows_of(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of a numbered table that ``rows`` names: a bit for each row is sent to all tasks, so that texts aren't shuffled."""
+    maps = rows.groupBy(F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits_of"))
+    place = F.bitmap_bit_position("row")
+    byte = F.conv(F.hex(F.substring("bits_of", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = table.withColumn("bucket", F.bitmap_bucket_number("row")).join(F.broadcast(maps), "bucket")
+    return marked.where(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (place % 8 + 1).cast("int"))) != 0).drop("bucket", "bits_of")
+
 
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     def make():
         return lambda batch: {"row": batch["row"], "shingles": [shingles(t or b"").tobytes() for t in batch["text"].to_pylist()]}
 
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = checkpointed(map_rows(texts.join(wanted, "row", "left_semi").select("row", "text"), make, "row long, shingles binary"))
+    return map_rows(rows_of(texts, wanted).select("row", "text"), make, "row long, shingles binary")
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of the pairs ``a``, ``b`` of rows those whose shingle sets have a Jaccard similarity of 0.8 or more."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts"))  # a hub's set goes to as many tasks as its pairs need
     left = sets.join(salts.withColumnRenamed("a", "row"), "row").select(F.col("row").alias("a"), F.col("shingles").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     dealt = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
@@ -107,8 +117,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         def each(batch):
             x, y = ([np.frombuffer(s, np.uint64) for s in batch[k].to_pylist()] for k in ("x", "y"))
             ok = np.array([9 * len(np.intersect1d(p, q, assume_unique=True)) >= 4 * (len(p) + len(q)) for p, q in zip(x, y, strict=True)], bool)
-            where = np.flatnonzero(ok)
-            return {k: batch[k].take(_indices(where)) for k in ("a", "b")}
+            return {k: batch[k].take(_indices(np.flatnonzero(ok))) for k in ("a", "b")}
 
         return each
 
@@ -131,20 +140,22 @@ def alike_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     First each text is compared with a leader of each of its bands. Then all pairs of a band that these links leave apart are.
     Leaders are the least of three orders, so that bands of the same texts mostly have the same leaders.
     """
-    keys = nodes.select("unit", "n", F.posexplode("bands").alias("band", "key")).withColumn("rank", F.xxhash64("unit", F.col("band") % 3))
-    leaders = keys.groupBy("band", "key").agg(F.min(F.struct("rank", "unit", "n")).alias("leader"), F.count("*").alias("times")).where("times > 1")
-    keys = checkpointed(keys.join(leaders, ["band", "key"]).select("band", "key", "unit", "n", "times", F.col("leader.unit").alias("leader"), F.col("leader.n").alias("leader_n")))
+    band = Window.partitionBy("key")
+    keys = nodes.select("unit", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    keys = keys.withColumn("times", F.count("*").over(band)).where("times > 1").withColumn("leader", F.min(F.struct(F.xxhash64("unit", F.pmod("key", F.lit(3))), "unit", "n")).over(band))
+    keys = checkpointed(keys.select("key", "unit", "n", "times", F.col("leader.unit").alias("leader"), F.col("leader.n").alias("leader_n")))
+    sets = checkpointed(sets_of(texts, keys.select(F.col("unit").alias("row")).distinct()))
     tried = checkpointed(keys.where((F.col("unit") != F.col("leader")) & of_like_size("n", "leader_n")).select(F.least("leader", "unit").alias("a"), F.greatest("leader", "unit").alias("b")).distinct())
-    first = checkpointed(verified(texts, tried))
+    first = checkpointed(verified(sets, tried))
     labels = connected_components(first).toDF("unit", "label")
-    labelled = keys.join(labels, "unit", "left").select("band", "key", "unit", "n", "times", F.coalesce("label", "unit").alias("label"))
-    mixed_bands = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "key")
-    rest = checkpointed(labelled.join(mixed_bands, ["band", "key"]).withColumn("salts", F.ceil(F.col("times") / HOT).cast("int")))
-    left = rest.withColumn("salt", F.pmod(F.xxhash64("unit"), F.col("salts")).cast("int")).select("band", "key", "salt", F.col("unit").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    right = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("band", "key", "salt", F.col("unit").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    pairs = left.join(right, ["band", "key", "salt"]).where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & of_like_size("an", "bn"))
+    labelled = keys.join(labels, "unit", "left").select("key", "unit", "n", "times", F.coalesce("label", "unit").alias("label"))
+    apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    rest = checkpointed(labelled.join(apart, "key").withColumn("salts", F.ceil(F.col("times") / HOT).cast("int")))
+    left = rest.withColumn("salt", F.pmod(F.xxhash64("unit"), F.col("salts")).cast("int")).select("key", "salt", F.col("unit").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
+    right = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("key", "salt", F.col("unit").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
+    pairs = left.join(right, ["key", "salt"]).where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & of_like_size("an", "bn"))
     untried = checkpointed(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    return first.union(verified(texts, untried))
+    return first.union(verified(sets, untried))
 
 
 def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,4 +176,4 @@ def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str
     alike = alike_links(texts, checkpointed(nodes.select(F.col("b").alias("unit"), "n", "bands")))
     groups = connected_components(pairs.union(same).union(alike)).toDF("unit", "group")
     chosen = units.join(groups, "unit", "left").groupBy(F.coalesce("group", "unit").alias("group")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
-    return table.join(chosen, "row", "left_semi").select(*(F.col("of").getField(c).alias(c) for c in docs.columns))
+    return rows_of(table, chosen).select(*(F.col("of").getField(c).alias(c) for c in docs.columns))
