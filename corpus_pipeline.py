@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from facetry.llm import mixing, near_copies, quality, queries, suffixes
 from facetry.llm.texts import shared_folder
 
+#: Bytes of the shortest passage that is cut when it repeats: below that of any 51 words of prose (six bytes a word or so).
+PASSAGE = 250
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, scores at least even."""
@@ -20,9 +23,9 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur earlier; every document stays, a null text null."""
+    """Texts without the passages of PASSAGE bytes or more that occur earlier; every document stays, a null text null."""
     names = docs.columns
-    found = suffixes.without_repeats(docs, carry=tuple(names))
+    found = suffixes.without_repeats(docs, carry=tuple(names), length=PASSAGE)
     text = F.when(F.col(f"row_{names.index('text')}").isNotNull(), F.col("kept").cast("string"))
     new = {"text": text, "n_chars": F.length(text).cast("long")}
     return found.select(*(new.get(c, F.col(f"row_{i}")).alias(c) for i, c in enumerate(names)))

@@ -2,8 +2,9 @@
 
 A corpus has too many suffixes for one order. Windows (the strings sought, of fixed length) are dealt by the least hash of
 their k-grams: equal windows have equal least hashes, so each part can be put in suffix order on its own. Neighbouring windows
-of a text mostly share the least k-gram, and form a run, one row of the shuffle. Runs that are equal as a whole are settled
-by their hashes; only runs that share a k-gram but differ send their bytes to be sorted.
+of a text mostly share the least k-gram, and form a run, one row of the shuffle. Runs that are equal as a whole are summed
+before they are shuffled, and the first of them stands for all. Only different runs of one k-gram send their bytes: these
+are put in suffix order, and the previous and next smaller positions in it give each window's longest previous factor.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.texts import checkpointed, id_type, map_rows, numbered, record_batch
@@ -21,8 +22,12 @@ from facetry.llm.texts import checkpointed, id_type, map_rows, numbered, record_
 LENGTH = 400
 #: Length of the k-grams whose least hash deals windows out.
 GRAM = 48
-#: Bytes handled at once; spans of a k-gram sorted in one task at most; bytes of spans sorted at once.
-PIECE, HOT, SORT = 1 << 21, 20_000, 2 << 20
+#: Bytes handled at once; bytes of a k-gram's spans that are sorted in one task at most; bytes of spans sorted at once.
+PIECE, HOT, SORT = 1 << 21, 4 << 20, 2 << 20
+#: A run that makes up more than this share of all runs is common: there are fewer than 1 / COMMON of those.
+COMMON = 1 / 2000
+#: Bytes by which suffixes are first ranked; each further round doubles the length.
+FIRST = 7
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -49,9 +54,6 @@ class Hashes:
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(value[buffer] * up[: len(buffer)], out=self.sums[1:])
 
-    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mixed((self.sums[start + length] - self.sums[start]) * self.down[start])
-
     def all(self, length: int) -> np.ndarray:
         n = len(self.sums) - length
         return mixed((self.sums[length:] - self.sums[:n]) * self.down[:n])
@@ -69,8 +71,9 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray] | None:
-    """Runs of windows of the joined texts: text number, first window, number of windows, least k-gram hash, hash of the run's bytes, and whether a k-gram of that hash recurs in the text."""
-    buffer = np.frombuffer(b"".join(texts), np.uint8)
+    """Runs of windows of the joined texts: text number, first window, number of windows, least k-gram hash, 128 bits of hash of the run's bytes, and whether a k-gram of that hash recurs in the text."""
+    joined = b"".join(texts)
+    buffer = np.frombuffer(joined, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - [len(t) for t in texts]
     if len(buffer) < length:
@@ -98,15 +101,24 @@ def window_runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> d
     seen = np.sort(mixed(grams[rare] + owner * _M1))
     own = mixed(h + text.astype(np.uint64) * _M1)
     again = np.searchsorted(seen, own, side="right") - np.searchsorted(seen, own, side="left") > 1
-    return {"text": text, "lo": first - starts[text], "n": n, "h": h.view(np.int64), "sh": hashes.of(first, n + length - 1).view(np.int64), "again": again & (n > 1)}
+    whole = digests(joined, first, first + n + length - 1)
+    return {"text": text, "lo": first - starts[text], "n": n, "h": h.view(np.int64), "s1": whole[:, 0], "s2": whole[:, 1], "again": again & (n > 1)}
+
+
+def digests(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of hash of each of the substrings, as two longs."""
+    from xxhash import xxh3_128_digest
+
+    view = memoryview(text)
+    return np.frombuffer(b"".join([xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
 
-def pieces_of(texts: list[bytes | None]):
+def pieces_of(texts: list[bytes | None], length: int = LENGTH):
     """Groups of (row, offset, bytes) of about PIECE bytes; a longer text is cut, with an overlap, so that each window is in one piece."""
     group, size = [], 0
     for i, t in enumerate(texts):
-        for at in range(0, max(0, len(t or b"") - LENGTH + 1), PIECE):
-            part = t[at : at + PIECE + LENGTH - 1]
+        for at in range(0, max(0, len(t or b"") - length + 1), PIECE):
+            part = t[at : at + PIECE + length - 1]
             if group and size + len(part) > PIECE:
                 yield group
                 group, size = [], 0
@@ -116,14 +128,14 @@ def pieces_of(texts: list[bytes | None]):
         yield group
 
 
-def text_runs(docs: DataFrame) -> DataFrame:
+def text_runs(docs: DataFrame, length: int) -> DataFrame:
     def make():
         def each(batch):
             found = []
-            for group in pieces_of(batch["text"].to_pylist()):
-                if (r := window_runs([p for _, _, p in group])) is not None:
+            for group in pieces_of(batch["text"].to_pylist(), length):
+                if (r := window_runs([p for _, _, p in group], length, min(GRAM, length))) is not None:
                     row, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-                    found.append({"row": row[r["text"]], "lo": r["lo"] + offset[r["text"]]} | {k: r[k] for k in ("n", "h", "sh", "again")})
+                    found.append({"row": row[r["text"]], "lo": r["lo"] + offset[r["text"]]} | {k: r[k] for k in ("n", "h", "s1", "s2", "again")})
             if not found:
                 return None
             out = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
@@ -132,47 +144,120 @@ def text_runs(docs: DataFrame) -> DataFrame:
 
         return each
 
-    return map_rows(docs.select("doc_id", "k1", "k2", "text"), make, f"doc_id {id_type(docs, 'doc_id')}, k1 long, k2 long, lo long, n long, h long, sh long, again boolean")
+    return map_rows(docs.select("doc_id", "k1", "k2", "text"), make, f"doc_id {id_type(docs, 'doc_id')}, k1 long, k2 long, lo long, n long, h long, s1 long, s2 long, again boolean")
 
 
-def previous_factors(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each window's string occurs at a smaller, and at a greater position, the rows of ``windows`` being in order of position.
+class Suffixes:
+    """The suffixes of spans that are windows or longer, in suffix order to a depth of at least ``length`` bytes.
 
-    The windows are put in suffix order, equal ones by position. A longest previous factor is the greater of the common
-    prefixes with the nearest entries of smaller position before and after in that order; it has the window's length if and
-    only if the entry before is equal, as equal entries stand together by rising position. The next factor likewise.
+    Those that share less than ``least`` bytes (the greatest ranked depth up to the length) with any other are left out.
+
+    Suffixes are ranked by their first bytes, then by twice as many in each round, until the depth is reached or all differ.
+    Two suffixes have the same rank of a round exactly if they agree in all its bytes, so that ranks tell common prefixes.
     """
-    order = np.argsort(np.ascontiguousarray(windows).view(f"V{windows.shape[1]}").ravel(), kind="stable")
-    same = np.zeros(len(order) + 1, bool)
-    same[1:-1] = (windows[order[1:]] == windows[order[:-1]]).all(axis=1)
-    before, after = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    before[order], after[order] = same[:-1], same[1:]
-    return before, after
+
+    def __init__(self, spans: list[bytes], length: int):
+        size = np.array([len(s) for s in spans], np.int64)
+        ends = np.cumsum(size)
+        buffer = np.frombuffer(b"".join(spans) + bytes(8), np.uint8)
+        n = int(ends[-1])
+        self.end = np.repeat(ends, size)
+        left = np.minimum(self.end - np.arange(n), FIRST).astype(np.uint64)
+        key = np.zeros(n, np.uint64)
+        for k in range(FIRST):
+            key = key << np.uint64(8) | np.where(left > k, buffer[k : n + k], 0).astype(np.uint64)
+        self.key = key << np.uint64(8) | left
+        order = np.argsort(self.key, kind="stable")
+        first, tied = equals(self.key[order], np.arange(n))
+        rank = np.empty(n, np.int64)
+        rank[order] = first
+        self.depths, self.ranks = [FIRST], [rank]
+        while self.depths[-1] < length and len(tied):
+            d, at = self.depths[-1], order[tied]
+            after = np.where(at + d < self.end[at], rank[np.minimum(at + d, n - 1)] + 1, 0)
+            by = rank[at] * np.int64(n + 1) + after
+            again = np.argsort(by, kind="stable")
+            order[tied] = at[again]
+            first, more = equals(by[again], tied)
+            rank = rank.copy()
+            rank[order[tied]] = first
+            tied = tied[more]
+            self.depths.append(2 * d)
+            self.ranks.append(rank)
+        ranked = len([d for d in self.depths if d <= length])
+        self.starts = np.flatnonzero(self.end - np.arange(n) >= length)
+        chosen = np.zeros(n, bool)
+        chosen[self.starts] = True
+        if ranked:
+            chosen &= np.bincount(self.ranks[ranked - 1], minlength=n)[self.ranks[ranked - 1]] > 1
+        self.order, self.least = order[chosen[order]], self.depths[ranked - 1] if ranked else 0
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The common prefixes of suffixes, in bytes; those deeper than the order are told as its depth, those of less than ``least`` bytes as 0."""
+        if not self.least:
+            return self._common(a, b)
+        rank = self.ranks[self.depths.index(self.least)]
+        out, some = np.zeros(len(a), np.int64), np.flatnonzero(rank[a] == rank[b])
+        out[some] = self._common(a[some], b[some])
+        return out
+
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        i, j, total, limit = a, b, np.zeros(len(a), np.int64), np.minimum(self.end[a] - a, self.end[b] - b)
+        last = len(self.end) - 1
+        for d, rank in zip(self.depths[::-1], self.ranks[::-1], strict=True):
+            same = (total < limit) & (rank[np.minimum(i, last)] == rank[np.minimum(j, last)])
+            i, j, total = i + d * same, j + d * same, total + d * same
+        other, same = self.key[np.minimum(i, last)] ^ self.key[np.minimum(j, last)], total < limit
+        for k in range(FIRST):
+            same = same & (other >> np.uint64(8 * (FIRST - k)) & np.uint64(255) == 0)
+            total = total + same
+        return np.minimum(total, limit)
+
+
+def equals(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted keys at these places: the first place of each one's equals, and which of them have any."""
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    return places[np.flatnonzero(new)[np.cumsum(new) - 1]], np.flatnonzero(~(new & np.append(new[1:], True)[: len(keys)]))
+
+
+def nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1: pointers jump over greater values, all side by side at first."""
+    at = np.arange(len(x)) - 1
+    todo = np.arange(len(x))
+    for _ in range(400):
+        todo = todo[(at[todo] >= 0) & (x[at[todo]] > x[todo])]
+        if not len(todo):
+            return at
+        at[todo] = at[at[todo]]
+    jumps, values = at.tolist(), x.tolist()
+    for i in todo.tolist():  # in order, so that what lies before has its last pointer and is jumped over once
+        k = jumps[i]
+        while k >= 0 and values[k] > values[i]:
+            k = jumps[k]
+        jumps[i] = k
+    return np.array(jumps)
+
+
+def longest_factors(suffixes: Suffixes, later: bool = False) -> np.ndarray:
+    """For each window, in order of position, its longest previous factor: the greater of the common prefixes with the previous and the next smaller position in suffix order. ``later``: with greater positions, the longest next factor."""
+    order = suffixes.order
+    position = -order if later else order
+    before, after = nearest_smaller(position), len(order) - 1 - nearest_smaller(position[::-1])[::-1]
+    number, found = np.empty(len(suffixes.end), np.int64), np.zeros(len(order), np.int64)
+    for other in (before, after):
+        ok = np.flatnonzero((other >= 0) & (other < len(order)))
+        found[ok] = np.maximum(found[ok], suffixes.common(order[ok], order[other[ok]]))
+    number[suffixes.starts] = np.arange(len(suffixes.starts))
+    out = np.zeros(len(suffixes.starts), np.int64)
+    out[number[order]] = found
+    return out
 
 
-def repeated_windows(spans: list[bytes], first_stays: bool) -> np.ndarray:
+def repeated_windows(spans: list[bytes], first_stays: bool, length: int = LENGTH) -> np.ndarray:
     """For all windows of all spans, one after the other, whether the window goes: its string occurs elsewhere (or, earlier)."""
-    buffer = np.frombuffer(b"".join(spans), np.uint8)
-    ends = np.cumsum([len(s) for s in spans])
-    ok = np.ones(len(buffer) - LENGTH + 1, bool)
-    for e in ends[:-1]:
-        ok[max(0, e - LENGTH + 1) : e] = False  # windows across two spans
-    at = np.flatnonzero(ok)
-    hashed = Hashes(buffer).of(at, LENGTH)
-    order = np.argsort(hashed, kind="stable")
-    same = np.zeros(len(at) + 1, bool)
-    same[1:-1] = hashed[order[1:]] == hashed[order[:-1]]
-    twice = order[same[:-1] | same[1:]]  # windows that may be equal to another, hash by hash
-    goes = np.zeros(len(at), bool)
-    views = np.lib.stride_tricks.sliding_window_view(buffer, LENGTH)
-    cut, classes = 0, np.flatnonzero(np.append(hashed[twice][1:] != hashed[twice][:-1], True)) + 1
-    while cut < len(twice):  # whole classes of about 20,000 windows
-        k = classes[min(len(classes) - 1, np.searchsorted(classes, cut + 20_000))]
-        few = np.sort(twice[cut:k])
-        before, after = previous_factors(views[at[few]])
-        goes[few] = before if first_stays else before | after
-        cut = k
-    return goes
+    suffixes = Suffixes(spans, length)
+    goes = longest_factors(suffixes) >= length
+    return goes if first_stays else goes | (longest_factors(suffixes, later=True) >= length)
 
 
 def flagged(goes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,7 +272,7 @@ def flagged(goes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 RANGES = "k1 long, k2 long, s long, e long"
 
 
-def sort_spans(first_stays: bool):
+def sort_spans(first_stays: bool, length: int):
     """Over spans that come sorted by k-gram and position: the byte ranges that windows repeated within a k-gram's spans cover."""
 
     def run(batches):
@@ -197,10 +282,10 @@ def sort_spans(first_stays: bool):
 
         def settle(rows: pa.Table):
             spans = rows["span"].to_pylist()
-            counts = np.array([len(s) - LENGTH + 1 for s in spans])
-            span, lo, n = flagged(repeated_windows(spans, first_stays), counts)
+            counts = np.array([len(s) - length + 1 for s in spans])
+            span, lo, n = flagged(repeated_windows(spans, first_stays, length), counts)
             s = rows["lo"].to_numpy()[span] + lo
-            return record_batch({"k1": rows["k1"].to_numpy()[span], "k2": rows["k2"].to_numpy()[span], "s": s, "e": s + n + LENGTH - 1}, kind)
+            return record_batch({"k1": rows["k1"].to_numpy()[span], "k2": rows["k2"].to_numpy()[span], "s": s, "e": s + n + length - 1}, kind)
 
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
@@ -221,17 +306,21 @@ def sort_spans(first_stays: bool):
     return run
 
 
-def each_window(batches):
-    """Rows (hash, position) of all windows of spans, for k-grams with too many spans for one task."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            spans = part["span"].to_pylist()
-            counts = np.array([len(s) - LENGTH + 1 for s in spans])
-            hashed = [Hashes(np.frombuffer(s, np.uint8)).all(LENGTH) for s in spans]
-            row = pa.array(np.repeat(np.arange(len(spans)), counts))
-            at = np.concatenate([np.arange(c) for c in counts]) + np.repeat(part["lo"].to_numpy(), counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashed).view(np.int64)), *(part[k].take(row) for k in ("doc_id", "k1", "k2")), pa.array(at)], ["w", "doc_id", "k1", "k2", "at"])
+def each_window(length: int):
+    """Rows (128 bits of hash, position) of all windows of spans, for k-grams with too many spans for one task."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                span = part["span"][0].as_py()
+                for k in range(0, len(span) - length + 1, 1 << 16):
+                    at = np.arange(k, min(k + (1 << 16), len(span) - length + 1))
+                    hashed = digests(span, at, at + length)
+                    row = pa.array(np.zeros(len(at), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(hashed[:, 0]), pa.array(hashed[:, 1]), *(part[c].take(row) for c in ("doc_id", "k1", "k2")), pa.array(at + part["lo"][0].as_py())], ["w1", "w2", "doc_id", "k1", "k2", "at"])
+
+    return run
 
 
 def compressed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -247,7 +336,7 @@ def compressed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return map_rows(docs.select("doc_id", "k1", "k2", "text", *carry), make, f"doc_id {id_type(docs, 'doc_id')}, k1 long, k2 long, packed binary{kinds}")
 
 
-def spans_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+def spans_of(docs: DataFrame, needed: DataFrame, length: int) -> DataFrame:
     """The bytes of the runs that must be sorted."""
     lists = needed.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "n", "h", "hot")).alias("runs"))
 
@@ -261,7 +350,7 @@ def spans_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
             for i, (t, found) in enumerate(zip(batch["packed"].to_pylist(), batch["runs"].to_pylist(), strict=True)):
                 text = unpack.decompress(t)
                 for r in found:
-                    for k, v in (("row", i), ("lo", r["lo"]), ("h", r["h"]), ("hot", r["hot"]), ("span", text[r["lo"] : r["lo"] + r["n"] + LENGTH - 1])):
+                    for k, v in (("row", i), ("lo", r["lo"]), ("h", r["h"]), ("hot", r["hot"]), ("span", text[r["lo"] : r["lo"] + r["n"] + length - 1])):
                         out[k].append(v)
             row = pa.array(out.pop("row"), pa.int64())
             return out | {k: batch[k].take(row) for k in ("doc_id", "k1", "k2")}
@@ -283,25 +372,38 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, first_stays: bool,
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{id_col}`"), text, F.lit("row")).alias("k1"), F.xxhash64(text, F.lit("text")).alias("k2"), text.cast("binary").alias("text"), *(F.col(f"`{c}`").alias(f"row_{i}") for i, c in enumerate(carry)))
 
 
-def repeated_ranges(docs: DataFrame, first_stays: bool) -> DataFrame:
+def repeated_runs(rows: DataFrame, classes: DataFrame, first_stays: bool) -> DataFrame:
+    """Runs of which an equal one is elsewhere (or, earlier). Common ones, few by their definition, are sent to all tasks; of the others none is large."""
+    names, total = ["h", "s1", "s2"], classes.agg(F.sum("n_runs")).first()[0] or 0
+    twice = classes.where("n_runs > 1").select(*names, "n_runs", "first")
+    common = F.col("n_runs") > max(1000.0, total * COMMON)
+    few, many = twice.where(common).drop("n_runs"), twice.where(~common).drop("n_runs")
+    found = rows.join(many, names) if few.isEmpty() else rows.join(many, names).union(rows.join(F.broadcast(few), names))
+    place = F.struct("doc_id", "k1", "lo")
+    return found.where(~place.eqNullSafe(F.col("first").dropFields("k2", "n"))) if first_stays else found
+
+
+def repeated_ranges(docs: DataFrame, first_stays: bool, length: int = LENGTH) -> DataFrame:
     """Byte ranges [s, e) of keyed texts that a window with another (or, an earlier) occurrence covers; ranges may overlap."""
-    gram, run = Window.partitionBy("h"), Window.partitionBy("h", "sh")
-    rows = text_runs(docs).withColumn("n_h", F.count("*").over(gram)).withColumn("n_sh", F.count("*").over(run))
-    rows = rows.where("n_h > 1 or again").withColumn("place", F.row_number().over(run.orderBy("doc_id", "k1", "lo")))
-    rows = rows.withColumn("kinds", F.sum((F.col("place") == 1).cast("long")).over(gram))
-    whole = F.col("place") > 1 if first_stays else F.col("n_sh") > 1
-    needed = (F.col("place") == 1) & ((F.col("kinds") > 1) | F.col("again"))
-    rows = checkpointed(rows.select("doc_id", "k1", "k2", "lo", "n", "h", whole.alias("whole"), needed.alias("needed"), (F.col("kinds") > HOT).alias("hot")).where("whole or needed"))
-    spans = spans_of(docs, rows.where("needed").select("k1", "k2", "lo", "n", "h", "hot"))
-    hot = rows.where("needed and hot").limit(1).count() > 0
+    rows = checkpointed(text_runs(docs, length))
+    first = F.min(F.struct("doc_id", "k1", "lo", "k2", "n")).alias("first")
+    classes = checkpointed(rows.groupBy("h", "s1", "s2").agg(F.count("*").alias("n_runs"), first, F.max("again").alias("again")))
+    sums = classes.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("first.n") + length - 1).alias("bytes"))
+    needed = classes.join(sums.where("kinds > 1"), "h", "left").where("kinds is not null or again")
+    needed = checkpointed(needed.select("first.doc_id", "first.k1", "first.k2", "first.lo", "first.n", "h", (F.coalesce("bytes", F.lit(0)) > HOT).alias("hot")))
+    spans = spans_of(docs, needed.select("k1", "k2", "lo", "n", "h", "hot"), length)
+    hot = not needed.where("hot").isEmpty()
     spans = checkpointed(spans) if hot else spans
-    cold = spans.where("not hot").repartition("h").sortWithinPartitions("h", "doc_id", "k1", "lo").select("h", "k1", "k2", "lo", "span").mapInArrow(sort_spans(first_stays), RANGES)
-    out = rows.where("whole").select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + LENGTH - 1).alias("e")).union(cold)
+    cold = spans.where("not hot").repartition("h").sortWithinPartitions("h", "doc_id", "k1", "lo").select("h", "k1", "k2", "lo", "span").mapInArrow(sort_spans(first_stays, length), RANGES)
+    whole = repeated_runs(rows.drop("again"), classes, first_stays)
+    out = whole.select("k1", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") + length - 1).alias("e")).union(cold)
     if hot:
-        w = Window.partitionBy("w")
-        windows = spans.where("hot").mapInArrow(each_window, f"w long, doc_id {id_type(docs, 'doc_id')}, k1 long, k2 long, at long")
-        goes = F.row_number().over(w.orderBy("doc_id", "k1", "at")) > 1 if first_stays else F.count("*").over(w) > 1
-        out = out.union(windows.withColumn("goes", goes).where("goes").select("k1", "k2", F.col("at").alias("s"), (F.col("at") + LENGTH).alias("e")))
+        windows = checkpointed(spans.where("hot").select("doc_id", "k1", "k2", "lo", "span").mapInArrow(each_window(length), f"w1 long, w2 long, doc_id {id_type(docs, 'doc_id')}, k1 long, k2 long, at long"))
+        names, place = ["w1", "w2"], F.struct("doc_id", "k1", "at")
+        twice = windows.groupBy(*names).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+        windows = windows.join(twice, names)
+        windows = windows.where(~place.eqNullSafe(F.col("first"))) if first_stays else windows
+        out = out.union(windows.select("k1", "k2", F.col("at").alias("s"), (F.col("at") + length).alias("e")))
     return out.distinct()
 
 
@@ -328,17 +430,17 @@ def whole_characters(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[i
     return out
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_stays: bool = True, characters: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_stays: bool = True, characters: bool = True, carry: tuple[str, ...] = (), length: int = LENGTH) -> DataFrame:
     """``n_bytes``, ``n_removed``, ``n_spans``, the removed byte ranges as ``spans``, ``kept`` (the rest) and ``kept_sha256`` of each row.
 
-    A byte goes if a 400-byte string that covers it occurs at an earlier place, the order being that of the identifiers, then
+    A byte goes if a string of ``length`` bytes that covers it occurs at an earlier place, the order being that of the identifiers, then
     of places (or, without ``first_stays``, at any other place, in the same text included). ``characters`` leaves cut
-    characters whole. Null texts are empty; texts under 400 bytes lose nothing; rows that repeat identifier and text, or have
+    characters whole. Null texts are empty; shorter texts lose nothing; rows that repeat identifier and text, or have
     a null identifier, are places of their own, so that the first of them keeps its text.
     ``carry`` names columns that come along as row_0, row_1 and so on.
     """
     texts = keyed_texts(docs, id_col, text_col, first_stays, carry)
-    lists = repeated_ranges(texts, first_stays).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    lists = repeated_ranges(texts, first_stays, length).groupBy("k1", "k2").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     more = tuple(f"row_{i}" for i in range(len(carry)))
 
     def make():

@@ -68,16 +68,16 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert {found[i] for i in range(100, 161)} == {100} and {found[i] for i in range(1000, 1100)} == {7}
 
 
-def brute_ranges(texts: dict, first_stays: bool) -> dict:
-    """Bytes to remove of each text, from all its 400-byte strings."""
+def brute_ranges(texts: dict, first_stays: bool, length: int = 400) -> dict:
+    """Bytes to remove of each text, from all its strings of so many bytes."""
     places: dict = {}
     for k in sorted(texts):
-        for i in range(len(texts[k]) - 399):
-            places.setdefault(hashlib.blake2b(texts[k][i : i + 400], digest_size=16).digest(), []).append((k, i))
+        for i in range(len(texts[k]) - length + 1):
+            places.setdefault(hashlib.blake2b(texts[k][i : i + length], digest_size=16).digest(), []).append((k, i))
     gone = {k: bytearray(len(t)) for k, t in texts.items()}
     for found in places.values():
         for k, i in found[1:] if first_stays else found if len(found) > 1 else []:
-            gone[k][i : i + 400] = b"\1" * 400
+            gone[k][i : i + length] = b"\1" * length
     return gone
 
 
@@ -108,6 +108,48 @@ def test_repeated_passages_of_odd_texts(spark, monkeypatch, hot):
     check_suffixes(found, {k: (t or "").encode() for k, t in texts.items()})
 
 
+def test_factors_match_all_pairs_of_suffixes():
+    random = np.random.default_rng(8)
+    for trial in range(10):
+        length = [3, 7, 8, 20, 40][trial % 5]
+        spans = [bytes(random.choice([97, 98, 0, 255][: 2 + 2 * (trial % 2)], size=length + 12)) for _ in range(3)]
+        spans += [spans[0], b"x" * (length + 9)]
+        found, joined = suffixes.Suffixes(spans, length), b"".join(spans)
+        previous, later, end = suffixes.longest_factors(found).tolist(), suffixes.longest_factors(found, later=True).tolist(), found.end.tolist()
+
+        def common(i, j):
+            most = min(end[i] - i, end[j] - j)
+            return next((n for n in range(most) if joined[i + n] != joined[j + n]), most)
+
+        starts = found.starts.tolist()
+        for k, i in enumerate(starts):
+            for told, others in ((previous[k], starts[:k]), (later[k], starts[k + 1 :])):
+                most = max((common(i, j) for j in others), default=0)
+                assert min(told, length) == min(most, length) or max(told, most) < found.least
+
+
+def test_nearest_smaller_values():
+    random = np.random.default_rng(9)
+    for x in (random.permutation(700), np.append(np.arange(1, 3000), 0), np.arange(900)[::-1], np.zeros(0, int)):
+        told, stack = [], []
+        for i, v in enumerate(x):
+            while stack and x[stack[-1]] > v:
+                stack.pop()
+            told.append(stack[-1] if stack else -1)
+            stack.append(i)
+        assert suffixes.nearest_smaller(x).tolist() == told
+
+
+def test_texts_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 3000)
+    random = np.random.default_rng(12)
+    word = lambda n: "".join(chr(97 + x) for x in random.integers(26, size=n))
+    passage = word(900)
+    texts = {1: word(2500) + passage + word(4000), 2: word(5800) + passage[:700], 3: word(10) * 700, 4: word(7000)}
+    found = {r.doc_id: r for r in suffixes.without_repeats(documents(spark, list(texts.items())), first_stays=False, characters=False).collect()}
+    check_suffixes(found, {k: t.encode() for k, t in texts.items()})
+
+
 def test_first_copy_of_a_passage_stays(spark):
     passage = "".join(chr(97 + x) for x in np.random.default_rng(6).integers(26, size=600))
     docs = documents(spark, [(1, passage), (2, "before " + passage + " after"), (3, passage[100:] + " end")])

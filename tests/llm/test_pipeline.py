@@ -28,7 +28,7 @@ def test_stages_one_after_the_other(spark, tmp_path):
             assert sorted(r.doc_id for r in after) == sorted(set(groups_of(ids, links).values()))
         elif k == 2:
             texts = {r.doc_id: (r.text or "").encode() for r in before}
-            gone = brute_ranges(texts, first_stays=True)
+            gone = brute_ranges(texts, first_stays=True, length=pipeline.PASSAGE)
             for r in after:
                 t, spans, at = texts[r.doc_id], [], 0
                 while at < len(t):
