@@ -56,9 +56,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segmented(docs: DataFrame) -> DataFrame:
-    found = pieces.encode_pieces(docs)
-    scores = [F.get("scores", F.lit(i)).alias(f"score_{i + 1}") for i in range(pieces.N_BEST)]
-    return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "n_fallback", *scores, "pieces_md5", "decoded")
+    """The digests of each text's n best segmentations, all of which are made; null where there are fewer. Null and empty texts have one, without pieces."""
+    found = pieces.encode_pieces(docs, with_ids=False)
+    of = {"score": "scores", "n_pieces": "n_pieces", "n_fallback": "n_fallback", "pieces_md5": "md5", "decoded": "decoded"}
+    return found.select("doc_id", *(F.get(c, F.lit(i)).alias(f"{k}_{i + 1}") for i in range(pieces.N_BEST) for k, c in of.items()))
 
 
 def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_stages_one_after_the_other(spark, tmp_path):
             copies = {r.doc_id: r.copies for r in mixing.mix_plan(docs).collect()}
             assert Counter(r.doc_id for r in after) == Counter({i: n for i, n in copies.items() if n})
         else:
-            assert len(after) == len(before) and all(r.decoded for r in after)
+            assert len(after) == len(before) and all(r.decoded_1 for r in after)
         docs = out
     assert names == ["quality classifier", "simhash near-dedup", "suffix-array dedup", "source mixing", "sentencepiece"]
 
