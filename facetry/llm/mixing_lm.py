@@ -8,6 +8,7 @@ few rows. Weights and refinement are learned online from all training texts, blo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,8 @@ from facetry.llm.texts import bucket_of, checkpointed, id_type, map_rows
 ORDERS, SLOT_BITS = (1, 2, 3, 4, 0), (16, 20, 22, 22, 24)
 #: Bytes of text in a block, and in what is looked at together; sequences that a task holds before it hands them on.
 BLOCK, SLICE, HELD = 4 << 20, 2 << 20, 3 << 20
+#: Cells that counts are dealt to, and groups that are summed at once; more are summed in levels.
+FAN = 256
 #: Slots of a table that are summed and sent at once.
 CHUNK = 1 << 15
 #: The byte that ends a text and stands before it; UTF-8 has no such byte. The key of the end among words.
@@ -37,11 +40,12 @@ PRIOR, CLIP = 0.3, 8.0
 #: A slot's zeros and ones are a byte each: the number of the level at or below the count, in steps of a twentieth from 32 on.
 LEVELS = np.concatenate([np.arange(32), np.floor(32 * 1.05 ** np.arange(224))])
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_APART = np.isin(np.arange(256), (32, END))
 _LETTER = np.random.default_rng(2).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def blocks(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of about BLOCK bytes of text: ``block``, the identifiers, whether each is learned from, and the texts, compressed. A longer text is a block of its own."""
+def blocks(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Rows of about ``block`` bytes of text: ``block``, the identifiers, whether each is learned from, and the texts, compressed. A longer text is a block of its own."""
 
     def make():
         import zstandard
@@ -60,7 +64,7 @@ def blocks(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             for x in zip(batch["doc_id"].to_pylist(), batch["learn"].to_pylist(), (t or b"" for t in batch["text"].to_pylist()), strict=True):
                 held.append(x)
                 state["size"] += len(x[2])
-                if state["size"] >= BLOCK:
+                if state["size"] >= block:
                     for k, v in close().items():
                         out[k] += v
             return out if out["block"] else None
@@ -86,13 +90,10 @@ def block_words(row: dict) -> tuple[list[np.ndarray], np.ndarray, list[list[byte
     from xxhash import xxh64_intdigest
 
     texts = words_of(row)
-    number: dict[bytes, int] = {END_WORD: 0}
-    for words in texts:
-        for w in words:
-            if w not in number:
-                number[w] = len(number)
-    ids = [np.fromiter(map(number.__getitem__, [*words, END_WORD]), np.int64, len(words) + 1) for words in texts]
-    return ids, np.fromiter(map(xxh64_intdigest, number), np.uint64, len(number)), texts
+    size = np.array([len(words) + 1 for words in texts], np.int64)
+    hashes = np.fromiter(map(xxh64_intdigest, chain.from_iterable([*words, END_WORD] for words in texts)), np.uint64, int(size.sum()))
+    ids, found = pd.factorize(hashes)
+    return np.split(ids, np.cumsum(size)[:-1]), found, texts
 
 
 def slices(texts: list[list[bytes]]):
@@ -115,20 +116,23 @@ def sites_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     width = max(ORDERS)
     lead, tail = bytes([END]) * width, bytes([END])
     joined = [b" ".join(words) for words in texts]
-    buffer = np.frombuffer(b"".join(x for t in joined for x in (lead, t, tail)), np.uint8)
+    raw = b"".join(x for t in joined for x in (lead, t, tail))
+    buffer = np.frombuffer(raw, np.uint8)
     size = np.array([len(t) + 1 for t in joined], np.int64)
     starts = np.cumsum(size + width) - size  # of each text's first byte
     at = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    key = np.zeros(len(buffer), np.uint64)
-    for k in range(width, -1, -1):
-        key[width:] = key[width:] << np.uint64(8) | buffer[width - k : len(buffer) - k].astype(np.uint64)
-    apart = (buffer == 32) | (buffer == END)
-    last = np.maximum.accumulate(np.where(apart, np.arange(len(buffer)), 0))  # what came before the word
-    place = np.arange(len(buffer)) - last
-    power = np.cumprod(np.full(int(place.max(initial=0)) + 1, _STEP))
-    total = np.cumsum(np.where(apart, np.uint64(0), _LETTER[buffer] * power[place]), dtype=np.uint64)
-    word = (total[at - 1] - total[last[at - 1]]) * _MIX
-    return key[at], (word ^ word >> np.uint64(29)) << np.uint64(8) | buffer[at].astype(np.uint64), size
+    four = np.ndarray(len(raw) - width + 1, ">u4", raw, 0, (1,)).astype(np.uint32)  # the four bytes from each place on
+    key = np.take(four, at - width).astype(np.uint64) << np.uint64(8) | np.take(buffer, at)
+    bounds = np.flatnonzero(np.take(_APART, buffer))
+    length = np.diff(np.append(bounds, len(buffer)))
+    last = np.repeat(bounds, length)  # what came before the word; a text starts with a bound
+    power = np.cumprod(np.full(int(length.max(initial=0)) + 1, _STEP))
+    value = np.take(_LETTER, buffer)
+    value *= np.take(power, np.arange(len(buffer)) - last)
+    total = np.cumsum(value, dtype=np.uint64)
+    before = at - 1
+    word = (np.take(total, before) - np.take(total, np.take(last, before))) * _MIX
+    return key, (word >> np.uint64(32)) << np.uint64(8) | np.take(buffer, at), size
 
 
 def distinct_sites(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,19 +143,44 @@ def distinct_sites(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.
     return keys[first], words[first], back, np.bincount(back, minlength=len(found))
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys * _MIX) >> np.uint64(33)).astype(np.int64) % parts
+def block_sites(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The different sites of a block's texts, how often each occurs, and for each slice of the texts its sites' numbers and each text's share of them."""
+    found = [(*distinct_sites(*some[:2]), some[2]) for some in map(sites_of, slices(texts))]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    keys, words, back, _ = distinct_sites(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+    own = np.split(back, np.cumsum([len(f[0]) for f in found])[:-1])
+    n = np.bincount(back, weights=np.concatenate([f[3] for f in found]), minlength=len(keys))
+    return keys, words, n.astype(np.int64), [(numbers[f[2]], f[4]) for numbers, f in zip(own, found, strict=True)]
+
 
+def cell_of(keys: np.ndarray, fan: int, level: int = 0) -> np.ndarray:
+    """The cell, of ``fan`` (a power of two, 256 at most), that a key is dealt to at a level."""
+    return ((keys * _MIX) >> np.uint64(56 - 8 * level)).astype(np.int64) & (fan - 1)
 
-def dealt(keys: np.ndarray, counts: np.ndarray, parts: int):
-    """The keys and counts of each part that has any, in the order of the keys given."""
-    part = part_of(keys, parts)
-    order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        rows = order[bounds[p] : bounds[p + 1]]
+
+def dealt(keys: np.ndarray, counts: np.ndarray, fan: int, level: int = 0):
+    """The keys and counts of each cell that has any, in the order of the keys given."""
+    cell = cell_of(keys, fan, level)
+    order = np.argsort(cell.astype(np.uint8), kind="stable")
+    bounds = np.searchsorted(cell[order], np.arange(fan + 1))
+    for c in range(fan):
+        rows = order[bounds[c] : bounds[c + 1]]
         if len(rows):
-            yield p, keys[rows], counts[rows]
+            yield c, keys[rows], counts[rows]
+
+
+def shortened(keys: np.ndarray, kind: int) -> bytes:
+    """Words' hashes have eight bytes; sequences and words so far with the next byte have five that aren't zero."""
+    return keys.tobytes() if kind == 0 else np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def lengthened(packed: bytes, kind: int) -> np.ndarray:
+    if kind == 0:
+        return np.frombuffer(packed, np.uint64)
+    out = np.zeros((len(packed) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
+    return out.view(np.uint64).ravel()
 
 
 def narrow(counts: np.ndarray) -> bytes:
@@ -164,22 +193,28 @@ def widened(packed: bytes, n: int) -> np.ndarray:
     return np.frombuffer(packed, f"<u{size}" if size < 8 else "<i8").astype(np.int64)
 
 
-COUNTED = "kind int, part int, block long, keys binary, counts binary"
+COUNTED = "kind int, cell long, of long, keys binary, counts binary"
+
 
+def table_of(rows: dict) -> pa.Table:
+    kinds = {"kind": pa.int32(), "cell": pa.int64(), "of": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+    return pa.table({k: pa.array(rows[k], kind) for k, kind in kinds.items()})
 
-def counted(blocked: DataFrame, parts: int) -> DataFrame:
-    """Packed counts, in texts learned from: of each block's words (kind 0), and of the task's five-byte sequences (kind 1) and words so far with the next byte (kind 3)."""
+
+def counted(blocked: DataFrame, fan: int) -> DataFrame:
+    """Packed counts, in texts learned from: of each block's words (kind 0; ``of``: the block), and of the task's five-byte sequences (kind 1) and words so far with the next byte (kind 3). Each block and hand-on has at most ``fan`` rows a kind."""
 
     def make():
         sites: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 3: []}
+        state = {"n": 0}
 
         def fold(held):
             keys, back = np.unique(np.concatenate([g[0] for g in held]), return_inverse=True)
             held[:] = [(keys, np.bincount(back, weights=np.concatenate([g[1] for g in held])).astype(np.int64))]
 
-        def add(out, kind, block, keys, counts):
-            for p, k, c in dealt(keys, counts, parts):
-                for name, v in (("kind", kind), ("part", p), ("block", block), ("keys", k.tobytes()), ("counts", narrow(c))):
+        def add(out, kind, of, keys, counts):
+            for cell, k, c in dealt(keys, counts, fan):
+                for name, v in (("kind", kind), ("cell", cell), ("of", of), ("keys", shortened(k, kind)), ("counts", narrow(c))):
                     out[name].append(v)
 
         def hand_on(out, most):
@@ -187,10 +222,11 @@ def counted(blocked: DataFrame, parts: int) -> DataFrame:
                 if sum(len(k) for k, _ in held) > most:
                     fold(held)
                     if len(held[0][0]) > most // 2:
-                        add(out, kind, None, *held.pop())
+                        state["n"] += 1
+                        add(out, kind, TaskContext.get().partitionId() << 32 | state["n"], *held.pop())
 
         def each(batch):
-            out: dict[str, list] = {k: [] for k in ("kind", "part", "block", "keys", "counts")}
+            out: dict[str, list] = {k: [] for k in ("kind", "cell", "of", "keys", "counts")}
             for row in batch.to_pylist():
                 ids, hashes, texts = block_words(row)
                 learned = [x for x, ok in zip(ids, row["learn"], strict=True) if ok]
@@ -203,45 +239,109 @@ def counted(blocked: DataFrame, parts: int) -> DataFrame:
             return out
 
         def finish():
-            out: dict[str, list] = {k: [] for k in ("kind", "part", "block", "keys", "counts")}
+            out: dict[str, list] = {k: [] for k in ("kind", "cell", "of", "keys", "counts")}
             hand_on(out, 0)
             return out if out["kind"] else None
 
         each.finish = finish
         return each
 
-    def summed(key, table):
-        keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
-        found, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate([widened(x, len(k)) for x, k in zip(table["counts"].to_pylist(), keys, strict=True)])).astype(np.int64)
-        part = key[1].as_py()
-        if key[0].as_py():
-            return pa.table({"kind": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([part], pa.int32()), "block": pa.array([None], pa.int64()), "keys": pa.array([found.tobytes()], pa.binary()), "counts": pa.array([narrow(total)], pa.binary())})
-        sums = np.array([total.sum(), (total > 0).sum()], np.int64)
-        cut = np.cumsum([len(k) for k in keys])[:-1]
-        rows = [np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in np.split(total[back], cut)]
-        n = len(rows)
-        return pa.table({"kind": pa.array([0] * n + [2], pa.int32()), "part": pa.array([part] * (n + 1), pa.int32()), "block": pa.array([*table["block"].to_pylist(), None], pa.int64()), "keys": pa.array([None] * (n + 1), pa.binary()), "counts": pa.array([*rows, sums.tobytes()], pa.binary())})
+    return map_rows(blocked.select("block", "learn", "ends", "packed"), make, COUNTED)
 
-    return map_rows(blocked.select("block", "learn", "ends", "packed"), make, COUNTED).groupBy("kind", "part").applyInArrow(summed, COUNTED)
 
+def added(table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A cell's different keys, their counts over all rows, and the numbers of each row's keys among them."""
+    kind = table["kind"][0].as_py()
+    keys = [lengthened(x, kind) for x in table["keys"].to_pylist()]
+    found, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(back, weights=np.concatenate([widened(x, len(k)) for x, k in zip(table["counts"].to_pylist(), keys, strict=True)]))
+    return found, total.astype(np.int64), np.split(back, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def replies(kind: int, cell: int, total: np.ndarray, names: list, numbers: list[np.ndarray]) -> dict:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1)
+    n = len(names)
+    return {"kind": [kind] * n, "cell": [cell] * n, "of": names, "keys": [None] * n, "counts": [pack.compress(total[x].astype("<i8").tobytes()) for x in numbers]}
 
-def nodes_of(sites: np.ndarray, order: int) -> np.ndarray:
-    """For each site the slots of the eight bits of its last byte, after the ``ORDERS[order]`` bytes before or the word so far."""
-    length = ORDERS[order]
-    context = (sites >> np.uint64(8)) & np.uint64((1 << 8 * (length or 7)) - 1)
-    high, low = sites >> np.uint64(4) & np.uint64(15), sites & np.uint64(15)
 
-    def start(key):
-        mixed = key * _MIX
-        mixed ^= mixed >> np.uint64(29)
-        return mixed * _MIX >> np.uint64(64 - SLOT_BITS[order])
+def summed(rows: DataFrame, n_groups: int, fan: int, level: int = 0) -> DataFrame:
+    """Of the counts of up to ``n_groups`` groups: for each group and cell of words the counts over all groups, packed, in the order of its keys (kind 0);
+    their sum and number (kind 2); and the summed sequences (kinds 1 and 3).
 
-    out = np.empty((len(sites), 8), np.uint64)
-    for k, (half, base) in enumerate(((high, start(context << np.uint64(8))), (low, start(context << np.uint64(8) | np.uint64(16) | high)))):
-        for j in range(4):  # the slots of four bits lie together
-            out[:, 4 * k + j] = base + (np.uint64(1 << j) | half >> np.uint64(4 - j))
-    return (out & np.uint64((1 << SLOT_BITS[order]) - 1)).astype(np.int64)
+    Up to fan groups meet at once. More are first summed in sets of about fan, whose cells are dealt out anew, fan to a cell,
+    so that rows grow with the groups and what meets in a task doesn't.
+    """
+
+    def last(key, table):
+        kind, cell = key[0].as_py(), key[1].as_py()
+        found, total, numbers = added(table)
+        if kind:
+            return table_of({"kind": [kind], "cell": [cell], "of": [None], "keys": [shortened(found, kind)], "counts": [narrow(total)]})
+        out = replies(0, cell, total, table["of"].to_pylist(), numbers)
+        sums = np.array([total.sum(), (total > 0).sum()], ">i8").tobytes()
+        return table_of({k: [*out[k], x] for k, x in (("kind", 2), ("cell", cell), ("of", None), ("keys", None), ("counts", sums))})
+
+    if n_groups <= fan:
+        return rows.groupBy("kind", "cell").applyInArrow(last, COUNTED)
+    n_sets = -(-n_groups // fan)
+    rows = checkpointed(rows.withColumn("set", F.pmod(F.xxhash64("of", F.lit(level)), F.lit(n_sets)).cast("long")))
+
+    def merge(key, table):
+        kind, cell, set_ = (k.as_py() for k in key)
+        found, total, _ = added(table)
+        out: dict[str, list] = {k: [] for k in ("kind", "cell", "of", "keys", "counts")}
+        for digit, k, c in dealt(found, total, fan, level + 1):
+            for name, v in (("kind", kind), ("cell", cell * fan + digit), ("of", set_), ("keys", shortened(k, kind)), ("counts", narrow(c))):
+                out[name].append(v)
+        return table_of(out)
+
+    def back(key, own, above):
+        cell = key[0].as_py()
+        if not own.num_rows:
+            return table_of({k: [] for k in ("kind", "cell", "of", "keys", "counts")})
+        found, total, numbers = added(own)
+        digit = cell_of(found, fan, level + 1)
+        for c, x in zip(above["cell"].to_pylist(), above["counts"].to_pylist(), strict=True):
+            total[digit == c % fan] = opened(x)
+        return table_of(replies(0, cell, total, own["of"].to_pylist(), numbers))
+
+    sets = checkpointed(summed(rows.groupBy("kind", "cell", "set").applyInArrow(merge, COUNTED), n_sets, fan, level + 1))
+    above = sets.where("kind = 0").withColumns({"under": F.floor(F.col("cell") / fan), "set": F.col("of")})
+    down = rows.where("kind = 0").groupBy("cell", "set").cogroup(above.groupBy("under", "set")).applyInArrow(back, COUNTED)
+    return sets.where("kind != 0").union(down)
+
+
+def opened(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i8")
+
+
+#: For each half of a byte, the numbers of its four bits' places after those before.
+_PATH = np.array([[1 << j | half >> (4 - j) for j in range(4)] for half in range(16)], np.uint64)
+
+
+def paths_of(sites: np.ndarray) -> np.ndarray:
+    """For each site the places of the eight bits of its last byte within a context's slots, which lie together for four bits each."""
+    low = (sites & np.uint64(255)).astype(np.int64)
+    return np.concatenate([_PATH[low >> 4], _PATH[low & 15]], axis=1)
+
+
+def nodes_of(sites: np.ndarray, order: int, paths: np.ndarray | None = None) -> np.ndarray:
+    """For each site the slots of the eight bits of its last byte, after the ``ORDERS[order]`` bytes before or the word so far."""
+    length, paths = ORDERS[order], paths_of(sites) if paths is None else paths
+    context = (sites >> np.uint64(8)) & np.uint64((1 << 8 * (length or 7)) - 1)
+    base = np.empty((len(sites), 2), np.uint64)
+    base[:, 0], base[:, 1] = context << np.uint64(8), context << np.uint64(8) | np.uint64(16) | (sites >> np.uint64(4) & np.uint64(15))
+    base *= _MIX
+    base ^= base >> np.uint64(29)
+    base *= _MIX
+    base >>= np.uint64(64 - SLOT_BITS[order])
+    out = paths.reshape(-1, 2, 4) + base[:, :, None]
+    out &= np.uint64((1 << SLOT_BITS[order]) - 1)
+    return out.reshape(-1, 8).view(np.int64)
 
 
 def bits_of(keys: np.ndarray) -> np.ndarray:
@@ -255,22 +355,23 @@ def levels_of(pair: np.ndarray) -> np.ndarray:
     return (level[:, 0] | level[:, 1] << 8).astype("<u2")
 
 
-def readings() -> tuple[np.ndarray, np.ndarray]:
-    """The odds of a one and how often it was seen (0: never, else 1 to SEEN) for each slot's number: as it is, with a zero left out, with a one left out."""
+def readings() -> np.ndarray:
+    """The odds of a one for each slot's number: as it is, with a zero left out, with a one left out. The last three bits of a number tell how often it was seen (0: never, else 1 to SEEN)."""
     zeros, ones = (np.tile(x, (3, 1)) for x in (np.tile(LEVELS, 256), np.repeat(LEVELS, 256)))
     zeros[1], ones[2] = np.maximum(zeros[1] - 1, 0), np.maximum(ones[2] - 1, 0)
-    odds, times = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -CLIP, CLIP), zeros + ones
-    return odds.astype(np.float32).ravel(), np.where(times > 0, 1 + np.digitize(times, (2, 6, 40)), 0).astype(np.int8).ravel()
+    odds, times = np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -CLIP, CLIP).astype(np.float32), zeros + ones
+    seen = np.where(times > 0, 1 + np.digitize(times, (2, 6, 40)), 0)
+    return ((odds.view(np.int32) & ~7) | seen.astype(np.int32)).view(np.float32).ravel()
 
 
-def predictor_tables(sites: DataFrame) -> list[np.ndarray]:
+def predictor_tables(sites: DataFrame, n_rows: int, fan: int) -> list[np.ndarray]:
     """For each order the zeros and ones seen in each slot, as levels: fixed sizes, whatever the corpus."""
 
     def make():
         def each(batch):
             out: dict[str, list] = {k: [] for k in ("order", "chunk", "slots", "counts")}
             for kind, k, c in zip(batch["kind"].to_pylist(), batch["keys"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                keys = np.frombuffer(k, np.uint64)
+                keys = lengthened(k, kind)
                 counts = widened(c, len(keys))
                 bit = bits_of(keys).ravel()
                 for order in [i for i, length in enumerate(ORDERS) if (length > 0) == (kind == 1)]:
@@ -288,17 +389,30 @@ def predictor_tables(sites: DataFrame) -> list[np.ndarray]:
 
         return each
 
-    def summed(key, table):
+    def total_of(table):
         total = np.zeros(2 * CHUNK, np.int64)
         for s, n in zip(table["slots"].to_pylist(), table["counts"].to_pylist(), strict=True):
             slots = np.frombuffer(s, "<u2")
             total[slots] += widened(n, len(slots))
-        small = levels_of(total.reshape(-1, 2))
-        return pa.table({"order": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "slots": pa.array([None], pa.binary()), "counts": pa.array([small.tobytes()], pa.binary())})
+        return total
+
+    def row(key, slots, counts):
+        return pa.table({"order": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([key[1].as_py()], pa.int32()), "slots": pa.array([slots], pa.binary()), "counts": pa.array([counts], pa.binary())})
+
+    def some(key, table):
+        total = total_of(table)
+        return row(key, (at := np.flatnonzero(total)).astype("<u2").tobytes(), narrow(total[at]))
+
+    def last(key, table):
+        return row(key, None, levels_of(total_of(table).reshape(-1, 2)).tobytes())
 
     kind = "order int, chunk int, slots binary, counts binary"
+    parts = map_rows(sites, make, kind)
+    while n_rows > fan:  # a chunk has a row of each row of sequences at most: they are added up in sets of about ``fan``
+        n_rows = -(-n_rows // fan)
+        parts = parts.groupBy("order", "chunk", F.pmod(F.xxhash64("slots", "counts", F.lit(n_rows)), F.lit(n_rows))).applyInArrow(some, kind)
     tables = [np.zeros(1 << b, np.uint16) for b in SLOT_BITS]
-    for r in map_rows(sites, make, kind).groupBy("order", "chunk").applyInArrow(summed, kind).toLocalIterator():  # the tables' fixed size in all
+    for r in parts.groupBy("order", "chunk").applyInArrow(last, kind).toLocalIterator():  # the tables' fixed size in all
         small = np.frombuffer(r.counts, "<u2")
         tables[r.order][r.chunk * CHUNK : r.chunk * CHUNK + len(small)] = small[: len(tables[r.order])]
     return tables
@@ -323,7 +437,7 @@ class ContextMixing:
     refined: np.ndarray
 
     def __post_init__(self):
-        self.odds, self.times = readings()
+        self.odds = readings()
 
     @classmethod
     def new(cls, tables: list[np.ndarray]) -> ContextMixing:
@@ -332,21 +446,23 @@ class ContextMixing:
         return cls(tables, weights, np.tile(logistic(np.linspace(-CLIP, CLIP, CELLS)), (len(ORDERS) + 1, 1)))
 
     def inputs(self, keys: np.ndarray, words: np.ndarray, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The predictors' odds of a one and the weight set, for each of eight bits; ``without``: the bits, each left out once of what was counted."""
-        odds = np.empty((len(keys), 8, len(ORDERS) + 1), np.float32)
-        odds[:, :, -1] = 0.3
-        gate = np.zeros((len(keys), 8), np.int8)
+        """The predictors' odds of a one, a row for each, and the weight set, for each of eight bits; ``without``: the bits, each left out once of what was counted."""
+        odds, paths = np.empty((len(ORDERS) + 1, len(keys), 8), np.float32), paths_of(keys)
+        odds[-1] = 0.3
+        gate = np.zeros((len(keys), 8), np.int32)
+        more = None if without is None else (without.astype(np.int32) + 1) << 16
         for order, table in enumerate(self.tables):
-            slot = table[nodes_of(keys if ORDERS[order] else words, order)].astype(np.int64)
-            if without is not None:
-                slot += (without.astype(np.int64) + 1) << 16
-            odds[:, :, order] = self.odds[slot]
-            times = self.times[slot]
-            gate = np.where(times > 0, times + np.int8((order + 1) * SEEN - 1), gate)
+            slot = np.take(table, nodes_of(keys if ORDERS[order] else words, order, paths))
+            np.take(self.odds, slot if more is None else slot + more, out=odds[order])
+            times = odds[order].view(np.int32) & 7
+            np.copyto(gate, times + ((order + 1) * SEEN - 1), where=times > 0)
         return odds, gate
 
     def mix(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ijk,ijk->ij", odds, self.weights[gate]), -CLIP * 1.5, CLIP * 1.5)
+        out = np.zeros(gate.shape, np.float32)
+        for k in range(len(odds)):
+            out += odds[k] * np.take(np.ascontiguousarray(self.weights[:, k]), gate)
+        return np.clip(out, -CLIP * 1.5, CLIP * 1.5, out=out)
 
     def refined_logs(self) -> np.ndarray:
         """log10 of the probability of each bit, by the longest context seen, the bit and the step of the mixed odds: the mixed probability, averaged with what followed such odds before."""
@@ -362,8 +478,8 @@ class ContextMixing:
         for i in range(0, len(keys), FEW):
             few = keys[i : i + FEW]
             odds, gate = self.inputs(few, words[i : i + FEW])
-            step = ((self.mix(odds, gate) + 1.5 * CLIP) * (STEPS / (3 * CLIP))).astype(np.int64)
-            out[i : i + FEW] = logs[(gate // SEEN * np.int64(2) + bits_of(few)) * STEPS + np.minimum(step, STEPS - 1)].sum(axis=1)
+            step = ((self.mix(odds, gate) + np.float32(1.5 * CLIP)) * np.float32(STEPS / (3 * CLIP))).astype(np.int32)
+            out[i : i + FEW] = np.take(logs, ((gate // SEEN << 1) + bits_of(few)) * STEPS + np.minimum(step, STEPS - 1)).sum(axis=1)
         return out
 
 
@@ -393,10 +509,7 @@ def learn_online(blocked: DataFrame, tables) -> ContextMixing:
             at = (bit * cells[0].size + gate // SEEN * np.int64(CELLS) + cell).ravel()
             cells[:] += np.bincount(at, weights=weight, minlength=cells.size).reshape(cells.shape)
             off = (bit - logistic(mixed)) * n[:, None].astype(np.float32)
-            push, order = (off[..., None] * odds).reshape(-1, n_inputs), np.argsort(set_.astype(np.int8), kind="stable")
-            here, first = np.unique(set_[order], return_index=True)
-            grad = np.zeros((n_sets, n_inputs))
-            grad[here] = np.add.reduceat(push[order], first, axis=0)
+            grad = np.stack([np.bincount(set_, weights=(off * o).ravel(), minlength=n_sets) for o in odds], axis=1)
             grad /= np.maximum(np.bincount(set_, weights=weight, minlength=n_sets), 1)[:, None]
             square[:] += grad * grad
             own.weights += (0.05 * grad / np.sqrt(square)).astype(np.float32)
@@ -404,12 +517,11 @@ def learn_online(blocked: DataFrame, tables) -> ContextMixing:
 
         def each(batch):
             for row in batch.to_pylist():
-                for few in slices([t for t, ok in zip(words_of(row), row["learn"], strict=True) if ok]):
-                    keys, words, _, n = distinct_sites(*sites_of(few)[:2])
-                    mixed_up = np.argsort(keys * _STEP ^ words)  # as neighbours in a text are alike
-                    keys, words, n = keys[mixed_up], words[mixed_up], n[mixed_up]
-                    for i in range(0, len(keys), FEW):
-                        step(keys[i : i + FEW], words[i : i + FEW], n[i : i + FEW])
+                keys, words, n, _ = block_sites([t for t, ok in zip(words_of(row), row["learn"], strict=True) if ok])
+                mixed_up = np.argsort(keys * _STEP ^ words)  # as neighbours in a text are alike
+                keys, words, n = keys[mixed_up], words[mixed_up], n[mixed_up]
+                for i in range(0, len(keys), FEW):
+                    step(keys[i : i + FEW], words[i : i + FEW], n[i : i + FEW])
 
         each.finish = lambda: {"n": [float(seen[0])], "weights": [own.weights.astype(np.float64).tobytes()], "cells": [cells.tobytes()]} if seen[0] else None
         return each
@@ -424,7 +536,7 @@ def learn_online(blocked: DataFrame, tables) -> ContextMixing:
     return model
 
 
-def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` and ``bits_per_byte`` of each row.
 
     A text is its lower-cased words and an end, single spaces between: both scores are log10 probabilities of that. A null or
@@ -432,15 +544,14 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     count 0 and bits even odds. Repeated rows count as often as they occur. Counts don't depend on the order of texts; weights
     are learned online, so in the last digits a score depends on how texts lie in partitions.
     """
-    blocked = checkpointed(blocks(docs, learn, id_col, text_col))
-    n_blocks = blocked.count()
-    parts = max(12, n_blocks // 2)
-    found = checkpointed(counted(blocked, parts))
-    sums = [np.frombuffer(r.counts, np.int64) for r in found.where("kind = 2").select("counts").toLocalIterator()]  # two numbers a part
-    n_train, distinct = (int(x) for x in np.sum(sums, axis=0)) if sums else (0, 0)
-    tables = docs.sparkSession.sparkContext.broadcast(packed(predictor_tables(found.where("kind in (1, 3)").select("kind", "keys", "counts"))))  # of a fixed size
+    blocked = checkpointed(blocks(docs, learn, id_col, text_col, block))
+    found = checkpointed(summed(counted(blocked, fan), blocked.count(), fan))
+    sums = found.where("kind = 2").select(*(F.conv(F.hex(F.substring("counts", at, 8)), 16, 10).cast("long").alias(k) for k, at in (("n", 1), ("v", 9)))).agg(F.sum("n"), F.sum("v")).first()
+    n_train, distinct = sums[0] or 0, sums[1] or 0
+    sites = found.where("kind in (1, 3)").select("kind", "keys", "counts")
+    tables = docs.sparkSession.sparkContext.broadcast(packed(predictor_tables(sites, sites.count(), fan)))  # of a fixed size
     learned = learn_online(blocked, tables)
-    lists = found.where("kind = 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts")).alias("found"))
+    lists = found.where("kind = 0").groupBy("of").agg(F.collect_list(F.struct("cell", "counts")).alias("found"))
     kind = docs.schema[id_col].dataType
 
     def make():
@@ -450,16 +561,14 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")}
             for row in batch.to_pylist():
                 ids, hashes, texts = block_words(row)
-                counts, part = np.zeros(len(hashes), np.int64), part_of(hashes, parts)
-                order = np.argsort(part, kind="stable")
-                bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                counts, cell = np.zeros(len(hashes), np.int64), cell_of(hashes, fan)
                 for r in row["found"]:
-                    counts[order[bounds[r["part"]] : bounds[r["part"] + 1]]] = np.frombuffer(r["counts"], "<u4")
+                    counts[cell == r["cell"]] = opened(r["counts"])
                 word = np.log10((counts + 0.5) / (n_train + 0.5 * (distinct + 1)))
-                for few in slices(texts):
-                    keys, words, size = sites_of(few)
-                    some, so_far, back, _ = distinct_sites(keys, words)
-                    total = np.add.reduceat(model.log10(some, so_far)[back], np.cumsum(size) - size)
+                keys, words, _, slices_ = block_sites(texts)
+                logs = model.log10(keys, words)
+                for numbers, size in slices_:
+                    total = np.add.reduceat(logs[numbers], np.cumsum(size) - size)
                     out["score"] += total.tolist()
                     out["bits_per_byte"] += (-total * np.log2(10) / size).tolist()
                 out["doc_id"] += row["ids"]
@@ -472,7 +581,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
         return each
 
     schema = T.StructType([T.StructField("doc_id", kind), *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double").fields])
-    joined = blocked.join(lists, "block").select("ids", "ends", "packed", "found")
+    joined = blocked.join(lists, F.col("block") == F.col("of")).select("ids", "ends", "packed", "found")
     return map_rows(joined, make, schema)
 
 

@@ -140,14 +140,27 @@ def test_nearest_smaller_values():
         assert suffixes.nearest_smaller(x).tolist() == told
 
 
-def test_texts_longer_than_a_piece(spark, monkeypatch):
+def test_pieces_hold_each_window_once(monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 3000)
     random = np.random.default_rng(12)
-    word = lambda n: "".join(chr(97 + x) for x in random.integers(26, size=n))
+    texts = [bytes(random.integers(97, 123, size=n)) for n in (10_000, 399, 3000, 400, 7001)]
+    found = []
+    for group in suffixes.pieces_of([*texts, None, b""]):
+        runs = suffixes.window_runs([p for _, _, p in group])
+        row, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
+        for i, lo, n in zip(row[runs["text"]], (runs["lo"] + offset[runs["text"]]).tolist(), runs["n"].tolist(), strict=True):
+            found += [(i, lo + k) for k in range(n)]
+    assert sorted(found) == [(i, k) for i, t in enumerate(texts) for k in range(len(t) - 399)]
+
+
+@pytest.mark.parametrize("length", [250, 400])
+def test_a_text_of_several_pieces(spark, length):
+    random = np.random.default_rng(13)
+    word = lambda n: "".join(map(chr, random.integers(97, 123, size=n)))
     passage = word(900)
-    texts = {1: word(2500) + passage + word(4000), 2: word(5800) + passage[:700], 3: word(10) * 700, 4: word(7000)}
-    found = {r.doc_id: r for r in suffixes.without_repeats(documents(spark, list(texts.items())), first_stays=False, characters=False).collect()}
-    check_suffixes(found, {k: t.encode() for k, t in texts.items()})
+    texts = {1: word(suffixes.PIECE - 500) + passage + word(300_000), 2: word(800) + passage[:700], 3: word(2000)}
+    found = {r.doc_id: r.n_removed for r in suffixes.without_repeats(documents(spark, list(texts.items())), first_stays=False, length=length).collect()}
+    assert found == {1: 700, 2: 700, 3: 0}
 
 
 def test_first_copy_of_a_passage_stays(spark):

@@ -99,6 +99,43 @@ def test_levels_keep_small_counts():
     assert found[:3].tolist() == pair[:3].tolist() and found[3][1] == 1 and abs(found[4][0] - 40) <= 2 and found[4][1] == 7
 
 
+def test_counts_summed_in_levels(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 60").coalesce(2)
+    told = {r.doc_id: r for r in mixing_lm.score_texts(docs, mixing_lm.learnable(), block=20_000).collect()}
+    found = mixing_lm.score_texts(docs, mixing_lm.learnable(), block=20_000, fan=4).collect()
+    assert len(found) == len(told)
+    for r in found:
+        t = told[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (t.n_tokens, t.n_known, t.train_tokens)
+        assert abs(r.base_score - t.base_score) < 1e-6 and abs(r.score - t.score) < 1e-3 * -t.score
+
+
+def test_scores_of_a_plain_loop():
+    """Bit by bit: each predictor's slot, its counts, the gate, the mix and the refinement."""
+    random = np.random.default_rng(4)
+    model = mixing_lm.ContextMixing.new([mixing_lm.levels_of(random.integers(0, 60, size=(1 << b, 2))) for b in mixing_lm.SLOT_BITS])
+    model.weights = random.uniform(-0.5, 1, size=model.weights.shape).astype(np.float32)
+    keys, words, size = mixing_lm.sites_of([[b"the", b"cat"], [b"the"]])
+    found, n_orders = model.log10(keys, words), len(mixing_lm.ORDERS)
+    for site in range(len(keys)):
+        total, byte = 0.0, int(keys[site]) & 255
+        for j in range(8):
+            bit, inputs, gate = byte >> (7 - j) & 1, [], 0
+            for order in range(n_orders):
+                slot = mixing_lm.nodes_of((keys if mixing_lm.ORDERS[order] else words)[site : site + 1], order)[0, j]
+                code = int(model.tables[order][slot])
+                zeros, ones = mixing_lm.LEVELS[code & 255], mixing_lm.LEVELS[code >> 8]
+                inputs.append(float(np.clip(math.log((ones + mixing_lm.PRIOR) / (zeros + mixing_lm.PRIOR)), -mixing_lm.CLIP, mixing_lm.CLIP)))
+                if zeros + ones > 0:
+                    gate = (order + 1) * mixing_lm.SEEN + sum(zeros + ones >= x for x in (2, 6, 40))
+            odds = sum(w * x for w, x in zip(model.weights[gate].tolist(), [*inputs, 0.3]))
+            odds = max(-1.5 * mixing_lm.CLIP, min(1.5 * mixing_lm.CLIP, odds))
+            refined = np.interp(odds, np.linspace(-mixing_lm.CLIP, mixing_lm.CLIP, mixing_lm.CELLS), model.refined[gate // mixing_lm.SEEN])
+            p = min(1 - 1e-6, max(1e-6, (1 - mixing_lm.REFINED) / (1 + math.exp(-odds)) + mixing_lm.REFINED * refined))
+            total += math.log10(p if bit else 1 - p)
+        assert abs(found[site] - total) < 0.02 * max(1, -total)  # odds are rounded to STEPS
+
+
 def test_context_mixing_of_nulls_and_untrained_texts(spark):
     docs = documents(spark, [(1, None), (2, ""), (3, "Some words here"), (3, "Some words here")])
     found = {r.doc_id: r for r in mixing_lm.score_texts(docs, mixing_lm.F.lit(False)).collect()}
