@@ -23,7 +23,7 @@ LENGTH = 400
 #: Length of the k-grams whose least hash deals windows out.
 GRAM = 48
 #: Bytes handled at once; bytes of a k-gram's spans that are sorted in one task at most; bytes of spans sorted at once.
-PIECE, HOT, SORT = 1 << 21, 4 << 20, 2 << 20
+PIECE, HOT, SORT = 1 << 21, 2 << 20, 1 << 20
 #: A run that makes up more than this share of all runs is common: there are fewer than 1 / COMMON of those.
 COMMON = 1 / 2000
 #: Bytes by which suffixes are first ranked; each further round doubles the length.
@@ -161,21 +161,22 @@ class Suffixes:
         ends = np.cumsum(size)
         buffer = np.frombuffer(b"".join(spans) + bytes(8), np.uint8)
         n = int(ends[-1])
-        self.end = np.repeat(ends, size)
-        left = np.minimum(self.end - np.arange(n), FIRST).astype(np.uint64)
-        key = np.zeros(n, np.uint64)
+        self.end = np.repeat(ends, size).astype(np.int32)
+        left = np.minimum(self.end - np.arange(n, dtype=np.int32), FIRST).astype(np.uint8)
+        self.key = np.zeros(n, np.uint64)
         for k in range(FIRST):
-            key = key << np.uint64(8) | np.where(left > k, buffer[k : n + k], 0).astype(np.uint64)
-        self.key = key << np.uint64(8) | left
-        order = np.argsort(self.key, kind="stable")
-        first, tied = equals(self.key[order], np.arange(n))
-        rank = np.empty(n, np.int64)
+            self.key |= np.where(left > k, buffer[k : n + k], 0)
+            self.key <<= np.uint64(8)
+        self.key |= left
+        order = np.argsort(self.key, kind="stable").astype(np.int32)
+        first, tied = equals(self.key[order], np.arange(n, dtype=np.int32))
+        rank = np.empty(n, np.int32)
         rank[order] = first
         self.depths, self.ranks = [FIRST], [rank]
         while self.depths[-1] < length and len(tied):
             d, at = self.depths[-1], order[tied]
             after = np.where(at + d < self.end[at], rank[np.minimum(at + d, n - 1)] + 1, 0)
-            by = rank[at] * np.int64(n + 1) + after
+            by = rank[at].astype(np.int64) * (n + 1) + after
             again = np.argsort(by, kind="stable")
             order[tied] = at[again]
             first, more = equals(by[again], tied)
@@ -185,7 +186,7 @@ class Suffixes:
             self.depths.append(2 * d)
             self.ranks.append(rank)
         ranked = len([d for d in self.depths if d <= length])
-        self.starts = np.flatnonzero(self.end - np.arange(n) >= length)
+        self.starts = np.flatnonzero(self.end - np.arange(n, dtype=np.int32) >= length)
         chosen = np.zeros(n, bool)
         chosen[self.starts] = True
         if ranked:
