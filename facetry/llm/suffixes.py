@@ -23,7 +23,7 @@ LENGTH = 400
 #: Length of the k-grams whose least hash deals windows out.
 GRAM = 48
 #: Bytes handled at once; bytes of a k-gram's spans that are sorted in one task at most; bytes of spans sorted at once.
-PIECE, HOT, SORT = 1 << 21, 2 << 20, 1 << 20
+PIECE, HOT, SORT = 1 << 19, 2 << 20, 1 << 20
 #: A run that makes up more than this share of all runs is common: there are fewer than 1 / COMMON of those.
 COMMON = 1 / 2000
 #: Bytes by which suffixes are first ranked; each further round doubles the length.
@@ -50,7 +50,7 @@ class Hashes:
     """Hashes of all substrings of a buffer, from sums of powers."""
 
     def __init__(self, buffer: np.ndarray):
-        value, up, self.down = powers(max(1 << 22, 1 << len(buffer).bit_length()))  # few sizes, as they are kept
+        value, up, self.down = powers(max(1 << 20, 1 << len(buffer).bit_length()))  # few sizes, as they are kept
         self.sums = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(value[buffer] * up[: len(buffer)], out=self.sums[1:])
 

@@ -15,13 +15,16 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: A word is a run of characters other than space and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a batch that are handled at once.
+FEW_ROWS = 1024
+
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str | T.StructType) -> DataFrame:
-    """Applies a function to each Arrow batch; ``make()`` builds it once a task, so it can hold caches.
+    """Applies a function to FEW_ROWS rows of each Arrow batch at a time; ``make()`` builds it once a task, so it can hold caches.
 
     The function returns columns by name (lists, numpy or Arrow arrays), or None for no rows.
     """
@@ -30,8 +33,9 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, each = to_arrow_schema(kinds), make()
         for batch in batches:
-            if batch.num_rows and (found := each(batch)) is not None:
-                yield record_batch(found, arrow)
+            for i in range(0, batch.num_rows, FEW_ROWS):  # so that what a task holds beside a batch stays small
+                if (found := each(batch.slice(i, FEW_ROWS))) is not None:
+                    yield record_batch(found, arrow)
         if (last := getattr(each, "finish", None)) and (found := last()) is not None:
             yield record_batch(found, arrow)
 
