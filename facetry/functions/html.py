@@ -60,7 +60,87 @@ def untagged(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: None if p is None else "\n\n".join(blocks_of(p)))
 
 
+#: Elements that hold text, elements that never do, and elements without an end: fixed values.
+TEXTUAL = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "blockquote", "pre", "ul", "ol", "dl", "li", "dt", "dd", "table", "th", "td"}
+IGNORED = {"style", "script"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class Node:
+    def __init__(self, tag: str):
+        self.tag, self.parts = tag, []
+
+    def text(self) -> str:
+        """The text below, blocks and breaks on lines of their own."""
+        if self.tag in IGNORED:
+            return ""
+        inner = "".join(p.text() if isinstance(p, Node) else p.replace("\n", " ") for p in self.parts)
+        return "\n" if self.tag == "br" else f"\n{inner}\n" if self.tag in BLOCKS else inner
+
+
+class TreeBuilder(HTMLParser):
+    """The page as nodes; an end closes the nearest open element of its name, and a block closes an open paragraph."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open = [Node("")]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS and self.open[-1].tag == "p":
+            self.open.pop()
+        node = Node(tag)
+        self.open[-1].parts.append(node)
+        if tag not in VOID and len(self.open) < 500:
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag == tag:
+                del self.open[k:]
+                return
+
+    def handle_data(self, data):
+        self.open[-1].parts.append(data)
+
+
+def densest(root: Node) -> Node | None:
+    """The element with the highest density, the first of equals; None if no element has any.
+
+    A text weighs the square of its length. A textual element without any below it has the weights in it as its density;
+    any other has its children's densities, times the share (one more each) of textual ones among its child elements.
+    """
+    best: list = [0.0, None]
+
+    def weighed(node: Node) -> tuple[float, float]:
+        weight, density, elements, textual = 0.0, 0.0, 0, 0
+        for p in node.parts:
+            if isinstance(p, str):
+                weight += len(" ".join(p.split())) ** 2
+                continue
+            elements += 1
+            textual += p.tag in TEXTUAL
+            if p.tag not in IGNORED:
+                w, d = weighed(p)
+                weight, density = weight + w, density + d
+        own = weight if node.tag in TEXTUAL and not density else density * (textual + 1) / (elements + 1)
+        if node.tag and own > best[0]:
+            best[:] = [own, node]
+        return weight, own
+
+    weighed(root)
+    return best[1]
+
+
+def main_of(page: str) -> str | None:
+    builder = TreeBuilder()
+    builder.feed(page)
+    builder.close()
+    node = densest(builder.open[0])
+    lines = [] if node is None else [" ".join(x.split()) for x in node.text().split("\n")]
+    return "\n".join(x for x in lines if x) or None
+
+
 @F.pandas_udf(T.StringType())
 def main_text(pages: pd.Series) -> pd.Series:
-    """The page's densest block, that with the most characters; of equals the first; null without text."""
-    return pages.map(lambda p: None if p is None else max(blocks_of(p), key=len, default=None))
+    """The text of the page's densest element; null for null and for pages without textual elements."""
+    return pages.map(lambda p: None if p is None else main_of(p))

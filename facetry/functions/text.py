@@ -35,7 +35,7 @@ def json_at(c: Column, path: str) -> Column:
 
 def tokens(c: Column) -> Column:
     """Runs of letters and digits, in order."""
-    return F.regexp_extract_all(c, F.lit(r"([A-Za-z0-9]+)"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def ngrams(words: Column, n: int) -> Column:
@@ -46,3 +46,43 @@ def ngrams(words: Column, n: int) -> Column:
 
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'href="([^"]+)"'), F.lit(1))
+
+
+def date_of(c: Column, american: bool = False) -> Column:
+    """The date that a text of the form d/M/yyyy (or M/d/yyyy) names; null for other texts."""
+    whole = c.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
+    return F.when(whole, F.try_to_timestamp(c, F.lit("M/d/yyyy" if american else "d/M/yyyy")).cast("date"))
+
+
+def parameters(c: Column) -> Column:
+    """The name and value pairs of a query string, in order, decoded; a name without a sign has an empty value."""
+    pairs = F.filter(F.split(c, "&"), lambda x: x != "")
+    plain = lambda x: F.try_url_decode(x)
+    return F.transform(pairs, lambda x: F.struct(plain(F.substring_index(x, "=", 1)).alias("name"), plain(F.when(F.instr(x, "=") > 0, F.regexp_extract(x, "=(.*)$", 1)).otherwise("")).alias("value")))
+
+
+def rewritten(iri: Column, external: str, internal: str) -> Column:
+    """An external name as an internal one with its hash; others stay."""
+    return F.when(iri.startswith(external), F.concat(F.lit(internal), F.md5(iri))).otherwise(iri)
+
+
+def clipped(c: Column, most: int = 80) -> Column:
+    """A text of at most so many characters, the middle left out where it is longer."""
+    half = most // 2 - 1
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.substring(c, 1, half), F.lit("…"), F.right(c, F.lit(half))))
+
+
+def smart_plain(c: Column) -> Column:
+    """Curly quotes and long dashes as plain ones, control characters as spaces."""
+    return F.regexp_replace(F.translate(c, "‘’‚“”„–—", "'''\"\"\"--"), r"\p{Cntrl}", " ")
+
+
+def filled_each(template: str, **values: Column) -> Column:
+    """The template filled with every combination of the values of arrays, as an array: names vary, the last one fastest; an empty array gives none."""
+    def with_each(texts: Column, name: str, found: Column) -> Column:
+        return F.flatten(F.transform(texts, lambda t: F.transform(found, lambda x: F.replace(t, F.lit(name), x.cast("string")))))
+
+    out = F.array(F.lit(template))
+    for k, v in values.items():
+        out = with_each(out, "{" + k + "}", v)
+    return out

@@ -140,12 +140,12 @@ def stats_totals_after_slice(spark, d):
 
 
 @query("""WITH v AS (SELECT DISTINCT kind, text FROM (SELECT 'number' AS kind, CAST(user_id AS VARCHAR) AS text FROM events UNION ALL SELECT 'string', event_type FROM events UNION ALL SELECT 'iri', 'nation/' || n_nationkey FROM nation UNION ALL SELECT 'number', 'many'))
-SELECT kind, text FROM v ORDER BY CASE kind WHEN 'iri' THEN 2 WHEN 'number' THEN 4 ELSE 6 END, kind = 'number' AND try_cast(text AS DOUBLE) IS NULL, CASE WHEN kind = 'number' THEN try_cast(text AS DOUBLE) END NULLS FIRST, text LIMIT 40""")
+SELECT kind, text FROM v ORDER BY CASE kind WHEN 'iri' THEN 2 WHEN 'number' THEN 4 ELSE 6 END, kind = 'number' AND try_cast(text AS DOUBLE) IS NULL, CASE WHEN kind = 'number' THEN try_cast(text AS DOUBLE) END NULLS FIRST, text""")
 def value_order(spark, d):
     e, n = table(spark, d, "events"), table(spark, d, "nation")
     kind = lambda k: F.lit(k).alias("kind")
     v = e.select(kind("number"), F.col("user_id").cast("string").alias("text")).union(e.select(kind("string"), "event_type")).union(n.select(kind("iri"), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")))).union(n.limit(1).select(kind("number"), F.lit("many")))
-    return v.distinct().orderBy(values.sort_key(F.col("kind"), F.col("text"))).limit(40)
+    return v.distinct().orderBy(values.sort_key(F.col("kind"), F.col("text")))
 
 
 # --- functions
@@ -192,7 +192,7 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", html.main_text("html").alias("text"))
 
 
-@query("""WITH b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS token FROM benchmark), t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS token FROM documents)
+@query("""WITH b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS token FROM benchmark), t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS token FROM documents)
 SELECT doc_id, count(*) AS tokens, count(b.token) AS tagged FROM t LEFT JOIN b USING (token) GROUP BY 1""")
 def text_corpus_tag(spark, d):
     words = lambda name, *keep: table(spark, d, name).select(*keep, F.explode(F.transform(fn.tokens(F.col("text")), F.lower)).alias("token"))

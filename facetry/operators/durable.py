@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; one under /tmp where it names none on a local master. A cluster must name one, as its machines share no local folder."""
+    conf = spark.sparkContext.getConf()
+    if named := conf.get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not (conf.get("spark.master") or "").startswith(("local[", "local")) or (conf.get("spark.master") or "").startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return "/tmp/facetry-checkpoints"
 
 
 def durable(rows: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; under /tmp where it names none, as in tests."""
+    """A checkpoint in the shared folder, which cuts the lineage."""
     context = rows.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/facetry-checkpoints")
+        context.setCheckpointDir(checkpoint_folder(rows.sparkSession))
     return rows.checkpoint()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetry.operators.spans import clustered
+
 
 def opt_map(rows: DataFrame, **columns: Column) -> DataFrame:
     """Maps to new columns and drops rows in which one is missing."""
@@ -43,17 +46,27 @@ def looped(rows: DataFrame, step: Callable[[DataFrame], DataFrame], most: int =
 
 
 def pruned(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Within each key keeps intervals greedily: the longest first, then the earliest, if none kept overlaps. Keys are documents, so groups are bounded by a text."""
+    """Within each key keeps intervals greedily: the longest first, then the earliest, if none kept overlaps.
+
+    A key falls into clusters of intervals that overlap in a chain, which don't touch each other: only a cluster meets in one
+    task, not a key. The intervals kept so far stay sorted, so that an interval is compared with its two neighbours only.
+    """
 
     def keep(pdf):
-        kept: list[tuple[int, int]] = []
-        flags = []
-        for r in pdf.sort_values([start, end]).assign(_n=lambda d: d[start] - d[end]).sort_values(["_n", start], kind="stable").itertuples():
-            s, e = getattr(r, start), getattr(r, end)
-            ok = all(e <= a or s >= b for a, b in kept)
-            if ok:
-                kept.append((s, e))
-            flags.append((r.Index, ok))
-        return pdf.loc[[i for i, ok in flags if ok]]
-
-    return rows.groupBy(key).applyInPandas(keep, rows.schema)
+        pdf = pdf.drop(columns="_cluster")
+        ordered = pdf.assign(_n=pdf[start] - pdf[end]).sort_values(["_n", start, end], kind="stable")
+        starts, ends, chosen = [], [], []
+        for i, s, e in zip(ordered.index, ordered[start].tolist(), ordered[end].tolist(), strict=True):
+            at = bisect_right(starts, s)
+            if (not at or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]):
+                starts.insert(at, s)
+                ends.insert(at, e)
+                chosen.append(i)
+        return pdf.loc[chosen]
+
+    return clustered(rows, key, start, end, "_cluster").groupBy(key, "_cluster").applyInPandas(keep, rows.schema)
+
+
+def grouped(rows: DataFrame, key: Column, *values: str, name: str = "values") -> DataFrame:
+    """For each key the sorted set of its rows' values, which must fit a row."""
+    return rows.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(*values) if len(values) > 1 else F.col(values[0]))).alias(name))

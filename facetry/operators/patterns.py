@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.operators.graph import closure
+
 
 def matched(store: DataFrame, s: str, p: str, o: str) -> DataFrame:
     """Bindings of one pattern: ``?x`` is a variable, anything else a constant, which is filtered at the scan."""
@@ -65,6 +67,40 @@ def along(store: DataFrame, *path: str, start: str = "start", end: str = "end")
     return rows.select(F.col("_0").alias(start), F.col(f"_{len(path)}").alias(end))
 
 
+def any_of(store: DataFrame, *predicates: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Pairs that any of the predicates joins, as often as they do."""
+    return reduce(DataFrame.union, (along(store, p, start=start, end=end) for p in predicates))
+
+
+def repeated(store: DataFrame, predicate: str, start: str = "start", end: str = "end", zero: bool = False) -> DataFrame:
+    """Pairs joined by the predicate one or more times; with ``zero``, also each subject or object with itself."""
+    found = closure(along(store, predicate, start="a", end="b").distinct())
+    if zero:
+        ends = store.where(F.col("p") == predicate.lstrip("^"))
+        found = found.union(ends.select(F.explode(F.array("s", "o")).alias("a")).select("a", F.col("a").alias("b"))).distinct()
+    return found.select(F.col("a").alias(start), F.col("b").alias(end))
+
+
+def values(left: DataFrame, **columns: list) -> DataFrame:
+    """Bindings that agree with a row of a small inline table, given by columns; None agrees with anything."""
+    test = F.lit(False)
+    for row in zip(*columns.values(), strict=True):
+        test = test | reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in zip(columns, row, strict=True) if v is not None), F.lit(True))
+    return left.where(test)
+
+
+def in_graphs(store: DataFrame, *graphs: str) -> DataFrame:
+    """The statements of the graphs, each once: as one graph, whatever graphs hold it."""
+    return store.where(F.col("graph").isin(*graphs)).select("s", "p", "o").distinct()
+
+
+def described(store: DataFrame, subjects: DataFrame) -> DataFrame:
+    """All statements about the subjects ``s``, and those that name them as object."""
+    wanted = subjects.select(F.col("s").alias("_s")).distinct()
+    about = store.join(wanted, F.col("s") == F.col("_s"), "left_semi")
+    return about.union(store.join(wanted, F.col("o") == F.col("_s"), "left_semi")).distinct()
+
+
 def constructed(rows: DataFrame, *templates: tuple[str, str, str]) -> DataFrame:
     """The statements that the templates give for each binding, as a set; those with an unbound variable are left out."""
     term = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.plans.shapes import And, Field, Or, Value, Values, When
+from facetry.operators.graph import closure
+from facetry.plans.shapes import And, Clazz, Field, Or, Value, Values, When
 from facetry.sources.catalog import Catalog, Reference
 
 #: Items of a page unless a query asks for fewer.
@@ -41,6 +42,33 @@ def on_column(shape, column: Column) -> Column | None:
     return None
 
 
+def own_test(catalog: Catalog, name: str, shape) -> Column | None:
+    """A shape that looks at an entity's own columns only, as one predicate; None if it follows a reference."""
+    entity = catalog[name]
+    if shape is True or shape is False:
+        return F.lit(shape)
+    if isinstance(shape, (Value, Values)):
+        return on_column(shape, F.col(entity.key))
+    if isinstance(shape, Field):
+        step = entity.fields[shape.name]
+        return on_column(shape.shape, F.col(step)) if isinstance(step, str) else None
+    if isinstance(shape, (And, Or, When)):
+        parts = [own_test(catalog, name, x) for x in (shape.shapes if isinstance(shape, (And, Or)) else (shape.test, shape.then, shape.other))]
+        if any(p is None for p in parts):
+            return None
+        if isinstance(shape, When):
+            return F.when(parts[0], parts[1]).otherwise(parts[2])
+        return reduce((lambda a, b: a & b) if isinstance(shape, And) else (lambda a, b: a | b), parts)
+    return None
+
+
+def members(catalog: Catalog, name: str, clazz: str, rows: DataFrame) -> DataFrame:
+    """The rows of a class or of one below it. The catalog's class pairs are few; their closure is sent to all tasks."""
+    pairs = rows.sparkSession.createDataFrame(catalog.classes, "a string, b string")
+    below = closure(pairs).where(F.col("b") == clazz).select(F.col("a").alias("_class")).union(pairs.sparkSession.createDataFrame([(clazz,)], "_class string")).distinct()
+    return rows.join(F.broadcast(below) if len(catalog.classes) <= 10_000 else below, F.col(catalog[name].kind) == F.col("_class"), "left_semi")
+
+
 def selected(catalog: Catalog, name: str, shape, rows: DataFrame | None = None) -> DataFrame:
     """An entity's rows that a shape selects. Conditions on own columns are one filter, which reaches the scan; others are semi-joins."""
     entity = catalog[name]
@@ -49,26 +77,23 @@ def selected(catalog: Catalog, name: str, shape, rows: DataFrame | None = None)
         return rows
     if shape is False:
         return rows.where(F.lit(False))
+    if isinstance(shape, Clazz):
+        return members(catalog, name, shape.name, rows)
+    if (test := own_test(catalog, name, shape)) is not None:
+        return rows.where(test)
     if isinstance(shape, And):
         own = [s for s in shape.shapes if isinstance(s, Field) and isinstance(entity.fields[s.name], str)]
         for s in [*own, *(s for s in shape.shapes if s not in own)]:
             rows = selected(catalog, name, s, rows)
         return rows
     if isinstance(shape, Or):
-        tests = [on_column(s.shape, F.col(entity.fields[s.name])) if isinstance(s, Field) and isinstance(entity.fields[s.name], str) else None for s in shape.shapes]
-        if all(t is not None for t in tests):
-            return rows.where(reduce(lambda a, b: a | b, tests))
         ids = reduce(DataFrame.union, (selected(catalog, name, s).select(entity.key) for s in shape.shapes))
         return rows.join(ids.distinct(), entity.key, "left_semi")
     if isinstance(shape, When):
         hit = selected(catalog, name, shape.test).select(entity.key)
         then = selected(catalog, name, shape.then, rows.join(hit, entity.key, "left_semi"))
         return then.unionByName(selected(catalog, name, shape.other, rows.join(hit, entity.key, "left_anti")))
-    if isinstance(shape, (Values, Value)):
-        return rows.where(on_column(shape, F.col(entity.key)))
     step = entity.fields[shape.name]
-    if isinstance(step, str):
-        return rows.where(on_column(shape.shape, F.col(step)))
     return rows.join(*reached(catalog, step, shape.shape), "left_semi") if not wants_set(shape.shape) else by_set(catalog, name, rows, shape)
 
 
@@ -98,7 +123,8 @@ def by_set(catalog: Catalog, name: str, rows: DataFrame, shape: Field) -> DataFr
     root = step.column if step.inverse else far.key
     own = entity.key if step.inverse else step.column
     for s in shape.shape.shapes if isinstance(shape.shape, And) else [shape.shape]:
-        values, column = (s.shape, F.col(far.fields[s.name])) if isinstance(s, Field) else (s, F.col(far.key))
+        deep = isinstance(s, Field) and not isinstance(far.fields[s.name], str)
+        values, column = (None, None) if deep else (s.shape, F.col(far.fields[s.name])) if isinstance(s, Field) else (s, F.col(far.key))
         if not isinstance(values, Values):
             rows = rows.join(*reached(catalog, step, s), "left_semi")
             continue
@@ -186,3 +212,61 @@ def sliced(rows: DataFrame, order: list[Column], offset: int, limit: int) -> Dat
         return rows
     rows = rows.orderBy(*order).offset(offset)
     return rows.limit(limit) if limit else rows
+
+
+def items_grouped(catalog: Catalog, name: str, shape=True, project: dict[str, str] | None = None, orders=(), offset: int = 0, limit: int = 0) -> DataFrame:
+    """A row for each item, with its ``position`` and, for each projected path, the sorted set of its values: several paths don't multiply."""
+    key = catalog[name].key
+    page = items(catalog, name, shape, {}, orders, offset, limit)
+    page = page.withColumn("position", F.monotonically_increasing_id()).coalesce(1) if not orders else page.coalesce(1).withColumn("position", F.monotonically_increasing_id())  # a page at most
+    roots = catalog.rows(name).join(F.broadcast(page.select(F.col("id").alias("_id"))), F.col(key) == F.col("_id"), "left_semi")
+    out = page
+    for label, path in (project or {}).items():
+        joined, at = followed(catalog, name, path, roots, outer=False)
+        values = joined.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_set(at)).alias(label))
+        out = out.join(values, "id", "left")
+    return out
+
+
+def labelled_terms(catalog: Catalog, name: str, path: str, shape=True, offset: int = 0, limit: int = 0) -> DataFrame:
+    """Terms of a path with the label of each value that is an entity, which is joined to the slice; null for other values."""
+    out, entity = terms(catalog, name, path, shape, offset, limit), catalog[name]
+    for step in [p for p in path.split(".") if p]:
+        found = entity.fields[step] if entity else None
+        entity = catalog[found.entity] if isinstance(found, Reference) else None
+    label = entity and next((entity.fields[f] for f in ("label", "name") if isinstance(entity.fields.get(f), str)), None)
+    if not label:
+        return out.withColumn("label", F.lit(None).cast("string"))
+    return out.join(catalog.rows(entity.name).select(F.col(entity.key).alias("value"), F.col(label).alias("label")), "value", "left").select("value", "count", "label")
+
+
+def typed_stats(values: DataFrame, value: str, kind: str, offset: int = 0, limit: int = 0) -> DataFrame:
+    """Count, least and greatest of the values of each kind, the most frequent kind first, then by name."""
+    return sliced(values.groupBy(F.col(kind).alias("type")).agg(F.count("*").alias("count"), F.min(value).alias("min"), F.max(value).alias("max")), [F.desc("count"), F.asc("type")], offset, limit)
+
+
+def alternatives(catalog: Catalog, name: str, paths: list[str], value: str = "value") -> DataFrame:
+    """``id`` and the values that any of the paths reaches, as often as they are reached."""
+    key, parts = catalog[name].key, []
+    for path in paths:
+        joined, at = followed(catalog, name, path, catalog.rows(name), outer=False)
+        parts.append(joined.select(F.col(key).alias("id"), at.alias(value)).where(F.col(value).isNotNull()))
+    return reduce(DataFrame.union, parts)
+
+
+def violations(catalog: Catalog, name: str, shape) -> DataFrame:
+    """A row (``focus``, ``path``, ``rule``) for each test that an item's value fails; tests along references fail for the item that doesn't reach what they ask for. Missing values fail no test of a value."""
+    entity, out, tests = catalog[name], [], []
+    for part in shape.shapes if isinstance(shape, And) else [shape]:
+        inner = part.shape.shapes if isinstance(part.shape, And) else [part.shape]
+        for x in inner:
+            if isinstance(entity.fields[part.name], str) and isinstance(x, Value):
+                tests.append(F.when(~x.test(F.col(entity.fields[part.name])), F.struct(F.lit(part.name).alias("path"), F.lit(x.rule).alias("rule"))))
+            else:
+                fits = selected(catalog, name, Field(part.name, x)).select(entity.key)
+                rule = f"{x.least or ''}..{'' if x.most is None else x.most} values" if isinstance(x, Values) and not (x.all or x.any or x.every) else "shape"
+                out.append(catalog.rows(name).join(fits, entity.key, "left_anti").select(F.col(entity.key).alias("focus"), F.lit(part.name).alias("path"), F.lit(rule).alias("rule")))
+    if tests:
+        broken = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x")
+        out.insert(0, catalog.rows(name).select(F.col(entity.key).alias("focus"), broken).select("focus", "x.path", "x.rule"))
+    return reduce(DataFrame.union, out)

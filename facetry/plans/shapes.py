@@ -16,6 +16,7 @@ class Value:
     """A test of one value."""
 
     test: Callable[[Column], Column]
+    rule: str = ""
 
 
 @dataclass(frozen=True)
@@ -29,6 +30,13 @@ class Values:
     every: Value | None = None
 
 
+@dataclass(frozen=True)
+class Clazz:
+    """Membership of a class or of any class below it."""
+
+    name: str
+
+
 @dataclass(frozen=True)
 class Field:
     name: str
@@ -61,45 +69,45 @@ class When:
 
 
 def min_inclusive(v) -> Value:
-    return Value(lambda c: c >= F.lit(v))
+    return Value(lambda c: c >= F.lit(v), f"min_inclusive({v})")
 
 
 def max_inclusive(v) -> Value:
-    return Value(lambda c: c <= F.lit(v))
+    return Value(lambda c: c <= F.lit(v), f"max_inclusive({v})")
 
 
 def min_exclusive(v) -> Value:
-    return Value(lambda c: c > F.lit(v))
+    return Value(lambda c: c > F.lit(v), f"min_exclusive({v})")
 
 
 def max_exclusive(v) -> Value:
-    return Value(lambda c: c < F.lit(v))
+    return Value(lambda c: c < F.lit(v), f"max_exclusive({v})")
 
 
 def min_length(n: int) -> Value:
-    return Value(lambda c: F.length(c.cast("string")) >= n)
+    return Value(lambda c: F.length(c.cast("string")) >= n, f"min_length({n})")
 
 
 def max_length(n: int) -> Value:
-    return Value(lambda c: F.length(c.cast("string")) <= n)
+    return Value(lambda c: F.length(c.cast("string")) <= n, f"max_length({n})")
 
 
 def pattern(expression: str, flags: str = "", whole: bool = False) -> Value:
     """Selecting finds the pattern anywhere; validation (``whole``) matches all of the text."""
     text = f"(?{flags})" if flags else ""
-    return Value(lambda c: c.cast("string").rlike(f"{text}^(?:{expression})$" if whole else text + expression))
+    return Value(lambda c: c.cast("string").rlike(f"{text}^(?:{expression})$" if whole else text + expression), f"pattern({expression})")
 
 
 def stem(prefix: str) -> Value:
-    return Value(lambda c: c.cast("string").startswith(prefix))
+    return Value(lambda c: c.cast("string").startswith(prefix), f"stem({prefix})")
 
 
 def like(keywords: str, stemming: bool = True) -> Value:
-    """Words in order, each at the start of a word, without regard to case; marks are taken off the keywords only."""
+    """Words in order, each at the start of a word, all in one line, without regard to case; marks are taken off the keywords only."""
     plain = "".join(c for c in unicodedata.normalize("NFD", keywords) if not unicodedata.combining(c))
     words = re.findall(r"\w+", plain)
     end = "" if stemming else r"\b"
-    return pattern(".*".join(rf"\b{w}{end}" for w in words), "is") if words else Value(lambda c: c.isNotNull())
+    return pattern(".*".join(rf"\b{w}{end}" for w in words), "i") if words else Value(lambda c: c.isNotNull())
 
 
 def datatype(name: str) -> Value:
@@ -107,7 +115,7 @@ def datatype(name: str) -> Value:
 
 
 def one_of(*values) -> Value:
-    return Value(lambda c: c.isin(*values))
+    return Value(lambda c: c.isin(*values), f"one_of({', '.join(map(str, values))})")
 
 
 def min_count(n: int) -> Values:
@@ -187,22 +195,5 @@ def guarded(axis: str, values: tuple, *shapes):
     return When(Guard(axis, values), both(*shapes), True)
 
 
-def facets(query: dict) -> dict:
-    """A facet query's parts from its JSON object: keys are paths with an operator before them, or start with a dot."""
-    tests = {">=": min_inclusive, "<=": max_inclusive, ">": min_exclusive, "<": max_exclusive, "~": like, "^": stem, "!": lambda v: has_all(*listed(v)), "?": lambda v: has_any(*listed(v))}
-    shape: list = []
-    for key, value in query.items():
-        if key.startswith(".") or value in (None, "", []):
-            continue
-        op = next((o for o in tests if key.startswith(o)), "")
-        path = key[len(op) :].strip()
-        inner = tests[op](value) if op else has_any(*listed(value))
-        for step in reversed([p for p in path.split(".") if p]):
-            inner = Field(step, inner)
-        shape.append(inner)
-    orders = [o.strip() for o in listed(query.get(".order", []))]
-    return {"shape": both(*shape), "orders": [(o.lstrip("+-"), o.startswith("-")) for o in orders], "offset": int(query.get(".offset", 0)), "limit": int(query.get(".limit", 0)), "terms": query.get(".terms"), "stats": query.get(".stats")}
-
-
 def listed(value) -> list:
     return list(value) if isinstance(value, (list, tuple)) else [value]

@@ -25,11 +25,14 @@ class Entity:
     fields: dict[str, str | Reference] = field(default_factory=dict)
     #: SQL of a key that the table doesn't hold.
     key_sql: str | None = None
+    #: The column that names an item's class.
+    kind: str | None = None
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, folder: str, entities: list[Entity]):
-        self.spark, self.folder, self.entities = spark, folder, {e.name: e for e in entities}
+    def __init__(self, spark: SparkSession, folder: str, entities: list[Entity], classes: list[tuple[str, str]] | None = None):
+        """``classes`` are pairs of a class and one above it."""
+        self.spark, self.folder, self.entities, self.classes = spark, folder, {e.name: e for e in entities}, classes or []
 
     def __getitem__(self, name: str) -> Entity:
         return self.entities[name]
@@ -46,8 +49,8 @@ def trade(spark: SparkSession, folder: str) -> Catalog:
     return Catalog(spark, folder, [
         e("region", "region", "r_regionkey", {"label": "r_name", "nations": r("nation", "n_regionkey", True)}),
         e("nation", "nation", "n_nationkey", {"label": "n_name", "region": r("region", "n_regionkey"), "customers": r("customer", "c_nationkey", True), "suppliers": r("supplier", "s_nationkey", True)}),
-        e("customer", "customer", "c_custkey", {"name": "c_name", "segment": "c_mktsegment", "balance": "c_acctbal", "nation": r("nation", "c_nationkey"), "orders": r("order", "o_custkey", True)}),
+        e("customer", "customer", "c_custkey", {"name": "c_name", "segment": "c_mktsegment", "balance": "c_acctbal", "nation": r("nation", "c_nationkey"), "orders": r("order", "o_custkey", True)}, kind="c_mktsegment"),
         e("supplier", "supplier", "s_suppkey", {"name": "s_name", "balance": "s_acctbal", "nation": r("nation", "s_nationkey")}),
         e("order", "orders", "o_orderkey", {"status": "o_orderstatus", "total": "o_totalprice", "date": "o_orderdate", "customer": r("customer", "o_custkey"), "lines": r("line", "l_orderkey", True)}),
         e("line", "lineitem", "l_linekey", {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "flag": "l_returnflag", "status": "l_linestatus", "shipped": "l_shipdate", "order": r("order", "l_orderkey"), "supplier": r("supplier", "l_suppkey")}, "l_orderkey * 10 + l_linenumber"),
-    ])
+    ], [("MACHINERY", "INDUSTRY"), ("AUTOMOBILE", "INDUSTRY"), ("BUILDING", "CONSTRUCTION"), ("INDUSTRY", "BUSINESS"), ("CONSTRUCTION", "BUSINESS")])

@@ -23,13 +23,28 @@ def unescaped(c: Column) -> Column:
     c = F.replace(c, F.lit("\\\\"), F.lit(MARK))
     for plain, code in ESCAPES[1:]:
         c = F.replace(c, F.lit(code), F.lit(plain))
+    codes = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\\u([0-9A-Fa-f]{4})"), F.lit(1)))
+    c = F.aggregate(codes, c, lambda text, code: F.replace(text, F.concat(F.lit("\\u"), code), F.decode(F.unhex(code), "UTF-16BE")))
     return F.replace(c, F.lit(MARK), F.lit("\\"))
 
 
 def formatted(statements: DataFrame) -> DataFrame:
-    """A ``value`` line for each statement of IRIs s and p, plain literal o, and graph, which may be null."""
-    iri = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
-    return statements.select(F.concat_ws(" ", iri("s"), iri("p"), F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"')), iri("graph"), F.lit(".")).alias("value"))
+    """A ``value`` line for each statement of s (an IRI or blank node), IRI p, object o and graph, which may be null.
+
+    The columns ``kind`` (iri, blank or literal), ``lang`` and ``datatype`` of an object are used where they are there; else it is a plain literal.
+    """
+    iri = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
+    column = lambda name: F.col(name) if name in statements.columns else F.lit(None).cast("string")
+    tag, kind = column("lang"), F.coalesce(column("kind"), F.lit("literal"))
+    end = F.when(tag.isNotNull(), F.concat(F.lit("@"), tag)).when(column("datatype").isNotNull(), F.concat(F.lit("^^"), iri(column("datatype")))).otherwise("")
+    thing = F.when(kind == "iri", iri(F.col("o"))).when(kind == "blank", F.col("o")).otherwise(F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"'), end))
+    subject = F.when(F.col("s").startswith("_:"), F.col("s")).otherwise(iri(F.col("s")))
+    return statements.select(F.concat_ws(" ", subject, iri(F.col("p")), thing, iri(F.col("graph")), F.lit(".")).alias("value"))
+
+
+def one_graph(statements: DataFrame, graph: str | None) -> DataFrame:
+    """The lines of one graph's statements, without its name; the default graph for None."""
+    return formatted(statements.where(F.col("graph").eqNullSafe(F.lit(graph))).withColumn("graph", F.lit(None).cast("string")))
 
 
 def parsed(lines: DataFrame) -> DataFrame:

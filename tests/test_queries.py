@@ -8,6 +8,7 @@ import pytest
 
 import facetry.more  # noqa: F401
 import facetry.queries as core
+import facetry.wider  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the driver's tables are absent")
@@ -39,3 +40,52 @@ def test_pruned_intervals_do_not_overlap(spark):
     kept = core.Q["flow_prune"](spark, FOLDER).toPandas().sort_values(["user_id", "start"])
     before = kept.groupby("user_id")["end"].shift()
     assert len(kept) and not (kept["start"] < before).any()
+
+
+def test_pruning_keeps_the_greedy_set(spark):
+    from facetry.operators import flow
+
+    random = __import__("random").Random(3)
+    rows = [(k, a, a + random.randint(1, 30)) for k in range(3) for a in (random.randint(0, 300) for _ in range(60))]
+    rows += rows[:5]
+    found = sorted(tuple(r) for r in flow.pruned(spark.createDataFrame(rows, "k long, a long, b long"), "k", "a", "b").collect())
+    told: list = []
+    for k, a, b in sorted(rows, key=lambda r: (r[1] - r[2], r[1])):
+        if all(k != x or b <= y or z <= a for x, y, z in told):
+            told.append((k, a, b))
+    assert found == sorted(told)
+    assert flow.pruned(spark.createDataFrame([], "k long, a long, b long"), "k", "a", "b").count() == 0
+
+
+def test_densest_element():
+    from facetry.functions import html
+
+    page = "<html><head><title>Title</title></head><body><ul><li>one<li>two</ul><div><p>A long paragraph of plain text.</p><p>Another one that goes on.</p></div><p>short</p><script>var x = 'much longer than any text here, but a script';</script></body></html>"
+    assert html.main_of(page) == "A long paragraph of plain text.\nAnother one that goes on."
+    assert html.main_of("<p>only</p>") == "only" and html.main_of("") is None and html.main_of("<div>no textual element</div>") is None
+    assert html.blocks_of("<h1>Top</h1><p>a<br>b</p><ul><li>x</li></ul><style>p{}</style>") == ["# Top", "a\nb", "- x"]
+
+
+def test_facet_queries_that_are_errors(spark):
+    from facetry.plans import facets
+    from facetry.sources.catalog import trade
+
+    catalog = trade(spark, FOLDER)
+    for text in ("{", ".limit=-1", ".offset=x", '{">= balance": "much"}', "a..b=1"):
+        with pytest.raises(facets.Malformed):
+            facets.parsed(catalog, "customer", text)
+    for text in ("colour=red", "nation.flag=1", "name.x=1", ".terms=size"):
+        with pytest.raises(facets.UnknownStep):
+            facets.parsed(catalog, "customer", text)
+    assert facets.parsed(catalog, "customer", "")["shape"] is True
+    assert facets.decoded("a=1,2&a=3&.terms=x,y&.limit=5") == {"a": ["1", "2", "3"], ".terms": "x,y", ".limit": 5}
+
+
+def test_borders_of_spans(spark):
+    from facetry.operators import spans
+
+    left = spark.createDataFrame([(1, 0, 10), (1, 20, 35), (2, 0, 5)], "k long, start long, end long")
+    right = spark.createDataFrame([(1, 10, 20), (1, 35, 36), (2, 6, 7), (1, 5, 25)], "k long, start long, end long")
+    found = sorted((r.k, r.start, r._start) for r in spans.joined(left, right, "k", "borders", 7).collect())
+    assert found == [(1, 0, 10), (1, 20, 10), (1, 20, 35)]
+    assert spans.joined(left, right, "k", "intersects", 4).count() == 2

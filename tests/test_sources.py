@@ -52,3 +52,12 @@ def test_facets_over_a_stream(spark, tmp_path):
     told = {tuple(r) for r in windowed_terms(rows, "ts", "value").collect()}
     found = {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert found and found <= told  # windows that the watermark has passed
+
+
+def test_quads_of_all_kinds_come_back(spark):
+    lines = ['<a> <p> <b> <g> .', '_:x <p> _:y .', '<a> <p> "un \\"mot\\"\\n"@fr <g> .', '<a> <p> "3"^^<int> .', '<a> <p> "plain \\\\u" .']
+    rows = nquads.parsed(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted(r.value for r in nquads.formatted(rows).collect()) == sorted(lines)
+    found = nquads.parsed(spark.createDataFrame([('<a> <p> "caf\\u00e9 \\\\u0041" .',)], "value string")).collect()
+    assert found[0].o == "café \\u0041"
+    assert [r.value for r in nquads.one_graph(rows, "g").where("value like '%@fr%'").collect()] == ['<a> <p> "un \\"mot\\"\\n"@fr .']
