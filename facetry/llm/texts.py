@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from facetry.operators.durable import checkpoint_folder, durable
+
 #: A word is a run of characters other than space and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,23 +80,15 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where the setting is absent, as in local tests, a folder under /tmp is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/facetry-checkpoints")
-    return df.checkpoint(eager=True)
+    """Cuts the lineage through the shared folder that the cluster names in spark.checkpoint.dir; an error where a cluster names none."""
+    return durable(df)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's path inside the shared checkpoint folder."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/facetry-checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
