@@ -16,8 +16,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def durable(rows: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder, which cuts the lineage."""
+    """A checkpoint in the shared folder, which cuts the lineage. Its files go when nothing refers to it any more (spark.cleaner.referenceTracking.cleanCheckpoints)."""
     context = rows.sparkSession.sparkContext
+    context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(checkpoint_folder(rows.sparkSession))
     return rows.checkpoint()
