@@ -375,7 +375,7 @@ def keyed_texts(docs: DataFrame, id_col: str, text_col: str, first_stays: bool,
 
 def repeated_runs(rows: DataFrame, classes: DataFrame, first_stays: bool) -> DataFrame:
     """Runs of which an equal one is elsewhere (or, earlier). Common ones, few by their definition, are sent to all tasks; of the others none is large."""
-    names, total = ["h", "s1", "s2"], classes.agg(F.sum("n_runs")).first()[0] or 0
+    names, total = ["h", "s1", "s2"], rows.count()
     twice = classes.where("n_runs > 1").select(*names, "n_runs", "first")
     common = F.col("n_runs") > max(1000.0, total * COMMON)
     few, many = twice.where(common).drop("n_runs"), twice.where(~common).drop("n_runs")
@@ -388,10 +388,11 @@ def repeated_ranges(docs: DataFrame, first_stays: bool, length: int = LENGTH) ->
     """Byte ranges [s, e) of keyed texts that a window with another (or, an earlier) occurrence covers; ranges may overlap."""
     rows = checkpointed(text_runs(docs, length))
     first = F.min(F.struct("doc_id", "k1", "lo", "k2", "n")).alias("first")
-    classes = checkpointed(rows.groupBy("h", "s1", "s2").agg(F.count("*").alias("n_runs"), first, F.max("again").alias("again")))
-    sums = classes.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("first.n") + length - 1).alias("bytes"))
-    needed = classes.join(sums.where("kinds > 1"), "h", "left").where("kinds is not null or again")
-    needed = checkpointed(needed.select("first.doc_id", "first.k1", "first.k2", "first.lo", "first.n", "h", (F.coalesce("bytes", F.lit(0)) > HOT).alias("hot")))
+    classes = rows.groupBy("h", "s1", "s2").agg(F.count("*").alias("n_runs"), first, F.max("again").alias("again"))
+    sums = classes.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("first.n") + length - 1).alias("bytes")).where("kinds > 1")
+    classes = checkpointed(classes.join(sums, "h", "left").where("n_runs > 1 or kinds is not null or again"))
+    needed = classes.where("kinds is not null or again")
+    needed = needed.select("first.doc_id", "first.k1", "first.k2", "first.lo", "first.n", "h", (F.coalesce("bytes", F.lit(0)) > HOT).alias("hot"))
     spans = spans_of(docs, needed.select("k1", "k2", "lo", "n", "h", "hot"), length)
     hot = not needed.where("hot").isEmpty()
     spans = checkpointed(spans) if hot else spans

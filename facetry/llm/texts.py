@@ -7,6 +7,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,10 +93,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``row``, a number that no other row has, and ``of``, all columns; written to the shared folder, so that numbers stay."""
-    folder = shared_folder(docs.sparkSession)
-    docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("of")).write.parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    """``row``, a number that no other row has, and ``of``, all columns.
+
+    Rows read from files have the number of their file and their place in it. Others are written to the shared folder first, so
+    that their numbers stay.
+    """
+    of = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("of")
+    try:
+        if "_metadata" in docs.columns:
+            raise AnalysisException("a column of that name")
+        placed = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"), of)
+    except AnalysisException:
+        folder = shared_folder(docs.sparkSession)
+        docs.select(F.monotonically_increasing_id().alias("row"), of).write.parquet(folder)
+        return docs.sparkSession.read.parquet(folder)
+    paths = sorted(r.path for r in placed.select("path").distinct().collect())  # the driver lists the files anyway
+    files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "file long, path string")
+    return placed.join(F.broadcast(files), "path").select(F.shiftleft("file", 40).bitwiseOR(F.col("at")).alias("row"), "of")
 
 
 def entropy(counts) -> float:
