@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.llm.texts import checkpointed, id_type, map_rows, numbered, record_batch
+from facetry.llm.texts import checkpointed, id_type, map_rows, numbered, record_batch, release
 
 LENGTH = 400
 #: Length of the k-grams whose least hash deals windows out.
 GRAM = 48
 #: Bytes handled at once; bytes of a k-gram's spans that are sorted in one task at most; bytes of spans sorted at once.
-PIECE, HOT, SORT = 1 << 19, 2 << 20, 1 << 20
+PIECE, HOT, SORT = 1 << 19, 1 << 20, 1 << 19
 #: A run that makes up more than this share of all runs is common: there are fewer than 1 / COMMON of those.
 COMMON = 1 / 2000
 #: Bytes by which suffixes are first ranked; each further round doubles the length.
@@ -303,6 +303,7 @@ def sort_spans(first_stays: bool, length: int):
                     size = sum(len(s) for s in rows.slice(whole)["span"].to_pylist()) if whole else 0
         if held:
             yield settle(pa.Table.from_batches(held))
+        release()
 
     return run
 

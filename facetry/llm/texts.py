@@ -41,10 +41,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict |
                     yield record_batch(found, arrow)
         if (last := getattr(each, "finish", None)) and (found := last()) is not None:
             yield record_batch(found, arrow)
+        release()
 
     return df.mapInArrow(run, kinds)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system, as its worker lives on beside others."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
 def record_batch(found: dict, arrow: pa.Schema) -> pa.RecordBatch:
     columns = [x if isinstance(x, pa.Array) and x.type == f.type else x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for f in arrow for x in [found[f.name]]]
     return pa.RecordBatch.from_arrays(columns, schema=arrow)
