@@ -201,6 +201,28 @@ def test_embeddings_that_link_with_nothing(spark):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found.collect()} == brute_embeddings(rows)
 
 
+def test_planted_links_match_brute_force(spark):
+    """A few pairs at about 0.9, one large group, repeated rows and clashing columns among vectors that link with nothing."""
+    random = np.random.default_rng(21)
+    x = hnsw.unit(random.normal(size=(2500, 32)))
+    for k in range(60):
+        off = random.normal(size=32)
+        off -= off @ x[k] * x[k]
+        cosine = (0.899, 0.901, 0.95)[k % 3]
+        x[100 + k] = cosine * x[k] + math.sqrt(1 - cosine**2) * off / np.linalg.norm(off)
+    x[300:500] = hnsw.unit(x[299] + 0.05 * random.normal(size=(200, 32)))
+    rows = [(i, v.tolist(), 7, "extra") for i, v in enumerate(x)] + [(5000 + i, x[i].tolist(), 7, "extra") for i in range(10)]
+    found = hnsw.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node long, shard string")).collect()
+    y = np.array([r[1] for r in rows])
+    near = y @ y.T >= hnsw.COSINE
+    told = dict(zip([r[0] for r in rows], (near.sum(axis=1) - 1).tolist(), strict=True))
+    assert sum(r.n_links for r in found) >= 0.995 * sum(told.values()) and all(r.n_links <= told[r.vec_id] for r in found)
+    assert all(r.recall >= hnsw.RECALL for r in found)
+    ids = [r[0] for r in rows]
+    group = groups_of(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero(near)) if a < b])
+    assert sum(r.component_id == group[r.vec_id] for r in found) >= 0.995 * len(rows)
+
+
 def test_graph_search_finds_near_vectors():
     random = np.random.default_rng(2)
     centres = random.normal(size=(300, 16))
