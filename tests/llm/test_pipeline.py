@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline as pipeline
 from helpers import LARGER, groups_of
 from test_dedup import brute_ranges
+from test_near_copies import near, plain_shingles
 
 from facetry.llm import mixing, simhash, suffixes
 
@@ -24,7 +25,8 @@ def test_stages_one_after_the_other(spark, tmp_path):
         elif k == 1:
             prints = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in before}
             ids = sorted(prints)
-            links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 4]
+            sets = {r.doc_id: plain_shingles(r.text or "") for r in before}
+            links = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 4 or near(sets[a], sets[b])]
             assert sorted(r.doc_id for r in after) == sorted(set(groups_of(ids, links).values()))
         elif k == 2:
             texts = {r.doc_id: (r.text or "").encode() for r in before}
