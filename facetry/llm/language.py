@@ -17,7 +17,7 @@ SLOTS = 1 << BITS
 CHUNK = 1024
 #: Characters handled at once, so that a very long text takes bounded memory.
 PIECE = 1 << 20
-#: More learned languages than this is an error, as the model's size grows with them.
+#: Languages that are learned, those of most rows: the model's size grows with them, so a column full of other values can't be learned whole.
 MOST_LANGUAGES = 500
 UNKNOWN = "und"
 #: A decoding whose two nearest codewords differ by less than this share of their probability is ambiguous.
@@ -29,42 +29,75 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def slots_of(text: str) -> np.ndarray | None:
-    """The hash slots of all one- to three-character sequences of lower-cased letters and word bounds; None without a letter."""
+def points_of(text: str) -> np.ndarray:
+    """The code points of the lower-cased text, all but letters as spaces."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    points = np.concatenate([[32], np.where(letters()[points], points, 32), [32]]).astype(np.uint32)
-    points = points[np.append(True, (points[1:] != 32) | (points[:-1] != 32))]
-    if len(points) < 3:
-        return None
+    return np.where(letters()[points], points, 32).astype(np.uint32)
+
+
+def single_spaced(points: np.ndarray) -> np.ndarray:
+    return points[np.append(True, (points[1:] != 32) | (points[:-1] != 32))]
+
+
+def slots_ending_after(points: np.ndarray, seen: int) -> np.ndarray:
+    """The hash slots of all sequences of one to three points that end after the first ``seen`` (one or two) of them."""
     pairs = points[:-1] * np.uint32(2654435761) + points[1:]
     triples = pairs[:-1] * np.uint32(2246822519) + points[2:]
-    hashed = np.concatenate([points[points != 32] * np.uint32(3266489917), pairs * np.uint32(668265263), triples])
+    new = points[seen:]
+    hashed = np.concatenate([new[new != 32] * np.uint32(3266489917), pairs[seen - 1 :] * np.uint32(668265263), triples[max(seen - 2, 0) :]])
     hashed ^= hashed >> np.uint32(15)
     return ((hashed * np.uint32(2654435769)) >> np.uint32(32 - BITS)).astype(np.int32)
 
 
+def slots_of(text: str) -> np.ndarray | None:
+    """The hash slots of all one- to three-character sequences of lower-cased letters and word bounds; None without a letter."""
+    points = single_spaced(np.concatenate([[32], points_of(text), [32]]).astype(np.uint32))
+    return slots_ending_after(points, 1) if len(points) >= 3 else None
+
+
+def cut(text: str, size: int):
+    """Pieces of the text of up to ``size`` characters, each cut behind a space if it has one, as a letter's lower case can depend on its word."""
+    start = 0
+    while start < len(text):
+        end = start + size
+        if end < len(text):
+            end = text.rfind(" ", start, end) + 1 or end
+        yield text[start:end]
+        start = end
+
+
 def counts_of(text: str) -> np.ndarray | None:
-    """Counts of the slots, piece by piece; None without a letter."""
-    total = None
-    for i in range(0, len(text), PIECE):
-        if (found := slots_of(text[i : i + PIECE])) is not None:
-            total = np.bincount(found, minlength=SLOTS) if total is None else total + np.bincount(found, minlength=SLOTS)
-    return total
+    """Counts of ``slots_of`` piece by piece, the last two characters of each carried over to the next; None without a letter."""
+    if len(text) <= PIECE:
+        found = slots_of(text)
+        return None if found is None else np.bincount(found, minlength=SLOTS)
+    total, last, found = np.zeros(SLOTS, np.int64), np.array([32], np.uint32), False
+    for piece in (*cut(text, PIECE), " "):
+        points = single_spaced(np.concatenate([last, points_of(piece)]))
+        if len(points) > len(last):
+            total += np.bincount(slots_ending_after(points, len(last)), minlength=SLOTS)
+            found = True
+        last = points[-2:]
+    return total if found else None
 
 
 def language_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """The languages in order and their slot counts over all texts: each task sends one row a language and chunk of slots."""
+    """The languages in order and their slot counts over all their texts: each task sends one row a language and chunk of slots.
+
+    Rows without a language, and languages without a letter in any text, teach nothing. Of more than MOST_LANGUAGES languages
+    those with most rows are learned, at equal counts the first by name.
+    """
     rows = keyed(docs.where(F.col(f"`{lang_col}`").isNotNull()), id_col, text_col, lang=F.col(f"`{lang_col}`").cast("string"))
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    learned = {r.lang for r in most.collect()}
 
     def make():
         total: dict[str, np.ndarray] = {}
 
         def each(batch):
             for raw, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                if raw and (found := counts_of(raw.decode("utf-8", "replace"))) is not None:
+                if raw and lang in learned and (found := counts_of(raw.decode("utf-8", "replace"))) is not None:
                     total[lang] = total[lang] + found if lang in total else found
-            if len(total) > MOST_LANGUAGES:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
 
         def finish():
             keys = [(x, i) for x in total for i in range(SLOTS // CHUNK)]
@@ -80,8 +113,6 @@ def language_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = "lang string, chunk int, counts binary"
     found = map_rows(rows, make, kind).groupBy("lang", "chunk").applyInArrow(summed, kind).collect()  # at most MOST_LANGUAGES vectors of SLOTS counts
     names = sorted({r.lang for r in found})
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     out = np.zeros((len(names), SLOTS), np.int64)
     for r in found:
         out[names.index(r.lang), r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, "<i8")
@@ -100,7 +131,8 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     for _ in range(50):
         code = random.choice(np.array([-1, 1], np.int8), (n, width))
         code[random.integers(n, size=width), np.arange(width)] = -np.sign(code.sum(axis=0) + 0.5).astype(np.int8)  # no bit is the same for all
-        least = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        same = code.astype(np.int32) @ code.T.astype(np.int32)
+        least = (width - int(same[~np.eye(n, dtype=bool)].max())) // 2
         if least > most:
             best, most = code, least
     return best

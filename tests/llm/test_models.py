@@ -147,3 +147,32 @@ def test_counts_packed_and_read_again():
     for top in (0, 200, 300, 70_000, 1 << 40):
         counts = np.array([0, 1, top])
         assert mixing_lm.widened(mixing_lm.narrow(counts), 3).tolist() == counts.tolist()
+
+
+def test_more_languages_than_are_learned(spark, monkeypatch):
+    docs = documents(spark, [(i, f"the words of text {'abcdefghij'[i % 10] * 3}", f"l{i % 8}", "web") for i in range(60)] + [(90, "rare words", "rare", "web"), (91, "more", None, "web")])
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 6)
+    names, counts = language.language_counts(docs)
+    assert names == ["l0", "l1", "l2", "l3", "l4", "l5"] and counts.shape == (6, language.SLOTS)
+    found = language.identify(docs, language.OutputCodes(names, counts)).collect()
+    assert len(found) == 62 and {r.lang_pred for r in found} <= set(names)
+
+
+def test_codewords_of_many_languages_differ():
+    for n in (2, 3, 5, 6, 40, language.MOST_LANGUAGES):
+        code = language.codewords(n)
+        assert len(np.unique(code, axis=0)) == n and all(len(set(bit)) == 2 for bit in code.T)
+
+
+def test_pieces_of_long_texts_have_all_sequences(monkeypatch):
+    texts = ["", " 1 2 ", "ab", "Ein Satz, mit  vielen; Wörtern. " * 30, "ΟΔΟΣ ΣΑΣ " * 9, "x" * 200, "   a   b" * 50, "1" * 40 + "a" + "2" * 40, "İstanbul " * 8]
+    for text in texts:
+        slots = language.slots_of(text)
+        for size in (1, 2, 3, 16, 31):
+            if size < 16 and "Σ" in text:
+                continue  # a word longer than a piece: its last letter's lower case depends on the rest
+            monkeypatch.setattr(language, "PIECE", size)
+            found = language.counts_of(text)
+            assert (found is None) == (slots is None)
+            if slots is not None:
+                assert (found == np.bincount(slots, minlength=language.SLOTS)).all(), (size, text[:20])
