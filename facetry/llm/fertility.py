@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.llm.texts import checkpointed, id_type, keyed, map_rows
-from facetry.llm.vocabularies import FOLDER, broadcast_file, byte_bpe
+from facetry.llm.vocabularies import FOLDER, broadcast_file, encoder
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+#: The vocabularies that measure: one for English, one for many languages, and one of pieces with byte fallback.
+VOCABULARIES = {"byte": f"{FOLDER}/byte_bpe_50k.tiktoken", "multi": f"{FOLDER}/byte_bpe_multi_50k.tiktoken", "piece": f"{FOLDER}/piece_bpe_32k.model"}
+#: Bands are medians of measures in so many parts of one, which bounds the values that a histogram holds.
+PARTS = 1000
 MIN_WORDS = 50
 #: Percent of words in repeated three-word windows above which a text fails.
 MAX_REPEATED = 50
-#: Up to so many languages and scripts, their table is broadcast; beyond, it is joined on salted keys.
+#: Up to so many pairs of language and script, their table is broadcast; beyond, it is joined on salted keys.
 BROADCAST_BANDS, SALTS = 2000, 16
 
 
@@ -51,110 +57,152 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def entropy_bits(ids: np.ndarray, window: int) -> float | None:
-    """Mean entropy in bits of whole windows of tokens, so that it doesn't rise with the length; None for less than one window."""
-    m = len(ids) // window
-    if not m:
+    """Mean entropy in bits of windows of tokens, so that it doesn't rise with the length; the last window may overlap the one before.
+
+    A shorter text is one window, whose entropy is scaled by the greatest that it could have; None for less than two tokens.
+    """
+    m = len(ids)
+    if m < 2:
         return None
-    rows = np.sort(ids[: m * window].reshape(m, window), axis=1)
-    new = np.ones((m, window), bool)
+    width = min(m, window)
+    rows = ids[: m // width * width].reshape(-1, width)
+    if m % width:
+        rows = np.vstack([rows, ids[-width:]])
+    rows = np.sort(rows, axis=1)
+    new = np.ones(rows.shape, bool)
     new[:, 1:] = rows[:, 1:] != rows[:, :-1]
-    counts = np.diff(np.append(np.flatnonzero(new), m * window))
-    return float(np.log2(window) - (counts * np.log2(counts)).sum() / window / m)
+    counts = np.diff(np.append(np.flatnonzero(new), rows.size))
+    bits = np.log2(width) - (counts * np.log2(counts)).sum() / rows.size
+    return float(bits * np.log2(window) / np.log2(width))
+
+
+@cache
+def script_of(character: str) -> str | None:
+    return unicodedata.name(character, "other").split(" ")[0].split("-")[0].lower() if character.isalpha() else None
 
 
 def script(text: str) -> str:
-    """The script of most letters, by the first word of their Unicode names; "none" without letters. Looks at up to 2,000 letters spread over the text."""
-    step = max(1, len(text) // 2000)
-    names: dict[str, int] = {}
-    for c in text[::step]:
-        if c.isalpha():
-            name = unicodedata.name(c, "other").split(" ")[0].split("-")[0]
-            names[name] = names.get(name, 0) + 1
-    return min(names, key=lambda x: (-names[x], x)).lower() if names else "none"
-
-
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = f"{FOLDER}/byte_bpe_50k.tiktoken", window: int = 128) -> DataFrame:
-    """Word figures and tokeniser measures of each row, and the language or else the script as ``band_key``.
-
-    A null or empty text has no words or tokens and null measures. ``byte_share`` is the share of tokens that are a part
-    of a character's bytes; ``token_entropy`` is null for texts of less than one window of tokens. Repeated rows are
-    measured each.
+    """The script of most letters, by the first word of their Unicode names, at equal counts the first by name; "none" without letters."""
+    names: Counter[str] = Counter()
+    for character, n in Counter(text).items():
+        if name := script_of(character):
+            names[name] += n
+    return min(names, key=lambda x: (-names[x], x)) if names else "none"
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", vocabularies: dict[str, str] = VOCABULARIES, window: int = 128) -> DataFrame:
+    """Word figures and each vocabulary's measures of each row, its script, and its language or else the script as ``band_key``.
+
+    The columns of a vocabulary end in its name. A null or empty text has no words or tokens and null measures.
+    ``byte_share`` is the share of tokens that are less than whole characters; ``token_entropy`` is null for texts of less
+    than two tokens. Repeated rows are measured each.
     """
-    ranks = broadcast_file(docs.sparkSession, vocabulary)
+    files = {k: broadcast_file(docs.sparkSession, path) for k, path in vocabularies.items()}  # of fixed sizes
 
     def make():
-        encoding = byte_bpe(ranks.value)
-        part = np.zeros(encoding.n_vocab, bool)
-        for token, rank in encoding._mergeable_ranks.items():
-            part[rank] = len(token) == 1 and token[0] > 127
+        encoders = {k: encoder(files[k].value, path) for k, path in vocabularies.items()}
+        of_words = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
         def each(batch):
-            out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *MEASURES, "band_key")}
+            out: dict[str, list] = {k: [] for k in (*of_words, "band_key", "script", *columns(vocabularies))}
             for raw, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 raw = raw or b""
-                for k, v in zip(list(out)[:5], word_figures(raw), strict=True):
+                for k, v in zip(of_words, word_figures(raw), strict=True):
                     out[k].append(v)
                 text = raw.decode("utf-8", "replace")
-                ids = np.array(encoding.encode_ordinary(text), np.int32)
-                out["n_tokens"].append(len(ids))
-                out["chars_per_token"].append(len(text) / len(ids) if len(ids) else None)
-                out["byte_share"].append(float(part[ids].mean()) if len(ids) else None)
-                out["token_entropy"].append(entropy_bits(ids, window))
-                out["band_key"].append(f"lang:{lang}" if lang is not None else f"script:{script(text)}")
+                for k, (encode, part) in encoders.items():
+                    ids = np.array(encode(text), np.int32)
+                    out[f"n_tokens_{k}"].append(len(ids))
+                    out[f"chars_per_token_{k}"].append(len(text) / len(ids) if len(ids) else None)
+                    out[f"byte_share_{k}"].append(float(part[ids].mean()) if len(ids) else None)
+                    out[f"token_entropy_{k}"].append(entropy_bits(ids, window))
+                written = script(text)
+                out["script"].append(written)
+                out["band_key"].append(f"lang:{lang}" if lang is not None else f"script:{written}")
             return out | {"doc_id": batch["doc_id"]}
 
         return each
 
     lang = F.col(f"`{lang_col}`").cast("string") if lang_col else F.lit(None).cast("string")
-    longs = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long"
-    return map_rows(keyed(docs, id_col, text_col, lang=lang), make, f"doc_id {id_type(docs, id_col)}, {longs}, {', '.join(f'{m} double' for m in MEASURES)}, band_key string")
+    kinds = ", ".join(f"{k} {'long' if k.startswith('n_tokens') else 'double'}" for k in columns(vocabularies))
+    longs = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    return map_rows(keyed(docs, id_col, text_col, lang=lang), make, f"doc_id {id_type(docs, id_col)}, {longs}, band_key string, script string, {kinds}")
+
+
+def columns(vocabularies) -> list[str]:
+    return [f"{m}_{k}" for k in vocabularies for m in ("n_tokens", *MEASURES)]
+
+
+def measures_of(measured: DataFrame) -> list[str]:
+    return [c for c in measured.columns if c.startswith(MEASURES)]
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def with_bands(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-    """Joins each row's band key. One language may hold a third of all rows, which therefore aren't dealt out by it."""
+def with_bands(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Joins the bands of each row's language and script. One language may hold a third of all rows, which therefore aren't dealt out by it."""
     table = checkpointed(table)
     if table.count() <= BROADCAST_BANDS:
-        return rows.join(F.broadcast(table), "band_key", how)
+        return rows.join(F.broadcast(table), ["band_key", "script"], "left")
     salted = table.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, ["band_key", "salt"], how).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).join(salted, ["band_key", "script", "salt"], "left").drop("salt")
+
+
+def medians(histogram: DataFrame) -> DataFrame:
+    """The lower median ``mid`` of each key's measure, and how many values it has. A window holds a key's different values, not its rows."""
+    w = Window.partitionBy("key", "measure")
+    upto = histogram.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("n", F.sum("n").over(w))
+    return upto.where(F.col("upto") * 2 >= F.col("n")).groupBy("key", "measure").agg(F.min("value").alias("mid"), F.max("n").alias("n"))
 
 
 def bands(measured: DataFrame, spread: float = 6.0, least: int = 30) -> DataFrame:
-    """For each band key and measure the median and the band around it, from all rows that pass the base rules.
+    """For each pair of band key and script the median and the band around it of each measure, from all rows that pass the base rules.
 
-    The half width is ``spread`` times the scaled median absolute deviation, and at least 2% of the median or 0.02. Keys with
-    fewer than ``least`` rows get no band of their own.
+    The half width is ``spread`` times the scaled median absolute deviation, and at least 2% of the median or 0.02. Medians
+    are exact, of measures rounded to 1 / PARTS. A key with fewer than ``least`` such rows has the band of its script, and a
+    script with fewer that of all rows; so few rows in all give no band.
     """
-    rows = measured.where(~base_failed())
-    middle = rows.groupBy("band_key").agg(F.count("*").alias("n"), *(F.percentile_approx(m, 0.5, 10_000).alias(f"{m}_mid") for m in MEASURES)).where(F.col("n") >= least)
-    middle = checkpointed(middle)
-    off = with_bands(rows, middle).groupBy("band_key").agg(*(F.percentile_approx(F.abs(F.col(m) - F.col(f"{m}_mid")), 0.5, 10_000).alias(f"{m}_off") for m in MEASURES))
-    out = middle.join(off, "band_key")
-    for m in MEASURES:
-        half = F.greatest(spread * 1.4826 * F.col(f"{m}_off"), 0.02 * F.col(f"{m}_mid"), F.lit(0.02))
-        out = out.withColumn(f"{m}_low", F.col(f"{m}_mid") - half).withColumn(f"{m}_high", F.col(f"{m}_mid") + half)
-    return out.select("band_key", *(f"{m}_{e}" for m in MEASURES for e in ("low", "high")))
+    names = measures_of(measured)
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * PARTS).cast("long").alias("value")) for m in names))).alias("of")
+    counts = measured.where(~base_failed()).select("band_key", "script", values).select("band_key", "script", "of.*").where("value IS NOT NULL")
+    counts = checkpointed(counts.groupBy("band_key", "script", "measure", "value").agg(F.count("*").alias("n")))
+    keys = {"own": F.col("band_key"), "written": F.concat(F.lit("script:"), "script"), "all": F.lit("all")}
+    each = counts.withColumn("key", F.explode(F.array_distinct(F.array(*keys.values())))).groupBy("key", "measure", "value").agg(F.sum("n").alias("n"))
+    middle = checkpointed(medians(each))
+    off = each.join(middle.select("key", "measure", "mid"), ["key", "measure"]).groupBy("key", "measure", F.abs(F.col("value") - F.col("mid")).alias("value")).agg(F.sum("n").alias("n"))
+    found = middle.join(medians(off).select("key", "measure", F.col("mid").alias("off")), ["key", "measure"])
+    half = F.greatest(spread * 1.4826 * F.col("off"), 0.02 * F.col("mid"), F.lit(0.02 * PARTS))
+    found = found.select("key", "measure", "n", ((F.col("mid") - half) / PARTS).alias("low"), ((F.col("mid") + half) / PARTS).alias("high"))
+    limits = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in names for e in ("low", "high")]
+    table = found.groupBy("key").agg(F.max("n").alias("rows"), *limits).where(F.col("rows") >= least).drop("rows")
+    table = checkpointed(table)
+    pairs = counts.select("band_key", "script").distinct()
+    for label, key in keys.items():
+        pairs = pairs.join(table.select(F.col("key"), F.col("key").alias(label)), key == F.col("key"), "left").drop("key")
+    return pairs.withColumn("key", F.coalesce(*keys)).drop(*keys).join(table, "key").withColumnRenamed("key", "band")
 
 
 def fertility_rules(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds ``base_failed``, the verdict of each band and ``kept``.
+    """Adds ``base_failed``, the verdict of each kind of band, ``band``, the key of the band that was taken, and ``kept``.
 
-    A text is rejected if its base fails, or it has fewer or more characters a token than its band, a higher share of byte
-    pieces, or a lower entropy. A missing measure or a key without a band rejects nothing.
+    A text is rejected if its base fails, or if by most of the vocabularies (so that the gaps of one reject nothing) it has
+    fewer or more characters a token than its band, a higher share of byte tokens, or a lower entropy. A missing measure or
+    band rejects nothing.
     """
-    out = with_bands(measured, limits, "left").withColumn("base_failed", base_failed())
+    names = measures_of(measured)
+    vocabularies = [m.removeprefix(f"{MEASURES[0]}_") for m in names if m.startswith(MEASURES[0])]
+    value, low, high = (lambda m, k, e=e: F.col(f"{m}_{k}{e}") for e in ("", "_low", "_high"))
     outside = {
-        "bad_fertility": (F.col("chars_per_token") < F.col("chars_per_token_low")) | (F.col("chars_per_token") > F.col("chars_per_token_high")),
-        "bad_bytes": F.col("byte_share") > F.col("byte_share_high"),
-        "bad_entropy": F.col("token_entropy") < F.col("token_entropy_low"),
+        "bad_fertility": lambda k: (value(MEASURES[0], k) < low(MEASURES[0], k)) | (value(MEASURES[0], k) > high(MEASURES[0], k)),
+        "bad_bytes": lambda k: value(MEASURES[1], k) > high(MEASURES[1], k),
+        "bad_entropy": lambda k: value(MEASURES[2], k) < low(MEASURES[2], k),
     }
-    for k, c in outside.items():
-        out = out.withColumn(k, F.coalesce(c, F.lit(False)))
+    out = with_bands(measured, limits).withColumn("base_failed", base_failed())
     kept = ~F.col("base_failed")
-    for k in outside:
-        kept = kept & ~F.col(k)
-    return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", *MEASURES, "band_key", *outside)
+    for name, test in outside.items():
+        votes = sum((F.coalesce(test(k), F.lit(False)).cast("int") for k in vocabularies), F.lit(0))
+        out = out.withColumn(name, votes * 2 > len(vocabularies))
+        kept = kept & ~F.col(name)
+    return out.withColumn("kept", kept).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *columns(vocabularies), "band_key", "script", "band", *outside)
