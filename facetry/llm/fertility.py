@@ -16,8 +16,8 @@ from facetry.llm.vocabularies import FOLDER, broadcast_file, encoder
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
-#: The vocabularies that measure: one for English, one for many languages, and one of pieces with byte fallback.
-VOCABULARIES = {"byte": f"{FOLDER}/byte_bpe_50k.tiktoken", "multi": f"{FOLDER}/byte_bpe_multi_50k.tiktoken", "piece": f"{FOLDER}/piece_bpe_32k.model"}
+#: The vocabularies that measure: a byte-level one for many languages, and one of pieces with byte fallback.
+VOCABULARIES = {"multi": f"{FOLDER}/byte_bpe_multi_50k.tiktoken", "piece": f"{FOLDER}/piece_bpe_32k.model"}
 #: Bands are medians of measures in so many parts of one, which bounds the values that a histogram holds.
 PARTS = 1000
 MIN_WORDS = 50
@@ -77,15 +77,16 @@ def entropy_bits(ids: np.ndarray, window: int) -> float | None:
 
 
 @cache
-def script_of(character: str) -> str | None:
-    return unicodedata.name(character, "other").split(" ")[0].split("-")[0].lower() if character.isalpha() else None
+def script_of(point: int) -> str | None:
+    return unicodedata.name(chr(point), "other").split(" ")[0].split("-")[0].lower() if chr(point).isalpha() else None
 
 
 def script(text: str) -> str:
     """The script of most letters, by the first word of their Unicode names, at equal counts the first by name; "none" without letters."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     names: Counter[str] = Counter()
-    for character, n in Counter(text).items():
-        if name := script_of(character):
+    for point, n in zip(*(x.tolist() for x in np.unique(points, return_counts=True)), strict=True):
+        if name := script_of(point):
             names[name] += n
     return min(names, key=lambda x: (-names[x], x)) if names else "none"
 
@@ -187,8 +188,8 @@ def bands(measured: DataFrame, spread: float = 6.0, least: int = 30) -> DataFram
 def fertility_rules(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds ``base_failed``, the verdict of each kind of band, ``band``, the key of the band that was taken, and ``kept``.
 
-    A text is rejected if its base fails, or if by most of the vocabularies (so that the gaps of one reject nothing) it has
-    fewer or more characters a token than its band, a higher share of byte tokens, or a lower entropy. A missing measure or
+    A text is rejected if its base fails, or if by most of the vocabularies (of two: both, so that the gaps of one reject
+    nothing) it has fewer or more characters a token than its band, a higher share of byte tokens, or a lower entropy. A missing measure or
     band rejects nothing.
     """
     names = measures_of(measured)
