@@ -169,8 +169,8 @@ def bands(measured: DataFrame, spread: float = 6.0, least: int = 30) -> DataFram
     values = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.round(F.col(m) * PARTS).cast("long").alias("value")) for m in names))).alias("of")
     counts = measured.where(~base_failed()).select("band_key", "script", values).select("band_key", "script", "of.*").where("value IS NOT NULL")
     counts = checkpointed(counts.groupBy("band_key", "script", "measure", "value").agg(F.count("*").alias("n")))
-    keys = {"own": F.col("band_key"), "written": F.concat(F.lit("script:"), "script"), "all": F.lit("all")}
-    each = counts.withColumn("key", F.explode(F.array_distinct(F.array(*keys.values())))).groupBy("key", "measure", "value").agg(F.sum("n").alias("n"))
+    keys = F.col("band_key"), F.concat(F.lit("script:"), "script"), F.lit("all")
+    each = counts.withColumn("key", F.explode(F.array_distinct(F.array(*keys)))).groupBy("key", "measure", "value").agg(F.sum("n").alias("n"))
     middle = checkpointed(medians(each))
     off = each.join(middle.select("key", "measure", "mid"), ["key", "measure"]).groupBy("key", "measure", F.abs(F.col("value") - F.col("mid")).alias("value")).agg(F.sum("n").alias("n"))
     found = middle.join(medians(off).select("key", "measure", F.col("mid").alias("off")), ["key", "measure"])
@@ -180,9 +180,9 @@ def bands(measured: DataFrame, spread: float = 6.0, least: int = 30) -> DataFram
     table = found.groupBy("key").agg(F.max("n").alias("rows"), *limits).where(F.col("rows") >= least).drop("rows")
     table = checkpointed(table)
     pairs = counts.select("band_key", "script").distinct()
-    for label, key in keys.items():
-        pairs = pairs.join(table.select(F.col("key"), F.col("key").alias(label)), key == F.col("key"), "left").drop("key")
-    return pairs.withColumn("key", F.coalesce(*keys)).drop(*keys).join(table, "key").withColumnRenamed("key", "band")
+    ranked = pairs.select("band_key", "script", F.posexplode(F.array(*keys)).alias("at", "key")).join(table.select("key"), "key")
+    taken = ranked.groupBy("band_key", "script").agg(F.min_by("key", "at").alias("key"))
+    return taken.join(table, "key").withColumnRenamed("key", "band")
 
 
 def fertility_rules(measured: DataFrame, limits: DataFrame) -> DataFrame:
