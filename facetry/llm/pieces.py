@@ -260,9 +260,9 @@ class Lattice:
             at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
             self.met[at] += 1  # once a text
             gap = self.best[at] - self.second[at]
-            few = np.argpartition(gap, n - 2)[: n - 1] if len(gap) > n - 1 else np.arange(len(gap))
-            few = np.flatnonzero(gap <= gap[few].max(initial=-np.inf))[: 8 * n]  # equals in the order of the text
-            few = few[np.argsort(gap[few], kind="stable")][: n - 1]
+            few = np.argpartition(gap, n - 2)[: n - 1] if 0 < n - 1 < len(gap) else np.arange(len(gap))
+            few = np.flatnonzero(gap <= gap[few].max(initial=-np.inf))
+            few = few[np.argsort(gap[few], kind="stable")][: n - 1]  # the cheapest; equals in the order of the text
             ways: list[tuple[float, tuple]] = [(0.0, ())]
             for k in few.tolist():
                 if np.isfinite(gap[k]):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm import fertility, hnsw, language, lengths, mixing, mixing_lm, pieces, quality, simhash, suffixes
+from facetry.llm import conversations, fertility, hnsw, joined_bpe, language, lengths, middle, mixing, mixing_lm, pieces, quality, repair_sql, simhash, suffixes
 from facetry.llm.texts import checkpointed, documents
 
 
@@ -75,9 +75,37 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.length_table(checkpointed(lengths.length_histogram(lengths.encoded_lengths(documents(spark, sf_dir)))))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage: gaps, faults, illegal neighbours, the cheapest edits and the digest of what they give. Null identifiers are one conversation; one that loses all rows has zeros."""
+    return conversations.damage_report(documents(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's units and its form, and the digests of the output and of the text that is rebuilt from it. Null texts are empty."""
+    made = middle.fill_in_middle(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP12_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^
+]*
+|[^
+]+') AS units, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS r FROM d),
+c AS (SELECT *, len(units) AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS a, greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS b, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 100 AS plain FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+sha256(CASE WHEN plain THEN text WHEN r[4] % 100 < 50 THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+def op13_joined_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token count, and the digests of its tokens and of what they decode to. Null texts are empty."""
+    return joined_bpe.encode_bpe(documents(spark, sf_dir), with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_source_mixing, op3_quality_classifier, op4_language_codes, op5_hnsw_near_dedup, op6_golay_simhash, op7_suffix_dedup, op8_nbest_pieces, op9_context_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_source_mixing, op3_quality_classifier, op4_language_codes, op5_hnsw_near_dedup, op6_golay_simhash, op7_suffix_dedup, op8_nbest_pieces, op9_context_mixing, op10_token_counts, op11_conversation_repair, op12_fill_in_middle, op13_joined_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op11_conversation_repair": repair_sql.report_sql(), "op12_fill_in_middle": OP12_SQL}

@@ -61,4 +61,4 @@ def test_stages_take_nulls_and_nothing(spark, k):
 
 
 def test_queries_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.queries()) == list(range(1, 14))

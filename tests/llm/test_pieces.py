@@ -113,3 +113,23 @@ def test_long_units_and_nulls(spark):
     for r in found.values():
         assert [len(x) for x in r.segmentations] == r.n_pieces and len(set(r.md5)) == len(r.scores)
         assert r.md5 == [hashlib.md5(np.array(x, "<i4").tobytes()).hexdigest() for x in r.segmentations]
+
+
+def test_repeated_words_and_a_cheaper_unit_after_them():
+    lattice = pieces.Lattice(pieces.Pieces.load(f"{pieces.FOLDER}/piece_bpe_32k.model"))
+    words = ["people", "the", "water", "of", "banana", "x", "naïve"]
+    random.seed(12)
+    texts = ["people " * 40 + "the", "the " + "people " * 40, "people " * 500] + [" ".join(random.choices(words[: random.randint(1, 7)], k=random.randint(50, 200))) for _ in range(12)]
+    texts += [r[0] for r in short_texts()]
+    for text, found in zip(texts, lattice.encode(texts), strict=True):
+        told = lattice.n_best("▁" + text.replace(" ", "▁"), 4)
+        assert np.allclose([s for s, _, _ in found], [s for s, _ in told]), text[:60]
+    gaps = [found[0][0] - s for found in lattice.encode(texts[:2]) for s, _, _ in found]
+    assert np.allclose(gaps[:4], gaps[4:])
+
+
+def short_texts():
+    """All short texts of a table."""
+    import duckdb
+
+    return duckdb.connect().execute(f"SELECT text FROM '{FOLDER.replace('0.001', '0.01')}/documents.parquet' WHERE length(text) BETWEEN 1 AND 300").fetchall()
