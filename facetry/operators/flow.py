@@ -5,10 +5,11 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.operators.spans import clustered
+from facetry.operators.spans import marked
 
 
 def opt_map(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -46,25 +47,32 @@ def looped(rows: DataFrame, step: Callable[[DataFrame], DataFrame], most: int =
 
 
 def pruned(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Within each key keeps intervals greedily: the longest first, then the earliest, if none kept overlaps.
+    """Within each key keeps intervals greedily: the longest first, then the earliest, then in the order of the other columns, if none kept overlaps.
 
     A key falls into clusters of intervals that overlap in a chain, which don't touch each other: only a cluster meets in one
-    task, not a key. The intervals kept so far stay sorted, so that an interval is compared with its two neighbours only.
+    task, not a key, and an interval alone in its cluster is kept at once. The others come sorted, many clusters a batch; those kept of a cluster stay
+    sorted, so that an interval is compared with its two neighbours only. Intervals without a start or an end overlap nothing.
     """
-
-    def keep(pdf):
-        pdf = pdf.drop(columns="_cluster")
-        ordered = pdf.assign(_n=pdf[start] - pdf[end]).sort_values(["_n", start, end], kind="stable")
-        starts, ends, chosen = [], [], []
-        for i, s, e in zip(ordered.index, ordered[start].tolist(), ordered[end].tolist(), strict=True):
-            at = bisect_right(starts, s)
-            if (not at or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]):
-                starts.insert(at, s)
-                ends.insert(at, e)
-                chosen.append(i)
-        return pdf.loc[chosen]
-
-    return clustered(rows, key, start, end, "_cluster").groupBy(key, "_cluster").applyInPandas(keep, rows.schema)
+    found = marked(rows, key, start, end, "_cluster")
+    others = [c for c in rows.columns if c not in (key, start, end)]
+    order = [key, "_cluster", (F.col(end) - F.col(start)).desc(), start, end, *others]
+    rest = found.where("NOT _alone").drop("_alone").repartition(key, "_cluster").sortWithinPartitions(*order)
+
+    def keep(batches):
+        cluster, starts, ends = None, [], []
+        for batch in batches:
+            chosen = []
+            for k, c, s, e in zip(*(batch[n].to_pylist() for n in (key, "_cluster", start, end)), strict=True):
+                if cluster != (k, c):
+                    cluster, starts, ends = (k, c), [], []
+                at = bisect_right(starts, s)
+                chosen.append((not at or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]))
+                if chosen[-1]:
+                    starts.insert(at, s)
+                    ends.insert(at, e)
+            yield batch.filter(pa.array(chosen, pa.bool_()))
+
+    return found.where("_alone").select(rows.columns).unionByName(rest.mapInArrow(keep, rest.schema).select(rows.columns))
 
 
 def grouped(rows: DataFrame, key: Column, *values: str, name: str = "values") -> DataFrame:

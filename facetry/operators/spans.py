@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from facetry.operators.durable import durable
 
 #: How two spans lie: the first holds the second, they share a place, or one ends where the other starts.
 TESTS = {
@@ -23,8 +30,63 @@ def joined(left: DataFrame, right: DataFrame, key: str, how: str, width: int) ->
 
 
 def clustered(rows: DataFrame, key: str, start: str, end: str, name: str = "cluster") -> DataFrame:
-    """Adds the smallest start that a chain of overlaps within the key leads to, by a running greatest end; spans of different clusters don't overlap."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    first = rows.withColumn("_first", F.when(before.isNull() | (F.col(start) >= before), F.col(start)))
-    return first.withColumn(name, F.last("_first", True).over(w)).drop("_first")
+    """Adds the smallest start that a chain of overlaps within the key leads to; spans of different clusters don't overlap. Spans without a start or an end have no cluster."""
+    return marked(rows, key, start, end, name).drop("_alone")
+
+
+def marked(rows: DataFrame, key: str, start: str, end: str, name: str) -> DataFrame:
+    """Adds the cluster, and ``_alone``: the span is known to be the only one of its cluster.
+
+    Rows are dealt out by ranges of key and start, so that a key, however frequent, falls into many tasks. What a part leaves
+    to the next one is its last key, that key's greatest end and last cluster: a row a part goes to the driver, no more.
+    """
+    spark, names = rows.sparkSession, (key, start, end)
+    whole = F.col(start).isNotNull() & F.col(end).isNotNull()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = durable(rows.where(whole).repartitionByRange(n, key, start).sortWithinPartitions(*names))
+    told = dealt.select(F.spark_partition_id().alias("part"), F.col(key).alias("key"), F.col(end).alias("most"), F.col(start).alias("first")).schema
+    schema = dealt.select("*", F.col(start).alias(name), F.lit(True).alias("_alone")).schema
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            for state in running(triples(batch, names), state):  # noqa: B007
+                pass
+        if state:
+            arrow, found = to_arrow_schema(told), [TaskContext.get().partitionId(), *state]
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(found, arrow, strict=True)], schema=arrow)
+
+    left, state = {}, None
+    for part, k, most, first in sorted(dealt.select(*names).mapInArrow(last, told).collect(), key=lambda r: r[0]):
+        left[part] = state
+        if state and state[0] == k:  # the part has this key only, and its last cluster is the one before unless it begins after that
+            first, most = (first if first >= state[1] else state[2]), max(most, state[1])
+        state = (k, most, first)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, state = to_arrow_schema(schema), left.get(TaskContext.get().partitionId())
+        for batch in batches:
+            before, firsts, new = state, [], []
+            for state in running(triples(batch, names), state):  # noqa: B020
+                firsts.append(state[2])
+                new.append(before is None or (before[0], before[2]) != (state[0], state[2]))
+                before = state
+            alone = [a and b for a, b in zip(new, [*new[1:], False], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(firsts, arrow.field(name).type), pa.array(alone)], schema=arrow)
+
+    rest = rows.where(~whole).select("*", F.lit(None).cast(told["first"].dataType).alias(name), F.lit(True).alias("_alone"))
+    return dealt.mapInArrow(mark, schema).unionByName(rest)
+
+
+def triples(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple]:
+    return zip(*(batch[n].to_pylist() for n in names), strict=True)
+
+
+def running(spans: Iterable[tuple], state: tuple | None) -> Iterator[tuple]:
+    """For sorted (key, start, end) the key, the greatest end so far and the start of the cluster."""
+    for key, start, end in spans:
+        if state is None or state[0] != key or start >= state[1]:
+            state = (key, end, start)
+        elif end > state[1]:
+            state = (key, end, state[2])
+        yield state

@@ -198,7 +198,15 @@ def flow_loop(spark, d):
     return flow.looped(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n")), lambda r: r.where("n > 1").select(F.floor(F.col("n") / 2).cast("long").alias("n")))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS "start", floor(epoch(ts))::BIGINT + event_id % 5000 + 1 AS "end" FROM events),
+b AS (SELECT *, max("end") OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+c AS (SELECT *, sum(CASE WHEN before IS NULL OR "start" >= before THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS cluster FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, cluster ORDER BY "end" - "start" DESC, "start", "end", event_id) AS n FROM c),
+k AS (SELECT user_id, cluster, n, [{'a': "start", 'b': "end", 'id': event_id}] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.user_id, o.cluster, o.n, CASE WHEN len(list_filter(kept, lambda x: x.a < o."end" AND o."start" < x.b)) = 0 THEN list_append(kept, {'a': o."start", 'b': o."end", 'id': o.event_id}) ELSE kept END
+  FROM k JOIN o ON o.user_id = k.user_id AND o.cluster = k.cluster AND o.n = k.n + 1),
+f AS (SELECT user_id, unnest(kept) AS x FROM (SELECT * FROM k QUALIFY n = max(n) OVER (PARTITION BY user_id, cluster)))
+SELECT user_id, x.id AS event_id, x.a AS "start", x.b AS "end" FROM f""")
 def flow_prune(spark, d):
     start = F.col("ts").cast("timestamp").cast("long")  # the tables hold times without a zone
     e = table(spark, d, "events").select("user_id", "event_id", start.alias("start"), (start + F.col("event_id") % 5000 + 1).alias("end"))

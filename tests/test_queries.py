@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import facetry.language  # noqa: F401
 import facetry.more  # noqa: F401
 import facetry.queries as core
 import facetry.wider  # noqa: F401
@@ -55,6 +56,16 @@ def test_pruning_keeps_the_greedy_set(spark):
             told.append((k, a, b))
     assert found == sorted(told)
     assert flow.pruned(spark.createDataFrame([], "k long, a long, b long"), "k", "a", "b").count() == 0
+    for seed in range(3):  # few keys, over many parts: clusters that cross them
+        random.seed(seed)
+        rows = [(random.choice([1, 1, 1, 2, None]), a, a + random.choice([1, 2, 5, 200]), f"n{i}") for i, a in enumerate(random.randint(0, 2000) for _ in range(400))] + [(1, None, 5, "x"), (2, 7, None, "y")]
+        frame = spark.createDataFrame(rows, "k long, a long, b long, name string").repartition(3)
+        found = sorted(map(repr, map(tuple, flow.pruned(frame, "k", "a", "b").collect())))
+        told = [r for r in rows if None in r[1:3]]
+        for k, a, b, n in sorted((r for r in rows if None not in r[1:3]), key=lambda r: (r[1] - r[2], *r[1:])):
+            if all(k != x or y is None or z is None or b <= y or z <= a for x, y, z, _ in told):
+                told.append((k, a, b, n))
+        assert found == sorted(map(repr, told))
 
 
 def test_densest_element():
