@@ -11,17 +11,19 @@ left side, in the window or in the right side.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import regex
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.texts import id_type, keyed, map_rows, parallelism, shared_folder
-from facetry.llm.vocabularies import FOLDER, broadcast_file
+from facetry.llm.vocabularies import BYTE_BPE_PATTERN, FOLDER, broadcast_file
 
 #: Characters of a leaf, at about which a longer text is cut.
 LEAF = 1 << 15
@@ -31,6 +33,8 @@ FAN = 8
 SEEK = 512
 #: Length of a run in whose middle a cut may lie.
 RUN = 16
+#: Parts whose tokens a task keeps.
+MOST = 300_000
 #: Tokens of the first window on each side of a join.
 WINDOW = 8
 
@@ -57,6 +61,44 @@ class JoinedBpe:
         if any(t.lstrip or t.rstrip or t.single_word for t in added):
             raise ValueError("an added token that looks at its neighbours")
         self.added = [t.content for t in added]
+        told = json.loads(file)
+        split = told.get("pre_tokenizer") or {}
+        #: Whether the parts of a text can be found, and encoded, by themselves.
+        self.by_parts = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not (told.get("normalizer") or told.get("post_processor"))
+        self.parts = regex.compile(BYTE_BPE_PATTERN)
+        self.known: dict[str, bytes] = {}
+        self.alike: dict[str, bool] = {}
+
+    def agreed(self, c: str) -> bool:
+        """Whether the expression takes a character for a letter, number, space or other as the library's pre-tokenizer does."""
+        if c not in self.alike:
+            probe = f"a{c}a 1{c}1 !{c}! {c} {c}{c}\n{c}"
+            self.alike[c] = [m.span() for m in self.parts.finditer(probe)] == self.parted(probe)
+        return self.alike[c]
+
+    def split(self, text: str) -> list[str] | None:
+        """The parts that the pre-tokenizer makes of a text; None where it holds an added token or a character that isn't agreed on."""
+        if not self.by_parts or any(a in text for a in self.added) or not all(map(self.agreed, set(text))):
+            return None
+        return self.parts.findall(text)
+
+    def encode_all(self, texts: list[str]) -> list[tuple[bytes, int, int]]:
+        """For each text its tokens as 32-bit numbers, and how many its first and last parts have. A part has the same tokens wherever it stands, so that each is encoded once."""
+        split = [self.split(t) for t in texts]
+        if len(self.known) > MOST:
+            self.known.clear()
+        fresh = list({p for parts in split if parts for p in parts} - self.known.keys())
+        for part, found in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.known[part] = np.array(found.ids, "<u4").tobytes()
+        out = []
+        for text, parts in zip(texts, split, strict=True):
+            if parts is None:
+                whole = self.whole(text)
+                out.append((whole.ids.tobytes(), whole.head, whole.tail))
+            else:
+                found = list(map(self.known.__getitem__, parts))
+                out.append((b"".join(found), len(found[0]) // 4 if found else 0, len(found[-1]) // 4 if found else 0))
+        return out
 
     def parted(self, text: str) -> list[tuple[int, int]]:
         return [at for _, at in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
@@ -94,6 +136,11 @@ class JoinedBpe:
         return [*out, (text[start:], inside)]
 
     def node(self, text: str) -> Node:
+        ids, head, tail = self.encode_all([text])[0]
+        return Node(np.frombuffer(ids, "<u4"), head, tail)
+
+    def whole(self, text: str) -> Node:
+        """As the library encodes it."""
         found = self.tokenizer.encode(text, add_special_tokens=False)
         ids, runs = np.array(found.ids, "<u4"), np.array([-1 if w is None else w for w in found.word_ids], np.int64)
         if not len(ids):
@@ -175,7 +222,7 @@ def encode_bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             texts = [(x or b"").decode("utf-8", "replace") for x in batch["text"].to_pylist()]
             out: dict[str, list] = {}
             for few in in_batches(texts):
-                ids = [np.array(e.ids, "<u4") for e in bpe.tokenizer.encode_batch_fast(few, add_special_tokens=False)]
+                ids = [np.frombuffer(x, "<u4") for x, _, _ in bpe.encode_all(few)]
                 for name, x in bpe.results(ids, with_ids).items():
                     out.setdefault(name, []).extend(x)
             return out | {"doc_id": batch["doc_id"]}
