@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from facetry.functions import models as md
 from facetry.functions import tokens as tk
 from facetry.operators import labels as lb
+from facetry.operators import linker as ln
 
 
 def told(text):
@@ -68,3 +70,130 @@ def test_label_matches_against_a_scan(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert lb.label_matches(none, "doc_id", "text", lb.labelled(entities, "e", "name")).count() == 0
     assert lb.label_matches(frame, "doc_id", "text", lb.labelled(entities.limit(0), "e", "name")).count() == 0
+
+
+def lengths(model, tokens, i):
+    """How many tokens a model, told as nested tuples, matches at a place, or -1: the rules, by recursion."""
+    kind, *parts = model
+    if kind == "token":
+        return 1 if i < len(tokens) and parts[0](*tokens[i][:2]) else -1
+    if kind == "then":
+        a = lengths(parts[0], tokens, i)
+        b = lengths(parts[1], tokens, i + a) if a >= 0 else -1
+        return a + b if b >= 0 else -1
+    if kind == "or":
+        return max(lengths(p, tokens, i) for p in parts)
+    n = lengths(parts[0], tokens, i)
+    if kind == "optional":
+        return max(0, n)
+    if kind == "repeated":
+        total = 0
+        while n > 0:
+            total += n
+            n = lengths(parts[0], tokens, i + total)
+        return total if total or not parts[1] else -1
+    if kind == "ahead":
+        return 0 if n >= 0 else -1
+    if kind == "not":
+        return -1 if n >= 0 else 0
+    hits = sum(parts[1](*t[:2]) for t in tokens[i : i + max(n, 0)])
+    return n if n > 0 and {"every": hits == n, "some": hits > 0, "none": hits == 0}[kind] else -1
+
+
+def built(model):
+    kind, *parts = model
+    if kind == "token":
+        return md.token(parts[0])
+    first = built(parts[0])
+    if kind in ("then", "or"):
+        return first + built(parts[1]) if kind == "then" else first | built(parts[1])
+    if kind == "not":
+        return ~first
+    return getattr(first, kind)(*parts[1:])
+
+
+TESTS = [md.upper, md.lower, md.typed("CD"), md.typed(), md.among("OF", "the"), lambda t, k: t == "a"]
+
+
+def some_model(depth):
+    if not depth or random.random() < 0.2:
+        return "token", random.choice(TESTS)
+    kind = random.choice(["then", "then", "or", "optional", "repeated", "repeated", "ahead", "not", "every", "some", "none"])
+    inner = some_model(depth - 1)
+    if kind in ("then", "or"):
+        return kind, inner, some_model(depth - 1)
+    if kind == "repeated":
+        return kind, inner, random.choice([0, 1])
+    return (kind, inner, random.choice(TESTS)) if kind in ("every", "some", "none") else (kind, inner)
+
+
+def test_models_against_recursion(spark):
+    random.seed(11)
+    words = ["a", "b", "The", "of", "A", "12", "R&D", "Big", ","]
+    texts = [" ".join(random.choices(words, k=random.randint(0, 12))) for _ in range(60)] + ["", "a " * 500]
+    tokenizer = tk.Tokenizer()
+    every = [tokenizer(t) for t in texts]
+    flat = [x for tokens in every for x in [*tokens, (None, None)]]
+    batch = md.Tokens([x[0] for x in flat], [x[1] for x in flat])
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k long, text string").select("k", tk.typed_tokens(F.col("text")).alias("t")).coalesce(1)
+    for n in range(120):
+        model = some_model(3)
+        told = [lengths(model, tokens, i) for tokens in every for i in range(len(tokens) + 1)]
+        found = built(model).lengths(batch).tolist()
+        ends = {sum(len(t) + 1 for t in every[: k + 1]) - 1 for k in range(len(every))}
+        assert [x for i, x in enumerate(found) if i not in ends] == [x for i, x in enumerate(told) if i not in ends], model
+        if n < 8:
+            expected = []
+            for k, tokens in enumerate(every):
+                i = 0
+                while i < len(tokens):
+                    size = lengths(model, tokens, i)
+                    if size > 0:
+                        expected.append((k, "X", i, size, tokens[i][2], tokens[i + size - 1][3]))
+                    i += max(size, 1)
+            got = rows.select("k", F.inline(md.model_matches(F.col("t"), built(model), "X"))).collect()
+            assert sorted(map(tuple, got)) == sorted(expected), model
+    assert rows.where("k = 62").select(md.model_matches(F.col("t"), md.token(md.upper))).first()[0] is None
+
+
+def test_ngrams_and_corpora(spark):
+    rows = spark.createDataFrame([("The big R&D lab of Ada 7",), ("",), (None,)], "text string").select(tk.typed_tokens(F.col("text")).alias("t"))
+    found = rows.select(F.inline(md.ngrams(F.col("t"), 1, 3))).collect()
+    assert sorted((r.first, r.words) for r in found) == [(0, 1), (0, 3), (2, 1), (5, 1), (5, 2)]
+    words = spark.createDataFrame([("Red", ""), ("red", "NN"), ("blue", ""), (None, ""), ("Blue", None)], "text string, type string")
+    corpora = spark.createDataFrame([("RED", "C1", 1), ("red", "C2", 0), ("blue", "C3", 5), (None, "C4", 0)], "entry string, type string, rank int")
+    assert sorted(map(repr, map(tuple, ln.tagged(words, corpora).collect()))) == sorted(map(repr, [("Red", "C2"), ("red", "NN"), ("blue", "C3"), (None, ""), ("Blue", None)]))
+
+
+def test_linking_against_a_plain_loop(spark):
+    random.seed(21)
+    matches = [(d, e, f"L{e % 4}", random.randint(0, 5), s, s + random.choice([3, 5, 8])) for d in range(30) for _ in range(random.randint(1, 9)) for e in [random.randint(0, 9)] for s in [random.choice([0, 2, 4, 6, 10, 20])]]
+    targets = [(d, s, s + 2) for d in range(30) for s in random.sample(range(0, 24), 6)] + [(None, 0, 9)]
+    edges = [(random.randint(0, 9), random.randint(0, 9)) for _ in range(25)]
+    found = ln.linked(
+        spark.createDataFrame([(d, e, n, w, s, z) for d, e, n, w, s, z in matches], "doc_id long, entity long, label string, weight long, start int, end int"),
+        spark.createDataFrame(targets, "doc_id long, start int, end int"),
+        spark.createDataFrame(edges, "s long, o long"),
+    )
+    expected = []
+    for d in range(30):
+        own = {m for m in matches if m[0] == d and any(t[0] == d and m[4] <= t[1] and t[2] <= m[5] for t in targets)}
+        kept: list = []
+        for s, z in sorted({m[4:] for m in own}, key=lambda p: (p[0] - p[1], p)):
+            if all(z <= a or b <= s for a, b in kept):
+                kept.append((s, z))
+        own = {m for m in own if m[4:] in kept}
+        low, high = min((m[3] for m in own), default=0), max((m[3] for m in own), default=0)
+        known = {m[1] for m in own}
+        alike = {(a[1], b[1]) for a in own for b in own if a[2] == b[2]}
+        for s, z in kept:
+            ways = []
+            for e in {m[1] for m in own if m[4:] == (s, z)}:
+                near = {o for x, y in edges for a, o in ((x, y), (y, x)) if a == e and o != e and o in known and (e, o) not in alike}
+                for m in own:
+                    if m[1] == e and m[4:] == (s, z):
+                        ways.append((-((0.1 * (m[3] - low) / (high - low) if high > low else 0.1) + len(near)), e))
+            weight, e = min(ways)
+            expected.append((d, s, z, e, -weight))
+    got = sorted((r.doc_id, r.start, r.end, r.entity, r.weight) for r in found.collect())
+    assert [x[:4] for x in got] == [x[:4] for x in sorted(expected)] and all(abs(a[4] - b[4]) < 1e-9 for a, b in zip(got, sorted(expected), strict=True))
