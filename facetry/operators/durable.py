@@ -21,4 +21,10 @@ def durable(rows: DataFrame) -> DataFrame:
     context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(checkpoint_folder(rows.sparkSession))
-    return rows.checkpoint()
+    conf, name = rows.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    was = conf.get(name)
+    conf.set(name, "false")  # a checkpoint keeps the constraints of its plan, some on columns that it doesn't have, which unions of checkpoints don't survive
+    try:
+        return rows.checkpoint()
+    finally:
+        conf.set(name, was)

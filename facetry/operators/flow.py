@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetry.operators.durable import durable
 from facetry.operators.spans import marked
 
 
@@ -33,17 +35,35 @@ def iterated(rows: DataFrame, n: int, step: Callable[[DataFrame], DataFrame]) ->
     return rows
 
 
-def looped(rows: DataFrame, step: Callable[[DataFrame], DataFrame], most: int = 100) -> DataFrame:
-    """All rows reached from the first by repeating a step, each once; what is known is not expanded again."""
-    from facetry.operators.durable import durable
+class Grown:
+    """A set of rows that grows: what is new is written once, and all parts are written together when there are many."""
 
-    known = fresh = durable(rows.distinct())
-    for _ in range(most):
-        fresh = durable(step(fresh).distinct().join(known, rows.columns, "left_anti"))
-        if fresh.isEmpty():
-            return known
-        known = durable(known.unionByName(fresh))
-    raise RuntimeError(f"no end after {most} steps")
+    def __init__(self, rows: DataFrame, most: int = 16):
+        self.parts, self.most = [durable(rows.distinct())], most
+        self.fresh = self.parts[0]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def grow(self, rows: DataFrame) -> bool:
+        """Adds the rows that aren't known; whether there are any."""
+        known = self.all()
+        same = reduce(lambda a, b: a & b, (F.col(f"new.{c}").eqNullSafe(F.col(f"known.{c}")) for c in known.columns))
+        self.fresh = durable(rows.select(known.columns).distinct().alias("new").join(known.alias("known"), same, "left_anti"))
+        if self.fresh.isEmpty():
+            return False
+        self.parts = [*self.parts, self.fresh] if len(self.parts) < self.most else [durable(self.all().unionByName(self.fresh))]
+        return True
+
+
+def looped(rows: DataFrame, step: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """All rows reached from the first by repeating a step, each once; what is known is not expanded again. ``most`` steps without an end are an error, if given."""
+    found, steps = Grown(rows), 0
+    while found.grow(step(found.fresh)):
+        steps += 1
+        if most is not None and steps >= most:
+            raise RuntimeError(f"no end after {most} steps")
+    return found.all()
 
 
 def pruned(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:

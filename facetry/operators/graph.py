@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.operators.flow import looped
+from facetry.operators.flow import Grown
 
 STATEMENT = ["graph", "s", "p", "o"]
 
@@ -43,6 +43,11 @@ def graphs(store: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (a, b) with a path of one or more edges, round by round from what the last round found."""
-    steps = edges.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    return looped(edges.select("a", "b"), lambda fresh: fresh.join(steps, F.col("b") == F.col("_a")).select("a", F.col("_b").alias("b")))
+    """All pairs (a, b) with a path of one or more edges. Each round joins the pairs that the last one found with all pairs, on both sides, so that paths double: a chain of n edges takes log n rounds."""
+    found = Grown(edges.select("a", "b").dropna())
+    while True:
+        known, fresh = found.all(), found.fresh
+        after = fresh.join(known.select(F.col("a").alias("b"), F.col("b").alias("_b")), "b").select("a", F.col("_b").alias("b"))
+        before = known.select("a", F.col("b").alias("_b")).join(fresh.select(F.col("a").alias("_b"), "b"), "_b").select("a", "b")
+        if not found.grow(after.union(before)):
+            return known

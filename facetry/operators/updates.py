@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.operators.flow import looped
 from facetry.operators.graph import STATEMENT
 from facetry.operators.patterns import constructed
 
@@ -60,10 +61,8 @@ def localised(store: DataFrame, lang: str, predicates: tuple[str, ...] = LABELS)
     return store.withColumn("lang", F.when(F.col("p").isin(*predicates), F.lit(lang)))
 
 
-def crawled(links: DataFrame, seeds: DataFrame, prefix: str, most: int = 100) -> DataFrame:
+def crawled(links: DataFrame, seeds: DataFrame, prefix: str, most: int | None = None) -> DataFrame:
     """The pages reached from the seeds over ``links`` (source, target), round by round, within the prefix; fragments and queries of targets are left out."""
-    from facetry.operators.flow import looped
-
     clean = F.regexp_replace("target", "[?#].*$", "")
     steps = links.select(F.regexp_replace("source", "[?#].*$", "").alias("_from"), clean.alias("_to")).where(F.col("_to").startswith(prefix)).distinct()
     start = seeds.select(F.regexp_replace("url", "[?#].*$", "").alias("url")).where(F.col("url").startswith(prefix)).distinct()

@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.operators.graph import closure
 from facetry.plans.shapes import And, Clazz, Field, Or, Value, Values, When
 from facetry.sources.catalog import Catalog, Reference
 
@@ -62,11 +61,22 @@ def own_test(catalog: Catalog, name: str, shape) -> Column | None:
     return None
 
 
+def below(classes: list[tuple[str, str]], clazz: str) -> list[str]:
+    """A class and all below it, by the catalog's pairs, which the driver holds."""
+    found, todo = {clazz}, [clazz]
+    under: dict[str, list[str]] = {}
+    for a, b in classes:
+        under.setdefault(b, []).append(a)
+    while todo:
+        fresh = [c for c in under.get(todo.pop(), []) if c not in found]
+        found.update(fresh)
+        todo += fresh
+    return sorted(found)
+
+
 def members(catalog: Catalog, name: str, clazz: str, rows: DataFrame) -> DataFrame:
-    """The rows of a class or of one below it. The catalog's class pairs are few; their closure is sent to all tasks."""
-    pairs = rows.sparkSession.createDataFrame(catalog.classes, "a string, b string")
-    below = closure(pairs).where(F.col("b") == clazz).select(F.col("a").alias("_class")).union(pairs.sparkSession.createDataFrame([(clazz,)], "_class string")).distinct()
-    return rows.join(F.broadcast(below) if len(catalog.classes) <= 10_000 else below, F.col(catalog[name].kind) == F.col("_class"), "left_semi")
+    """The rows of a class or of one below it: a filter that reaches the scan."""
+    return rows.where(F.col(catalog[name].kind).isin(*below(catalog.classes, clazz)))
 
 
 def selected(catalog: Catalog, name: str, shape, rows: DataFrame | None = None) -> DataFrame:

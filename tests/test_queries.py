@@ -9,6 +9,7 @@ import pytest
 import facetry.language  # noqa: F401
 import facetry.more  # noqa: F401
 import facetry.queries as core
+import facetry.reasoning  # noqa: F401
 import facetry.wider  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
