@@ -79,16 +79,19 @@ def steps_of(path: str) -> list[str]:
 def kind_of(catalog: Catalog, name: str, path: str) -> tuple[T.DataType, str]:
     """The data type at the end of a path, and the entity there if it is a reference (or the root), else ''."""
     entity, kind, at = catalog[name], None, name
-    for step in steps_of(path):
+    for label in steps_of(path):
         if not at:
             raise UnknownStep(f"{path}: values have no fields")
-        found = entity.fields.get(step)
-        if found is None:
-            raise UnknownStep(f"{path}: {entity.name} has no {step}")
-        if isinstance(found, Reference):
-            entity, at = catalog[found.entity], found.entity
-        else:
-            kind, at = catalog.rows(entity.name).schema[found].dataType, ""
+        try:
+            steps = catalog.steps(entity.name, label)
+        except KeyError:
+            raise UnknownStep(f"{path}: {entity.name} has no {label}") from None
+        for step in steps:
+            found = entity.fields[step]
+            if isinstance(found, Reference):
+                entity, at = catalog[found.entity], found.entity
+            else:
+                kind, at = catalog.rows(entity.name).schema[found].dataType, ""
     return (kind, "") if not at else (catalog.rows(at).schema[catalog[at].key].dataType, at)
 
 
@@ -124,7 +127,7 @@ def test_of(op: str, value, kind: T.DataType, is_entity: bool):
     if op == "datatype":
         own = "reference" if is_entity else "decimal" if isinstance(kind, T.DecimalType) else KINDS.get(kind.simpleString(), kind.simpleString())
         fits = str(s.listed(value)[0]).split(":")[-1] in (own, "any")
-        return s.Value(lambda c: c.isNotNull() & F.lit(fits), f"datatype({value})")
+        return s.Value("column_type", (fits, str(s.listed(value)[0])))
     if op == "clazz":
         return s.Clazz(str(s.listed(value)[0]))
     if op in ("range", "all", "any"):

@@ -9,15 +9,15 @@ from pyspark.sql import types as T
 from facetry.sources.catalog import Catalog, Reference
 
 
-def encoded(catalog: Catalog, name: str, fields: dict, json: str = "json") -> DataFrame:
-    """``id`` and the object of each item as JSON. ``fields`` gives a nested projection for each reference, None for a plain field; what an inverse reference reaches is an array in the order of keys."""
-    rows, value = objects(catalog, name, fields)
+def encoded(catalog: Catalog, name: str, fields: dict, json: str = "json", items: DataFrame | None = None) -> DataFrame:
+    """``id`` and the object of each item (of ``items``, if given) as JSON. ``fields`` gives a nested projection for each reference, None for a plain field; what an inverse reference reaches is an array in the order of keys."""
+    rows, value = objects(catalog, name, fields, items)
     return rows.select(F.col(catalog[name].key).alias("id"), F.to_json(value).alias(json))
 
 
-def objects(catalog: Catalog, name: str, fields: dict):
+def objects(catalog: Catalog, name: str, fields: dict, items: DataFrame | None = None):
     """An entity's rows, joined to what they refer to, and the object as a column."""
-    entity, rows, parts = catalog[name], catalog.rows(name), []
+    entity, rows, parts = catalog[name], catalog.rows(name) if items is None else items, []
     for label, inner in fields.items():
         step = entity.fields[label]
         if not isinstance(step, Reference):

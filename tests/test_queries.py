@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import facetry.language  # noqa: F401
+import facetry.modelling  # noqa: F401
 import facetry.more  # noqa: F401
 import facetry.queries as core
 import facetry.reasoning  # noqa: F401
