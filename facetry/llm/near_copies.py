@@ -10,13 +10,13 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.llm.components import connected_components
 from facetry.llm.simhash import fingerprint, fingerprint_links
 from facetry.llm.suffixes import mixed
-from facetry.llm.texts import checkpointed, map_rows, numbered
+from facetry.llm.texts import MOST_SENT, checkpointed, map_rows, numbered
 
 #: Words of a shingle; bands, and least hashes in each.
 WORDS, BANDS, ROWS = 5, 24, 5
@@ -91,11 +91,15 @@ def described(rows: DataFrame) -> DataFrame:
 
 
 def rows_of(table: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of a numbered table that ``rows`` names: a bit for each row is sent to all tasks, so that texts aren't shuffled."""
-    maps = rows.groupBy(F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits_of"))
+    """The rows of a numbered table that ``rows`` names, by a bit for each row of a bucket of rows.
+
+    Up to MOST_SENT bytes of bits are sent to all tasks, so that texts aren't shuffled; beyond that both sides are dealt out by bucket.
+    """
+    maps = checkpointed(rows.groupBy(F.bitmap_bucket_number("row").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits_of")))
+    size = maps.agg(F.sum(F.length("bits_of"))).first()[0] or 0
     place = F.bitmap_bit_position("row")
     byte = F.conv(F.hex(F.substring("bits_of", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = table.withColumn("bucket", F.bitmap_bucket_number("row")).join(F.broadcast(maps), "bucket")
+    marked = table.withColumn("bucket", F.bitmap_bucket_number("row")).join(maps.hint("broadcast" if size <= MOST_SENT else "merge"), "bucket")
     return marked.where(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), (place % 8 + 1).cast("int"))) != 0).drop("bucket", "bits_of")
 
 
@@ -140,10 +144,10 @@ def alike_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     First each text is compared with a leader of each of its bands. Then all pairs of a band that these links leave apart are.
     Leaders are the least of three orders, so that bands of the same texts mostly have the same leaders.
     """
-    band = Window.partitionBy("key")
     keys = nodes.select("unit", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    keys = keys.withColumn("times", F.count("*").over(band)).where("times > 1").withColumn("leader", F.min(F.struct(F.xxhash64("unit", F.pmod("key", F.lit(3))), "unit", "n")).over(band))
-    keys = checkpointed(keys.select("key", "unit", "n", "times", F.col("leader.unit").alias("leader"), F.col("leader.n").alias("leader_n")))
+    leader = F.min(F.struct(F.xxhash64("unit", F.pmod("key", F.lit(3))), "unit", "n"))
+    bands = keys.groupBy("key").agg(F.count("*").alias("times"), leader.alias("leader")).where("times > 1")  # summed before they are shuffled
+    keys = checkpointed(keys.join(bands, "key").select("key", "unit", "n", "times", F.col("leader.unit").alias("leader"), F.col("leader.n").alias("leader_n")))
     sets = checkpointed(sets_of(texts, keys.select(F.col("unit").alias("row")).distinct()))
     tried = checkpointed(keys.where((F.col("unit") != F.col("leader")) & of_like_size("n", "leader_n")).select(F.least("leader", "unit").alias("a"), F.greatest("leader", "unit").alias("b")).distinct())
     first = checkpointed(verified(sets, tried))

@@ -18,6 +18,9 @@ from facetry.operators.durable import checkpoint_folder, durable
 #: A word is a run of characters other than space and the five ASCII line and tab controls.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of a table that may be sent to all tasks.
+MOST_SENT = 32 << 20
+
 #: Rows of a batch that are handled at once.
 FEW_ROWS = 1024
 
@@ -119,7 +122,8 @@ def numbered(docs: DataFrame) -> DataFrame:
         return docs.sparkSession.read.parquet(folder)
     paths = sorted(r.path for r in placed.select("path").distinct().collect())  # the driver lists the files anyway
     files = docs.sparkSession.createDataFrame(list(enumerate(paths)), "file long, path string")
-    return placed.join(F.broadcast(files), "path").select(F.shiftleft("file", 40).bitwiseOR(F.col("at")).alias("row"), "of")
+    files = files.hint("broadcast") if sum(map(len, paths)) <= MOST_SENT else files
+    return placed.join(files, "path").select(F.shiftleft("file", 40).bitwiseOR(F.col("at")).alias("row"), "of")
 
 
 def entropy(counts) -> float:
