@@ -66,77 +66,121 @@ IGNORED = {"style", "script"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
-class Node:
-    def __init__(self, tag: str):
-        self.tag, self.parts = tag, []
+class Page(HTMLParser):
+    """The page's nodes in the order of their starts, node 0 the page itself: tag (None for texts), attributes, text, parent, and the last node below.
 
-    def text(self) -> str:
-        """The text below, blocks and breaks on lines of their own."""
-        if self.tag in IGNORED:
-            return ""
-        inner = "".join(p.text() if isinstance(p, Node) else p.replace("\n", " ") for p in self.parts)
-        return "\n" if self.tag == "br" else f"\n{inner}\n" if self.tag in BLOCKS else inner
-
-
-class TreeBuilder(HTMLParser):
-    """The page as nodes; an end closes the nearest open element of its name, and a block closes an open paragraph."""
+    An end closes the nearest open element of its name, and a block closes an open paragraph. Elements may lie as deep as they do.
+    """
 
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.open = [Node("")]
+        self.tag: list[str | None] = [""]
+        self.attributes: list[dict | None] = [{}]
+        self.text: list[str | None] = [None]
+        self.parent, self.last, self.open = [-1], [0], [0]
+        self.named: dict[str, list[int]] = {}  # the places of open elements by name, so that an end needs no search
+        self.feed(page)
+        self.close()
+        self.shut(0)
+
+    def add(self, tag: str | None, attributes: dict | None, text: str | None) -> int:
+        node = len(self.tag)
+        for held, x in ((self.tag, tag), (self.attributes, attributes), (self.text, text), (self.parent, self.open[-1]), (self.last, node)):
+            held.append(x)
+        return node
+
+    def shut(self, k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        for node in self.open[k:]:
+            self.last[node] = len(self.tag) - 1
+            if self.named.get(self.tag[node]):
+                self.named[self.tag[node]].pop()
+        del self.open[k:]
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS and self.open[-1].tag == "p":
-            self.open.pop()
-        node = Node(tag)
-        self.open[-1].parts.append(node)
-        if tag not in VOID and len(self.open) < 500:
+        if tag in BLOCKS and self.tag[self.open[-1]] == "p":
+            self.shut(len(self.open) - 1)
+        node = self.add(tag, {k: v or "" for k, v in reversed(attrs)}, None)
+        if tag not in VOID:
+            self.named.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_endtag(self, tag):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+        if self.named.get(tag):
+            self.shut(self.named[tag][-1])
 
     def handle_data(self, data):
-        self.open[-1].parts.append(data)
-
-
-def densest(root: Node) -> Node | None:
-    """The element with the highest density, the first of equals; None if no element has any.
-
-    A text weighs the square of its length. A textual element without any below it has the weights in it as its density;
-    any other has its children's densities, times the share (one more each) of textual ones among its child elements.
-    """
-    best: list = [0.0, None]
-
-    def weighed(node: Node) -> tuple[float, float]:
-        weight, density, elements, textual = 0.0, 0.0, 0, 0
-        for p in node.parts:
-            if isinstance(p, str):
-                weight += len(" ".join(p.split())) ** 2
-                continue
-            elements += 1
-            textual += p.tag in TEXTUAL
-            if p.tag not in IGNORED:
-                w, d = weighed(p)
-                weight, density = weight + w, density + d
-        own = weight if node.tag in TEXTUAL and not density else density * (textual + 1) / (elements + 1)
-        if node.tag and own > best[0]:
-            best[:] = [own, node]
-        return weight, own
-
-    weighed(root)
-    return best[1]
+        self.add(None, None, data)
+
+    def texts(self, node: int) -> str:
+        """All text below a node."""
+        return "".join(t for t in self.text[node : self.last[node] + 1] if t is not None)
+
+    def lines(self, node: int) -> str:
+        """The text below, blocks and breaks on lines of their own, scripts and styles left out."""
+        out, ends, at = [], [], node
+        while at <= self.last[node] + 1:
+            while ends and ends[-1] < at:
+                ends.pop()
+                out.append("\n")
+            if at > self.last[node]:
+                break
+            tag = self.tag[at]
+            if tag in IGNORED:
+                at = self.last[at]
+            elif tag is None:
+                out.append(self.text[at].replace("\n", " "))
+            elif tag == "br":
+                out.append("\n")
+            elif tag in BLOCKS:
+                out.append("\n")
+                ends.append(self.last[at])
+            at += 1
+        return "".join(out)
+
+    def densest(self) -> int | None:
+        """The element with the highest density, the first of equals to end; None if no element has any.
+
+        A text weighs the square of its length. A textual element without any below it has the weights in it as its density;
+        any other has its children's densities, times the share (one more each) of textual ones among its child elements.
+        """
+        n = len(self.tag)
+        weight, density, elements, textual, best, found = [0.0] * n, [0.0] * n, [0] * n, [0] * n, 0.0, None
+        open_: list[int] = []
+
+        def end(node: int) -> None:
+            nonlocal best, found
+            up, tag = self.parent[node], self.tag[node]
+            own = weight[node] if tag in TEXTUAL and not density[node] else density[node] * (textual[node] + 1) / (elements[node] + 1)
+            if tag and own > best and tag not in IGNORED:
+                best, found = own, node
+            if up >= 0:
+                elements[up] += 1
+                textual[up] += tag in TEXTUAL
+                if tag not in IGNORED:
+                    weight[up] += weight[node]
+                    density[up] += own
+
+        at = 0
+        while at < n:
+            while open_ and self.last[open_[-1]] < at:
+                end(open_.pop())
+            if self.tag[at] is None:
+                weight[self.parent[at]] += len(" ".join(self.text[at].split())) ** 2
+            else:
+                open_.append(at)
+                if self.tag[at] in IGNORED:
+                    at = self.last[at]
+            at += 1
+        while open_:
+            end(open_.pop())
+        return found
 
 
 def main_of(page: str) -> str | None:
-    builder = TreeBuilder()
-    builder.feed(page)
-    builder.close()
-    node = densest(builder.open[0])
-    lines = [] if node is None else [" ".join(x.split()) for x in node.text().split("\n")]
+    parsed = Page(page)
+    node = parsed.densest()
+    lines = [] if node is None else [" ".join(x.split()) for x in parsed.lines(node).split("\n")]
     return "\n".join(x for x in lines if x) or None
 
 
