@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,12 +23,29 @@ def point(c: Column) -> tuple[Column, Column]:
     return F.regexp_extract(c, text, 2).try_cast("double"), F.regexp_extract(c, text, 1).try_cast("double")
 
 
+#: A name in a template, and what may stand before it: fixed values of the template language.
+_PLACE = re.compile(r"([\\%])?\{(\w+)\}")
+
+
+def parts_of(template: str, known) -> list[tuple[str, str]]:
+    """The template as texts ('', text) and places (mark, name); places of unknown names are texts, and so are those behind a backslash, without it."""
+    out, last = [], 0
+    for m in _PLACE.finditer(template):
+        mark, name = m.group(1) or "{", m.group(2)
+        if mark == "\\" or name in known:
+            out += [("", template[last : m.start()]), ("", m.group()[1:]) if mark == "\\" else (mark, name)]
+            last = m.end()
+    return [x for x in [*out, ("", template[last:])] if x[1]]
+
+
+def put(parts: list[tuple[str, str]], values: dict[str, Column]) -> Column:
+    one = {"": lambda x: F.lit(x), "{": lambda x: values[x], "%": lambda x: F.url_encode(values[x])}
+    return F.concat(F.lit(""), *(one[mark](x) for mark, x in parts))
+
+
 def filled(template: str, **values: Column) -> Column:
-    """The template with ``{name}`` replaced by values, missing ones by nothing."""
-    out = F.lit(template)
-    for k, v in values.items():
-        out = F.replace(out, F.lit("{" + k + "}"), F.coalesce(v.cast("string"), F.lit("")))
-    return out
+    """The template with ``{name}`` replaced by values and ``%{name}`` by values as URLs have them, missing ones by nothing; ``\\{name}`` stays as ``{name}``. A value that looks like a name stays."""
+    return put(parts_of(template, values), {k: F.coalesce(v.cast("string"), F.lit("")) for k, v in values.items()})
 
 
 def json_at(c: Column, path: str) -> Column:
@@ -78,11 +97,12 @@ def smart_plain(c: Column) -> Column:
 
 
 def filled_each(template: str, **values: Column) -> Column:
-    """The template filled with every combination of the values of arrays, as an array: names vary, the last one fastest; an empty array gives none."""
-    def with_each(texts: Column, name: str, found: Column) -> Column:
-        return F.flatten(F.transform(texts, lambda t: F.transform(found, lambda x: F.replace(t, F.lit(name), x.cast("string")))))
-
-    out = F.array(F.lit(template))
-    for k, v in values.items():
-        out = with_each(out, "{" + k + "}", v)
-    return out
+    """The template filled as ``filled`` does with every combination of the values of arrays, as an array: names vary, the last one fastest; an empty array gives none."""
+    parts = parts_of(template, values)
+
+    def with_each(names: list[str], held: dict[str, Column]) -> Column:
+        if not names:
+            return F.array(put(parts, held))
+        return F.flatten(F.transform(values[names[0]], lambda x: with_each(names[1:], held | {names[0]: F.coalesce(x.cast("string"), F.lit(""))})))
+
+    return with_each(list(values), {})

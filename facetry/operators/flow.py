@@ -7,8 +7,10 @@ from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from facetry.operators.durable import durable
 from facetry.operators.spans import marked
@@ -24,9 +26,50 @@ def bag_map(rows: DataFrame, values: Column, name: str = "value") -> DataFrame:
     return rows.withColumn(name, F.explode(values))
 
 
-def batched(rows: DataFrame, n: int, *keys: str, order: list[Column]) -> DataFrame:
-    """Adds ``batch``, a number for each n rows in order within the keys."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / n).cast("long"))
+def batched(rows: DataFrame, n: int, *keys: str, order: list[Column | str]) -> DataFrame:
+    """Adds ``batch``, a number for each n rows in order within the keys; of all rows in order, without keys."""
+    return numbered(rows, *keys, order=order).withColumn("batch", F.floor(F.col("_number") / n).cast("long")).drop("_number")
+
+
+def numbered(rows: DataFrame, *keys: str, order: list[Column | str]) -> DataFrame:
+    """Adds ``_number``, a row's place, from 0 on, in order within the keys.
+
+    Rows are dealt out by ranges of keys and order, so that a key, however frequent, falls into many tasks; what a part leaves
+    to the next is its last key and that key's rows in it: a row a part goes to the driver.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = durable(rows.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order))
+    told = dealt.select(F.spark_partition_id().alias("part"), F.lit(0).cast("long").alias("n"), *keys).schema
+    schema = dealt.select("*", F.lit(0).cast("long").alias("_number")).schema
+
+    def of(batch: pa.RecordBatch):
+        return zip(*(batch[k].to_pylist() for k in keys), strict=True) if keys else ((),) * batch.num_rows
+
+    def last(batches):
+        key, n = None, 0
+        for batch in batches:
+            for k in of(batch):
+                key, n = k, n + 1 if k == key else 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((TaskContext.get().partitionId(), n, *key), to_arrow_schema(told), strict=True)], schema=to_arrow_schema(told))
+
+    before, key, n = {}, None, 0
+    for r in sorted(dealt.select(*keys).mapInArrow(last, told).collect() if keys else dealt.select(F.lit(0)).mapInArrow(last, told).collect(), key=lambda r: r.part):
+        before[r.part] = key, n
+        mine = tuple(r[k] for k in keys)
+        key, n = mine, r.n + (n if mine == key else 0)
+
+    def number(batches):
+        key, n = before.get(TaskContext.get().partitionId(), (None, 0))
+        for batch in batches:
+            out = []
+            for k in of(batch):
+                key, n = k, n + 1 if k == key else 1
+                out.append(n - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], schema=to_arrow_schema(schema))
+
+    return dealt.mapInArrow(number, schema)
 
 
 def iterated(rows: DataFrame, n: int, step: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Queries of pages: steps over their nodes, and their microdata."""
+"""Queries of pages: steps over their nodes, and their microdata; and of a mirror that a stream keeps."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from facetry.functions import pages as pg
 from facetry.operators import axes
-from facetry.operators.durable import durable
+from facetry.operators.durable import checkpoint_folder, durable
 from facetry.queries import query, table
+from facetry.streaming.mirror import Mirror
 
 
 def nodes(spark, d):
@@ -48,3 +51,15 @@ SELECT page_id, regexp_replace(url, '#.*', '') || '#article' AS s, 'rdf:type' AS
 UNION SELECT page_id, regexp_replace(url, '#.*', '') || '#article', 'https://schema.org/' || p, regexp_extract(url, '^[a-z]+://[^/]+') || href, 'iri' FROM l, (VALUES ('mentions'), ('relatedLink')) v(p)""")
 def microdata_statements(spark, d):
     return marked_up(spark, d).select("page_id", F.inline(pg.microdata(F.col("html"), F.col("url"))))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1 AND event_type <> 'error'")
+def stream_mirror(spark, d):
+    """The last event of each user, errors as deletions, kept by a stream over the table in several batches."""
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    changes = table(spark, d, "events").select("user_id", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("gone"))
+    changes.repartitionByRange(4, "event_id").write.parquet(f"{folder}/changes")
+    mirror = Mirror(spark, f"{folder}/mirror", "user_id", "event_id", "gone")
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/changes")
+    mirror.follow(stream, f"{folder}/progress").awaitTermination()
+    return mirror.items()
