@@ -1,4 +1,4 @@
-"""Queries of statements that follow from others."""
+"""Queries of statements that follow from others, of frames, and of groups and batches of all rows."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.more import trade_statements
-from facetry.operators import graph, inference
+from facetry.operators import flow, graph, inference
+from facetry.plans import shapes as s
 from facetry.queries import query, table
+from facetry.sources import frames
 
 _SCHEMA = [
     ("MACHINERY", "rdfs:subClassOf", "INDUSTRY"), ("AUTOMOBILE", "rdfs:subClassOf", "INDUSTRY"), ("INDUSTRY", "rdfs:subClassOf", "BUSINESS"), ("Place", "rdfs:subClassOf", "Thing"),
@@ -40,3 +42,36 @@ def closure_of_chains(spark, d):
     name = lambda c: F.concat(F.lit("order/"), F.col(c).cast("string"))
     before = orders.withColumn("before", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("before IS NOT NULL")
     return graph.closure(before.select(name("o_orderkey").alias("a"), name("before").alias("b")))
+
+
+# --- frames
+
+
+_NATION = s.both(s.field("label", s.required()), s.field("region", s.required(s.field("label", s.required()), s.field("nations", s.field("label", s.required())))))
+_CONTEXT = {"nations": "^region"}
+
+
+@query("""WITH r AS (SELECT n.n_nationkey AS k, string_agg(CASE WHEN o.n_nationkey = n.n_nationkey THEN '{"@id":"nation/' || o.n_nationkey || '"}' ELSE '{"@id":"nation/' || o.n_nationkey || '","label":"' || o.n_name || '"}' END, ',' ORDER BY 'nation/' || o.n_nationkey) AS nations FROM nation n JOIN nation o ON o.n_regionkey = n.n_regionkey GROUP BY 1)
+SELECT 'nation/' || n_nationkey AS focus, '{"@id":"nation/' || n_nationkey || '","label":"' || n_name || '","region":{"@id":"region/' || r_regionkey || '","label":"' || r_name || '","nations":[' || nations || ']}}' AS json FROM nation JOIN region ON n_regionkey = r_regionkey JOIN r ON k = n_nationkey""")
+def frames_cyclic(spark, d):
+    store = trade_statements(spark, d)
+    foci = store.where("p = 'label' AND s LIKE 'nation/%'").select("s")
+    return frames.framed(store, foci, _NATION, _CONTEXT)
+
+
+@query("""SELECT 'nation/' || n_nationkey AS s, 'label' AS p, n_name AS o FROM nation UNION ALL SELECT 'nation/' || n_nationkey, 'region', 'region/' || n_regionkey FROM nation UNION ALL SELECT 'region/' || r_regionkey, 'label', r_name FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)""")
+def frames_roundtrip(spark, d):
+    return frames.unframed(frames_cyclic(spark, d), _NATION, _CONTEXT).select("s", "p", "o")
+
+
+# --- groups and batches
+
+
+@query("SELECT event_type AS kind, list(DISTINCT user_id ORDER BY user_id) AS users FROM events GROUP BY 1")
+def flow_group_values(spark, d):
+    return flow.grouped(table(spark, d, "events"), F.col("event_type").alias("kind"), "user_id", name="users")
+
+
+@query("SELECT event_id, CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) / 1000) AS BIGINT) AS batch FROM events")
+def flow_batch_all(spark, d):
+    return flow.batched(table(spark, d, "events"), 1000, order=["ts", "event_id"]).select("event_id", "batch")
