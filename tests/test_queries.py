@@ -11,6 +11,7 @@ import facetry.modelling  # noqa: F401
 import facetry.more  # noqa: F401
 import facetry.queries as core
 import facetry.reasoning  # noqa: F401
+import facetry.vocabulary  # noqa: F401
 import facetry.webpages  # noqa: F401
 import facetry.wider  # noqa: F401
 
