@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from facetry.functions import models as md
 from facetry.functions import tokens as tk
 from facetry.operators import labels as lb
 from facetry.operators import linker as ln
+from facetry.operators.durable import checkpoint_folder
 from facetry.queries import SQL, query, table
 
 # The rules once more, without looks ahead and over letters told as plain ones, as DuckDB's expressions know plain letters only.
@@ -123,3 +126,18 @@ def text_link(spark, d):
     targets = docs.select("doc_id", ln.offsets(md.model_matches(tk.typed_tokens(F.col("text")), names())))
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("o"))
     return ln.linked(lb.label_matches(docs, "doc_id", "text", benchmark_labels(spark, d)), targets, edges)
+
+
+@query(f"""WITH l AS ({SQL["text_link"]}), n AS (SELECT 'reference/' || md5(doc_id || '|' || start || '|' || "end" || '|' || entity) AS s, l.*, substr(text, start + 1, "end" - start) AS anchor FROM l JOIN documents USING (doc_id))
+SELECT 'references' AS graph, s, unnest(['rdf:type', 'source', 'target', 'anchor', 'offset', 'length']) AS p, unnest(['Reference', CAST(doc_id AS VARCHAR), CAST(entity AS VARCHAR), anchor, CAST(start AS VARCHAR), CAST("end" - start AS VARCHAR)]) AS o FROM n""")
+def text_references(spark, d):
+    links = text_link(spark, d)
+    return ln.references(links, table(spark, d, "documents"), "doc_id", "text").where("p <> 'weight'")  # numbers with a point have other texts in SQL
+
+
+@query(r"SELECT DISTINCT lower(trim(line)) AS entry, 'WORD' AS type FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark) WHERE trim(line) <> '' AND line NOT LIKE '#%'")
+def text_corpus_load(spark, d):
+    """The lines of the benchmark's texts, written as a word list and loaded."""
+    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    table(spark, d, "benchmark").select(F.col("text").alias("value")).union(spark.range(1).select(F.lit("# a comment\n\n   "))).write.text(folder)
+    return ln.corpus(spark, folder, "WORD").drop("rank")

@@ -42,6 +42,23 @@ def graphs(store: DataFrame) -> DataFrame:
     return store.select("graph").distinct()
 
 
+def outcomes(store: DataFrame, subjects: DataFrame, known: str, unknown: str) -> DataFrame:
+    """``s`` and ``outcome`` of each subject, once: whether the store describes it. Creating a known subject is a conflict; changing or deleting an unknown one finds nothing."""
+    have = store.select("s").distinct().withColumn("_have", F.lit(True))
+    found = subjects.select("s").dropna().distinct().join(have, "s", "left")
+    return found.select("s", F.when(F.col("_have"), known).otherwise(unknown).alias("outcome"))
+
+
+def graph_outcome(store: DataFrame, graph: str, known: str, unknown: str) -> DataFrame:
+    """One row, ``graph`` and ``outcome``: whether the store has a statement in the graph."""
+    hit = store.where(F.col("graph") == graph).limit(1).agg(F.count("*").alias("n"))
+    return hit.select(F.lit(graph).alias("graph"), F.when(F.col("n") > 0, known).otherwise(unknown).alias("outcome"))
+
+
+def drop_graph(store: DataFrame, graph: str) -> DataFrame:
+    return store.where(~F.col("graph").eqNullSafe(F.lit(graph)))
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (a, b) with a path of one or more edges. Each round joins the pairs that the last one found with all pairs, on both sides, so that paths double: a chain of n edges takes log n rounds."""
     found = Grown(edges.select("a", "b").dropna())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.operators import flow, spans
@@ -43,6 +43,24 @@ def linked(matches: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFram
     return weighed.groupBy("doc_id", "start", "end").agg(best.alias("x")).select("doc_id", "start", "end", "x.entity", (-F.col("x.less")).alias("weight"))
 
 
+def references(links: DataFrame, texts: DataFrame, id_col: str, text_col: str, base: str = "reference/") -> DataFrame:
+    """``graph``, ``s``, ``p``, ``o``: a note of each link (of ``linked``): its text, entity, words, place, length and weight. Notes are named by what they say, so that the same link gives the same note."""
+    words = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
+    length = F.col("end") - F.col("start")
+    noted = links.join(words, "doc_id").withColumn("anchor", F.substr("_text", F.col("start") + 1, length))
+    text = lambda c: c.cast("string")
+    name = F.concat(F.lit(base), F.md5(F.concat_ws("|", text(F.col("doc_id")), text(F.col("start")), text(F.col("end")), text(F.col("entity"))).cast("binary")))
+    told = {"rdf:type": F.lit("Reference"), "source": text(F.col("doc_id")), "target": text(F.col("entity")), "anchor": F.col("anchor"), "offset": text(F.col("start")), "length": text(length), "weight": text(F.round("weight", 6))}
+    pairs = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in told.items()))).alias("x")
+    return noted.select(F.lit("references").alias("graph"), name.alias("s"), pairs).select("graph", "s", "x.p", "x.o").where("o IS NOT NULL")
+
+
+def corpus(spark: SparkSession, path: str, kind: str, rank: int = 0) -> DataFrame:
+    """``entry``, ``type``, ``rank`` of a word list in text files, a word a line, each once: blank lines and those that begin with ``#`` are none, case and outer spaces don't count."""
+    word = F.lower(F.trim("value"))
+    return spark.read.text(path).where(~F.col("value").startswith("#")).select(word.alias("entry")).where("entry <> ''").distinct().select("entry", F.lit(kind).alias("type"), F.lit(rank).alias("rank"))
+
+
 def connected(found: DataFrame, edges: DataFrame) -> DataFrame:
     """``doc_id``, ``entity``, ``neighbours``: the other candidates of the text that edges join an entity with, but for alternatives for the same words.
 

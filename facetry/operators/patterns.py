@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from facetry.operators.graph import closure
 
 
-def matched(store: DataFrame, s: str, p: str, o: str) -> DataFrame:
-    """Bindings of one pattern: ``?x`` is a variable, anything else a constant, which is filtered at the scan."""
+def matched(store: DataFrame, s: str, p: str, o: str, graph: str | None = None) -> DataFrame:
+    """Bindings of one pattern: ``?x`` is a variable, anything else a constant, which is filtered at the scan. With a ``graph``, statements of named graphs only: of that one, or with the graph's name as a variable."""
     seen: dict[str, str] = {}
-    for column, x in (("s", s), ("p", p), ("o", o)):
+    if graph is not None:
+        store = store.where(F.col("graph").isNotNull())
+    for column, x in (*((("graph", graph),) if graph is not None else ()), ("s", s), ("p", p), ("o", o)):
         if not x.startswith("?"):
             store = store.where(F.col(column) == F.lit(x))
         elif x in seen:
@@ -94,6 +96,16 @@ def in_graphs(store: DataFrame, *graphs: str) -> DataFrame:
     return store.where(F.col("graph").isin(*graphs)).select("s", "p", "o").distinct()
 
 
+def from_named(store: DataFrame, *graphs: str) -> DataFrame:
+    """The statements of the named graphs, which patterns with a graph see."""
+    return store.where(F.col("graph").isin(*graphs))
+
+
+def bound_to(rows: DataFrame, **values) -> DataFrame:
+    """Bindings in which the variables have the given values."""
+    return rows.where(reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in values.items()), F.lit(True)))
+
+
 def described(store: DataFrame, subjects: DataFrame) -> DataFrame:
     """All statements about the subjects ``s``, and those that name them as object."""
     wanted = subjects.select(F.col("s").alias("_s")).distinct()

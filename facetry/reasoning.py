@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.more import trade_statements
-from facetry.operators import flow, graph, inference
+from facetry.operators import flow, graph, inference, patterns
 from facetry.plans import shapes as s
-from facetry.queries import query, table
+from facetry.queries import nations, query, table
 from facetry.sources import frames
 
 _SCHEMA = [
@@ -75,3 +75,28 @@ def flow_group_values(spark, d):
 @query("SELECT event_id, CAST(floor((row_number() OVER (ORDER BY ts, event_id) - 1) / 1000) AS BIGINT) AS batch FROM events")
 def flow_batch_all(spark, d):
     return flow.batched(table(spark, d, "events"), 1000, order=["ts", "event_id"]).select("event_id", "batch")
+
+
+# --- what changes find, and graphs in patterns
+
+
+@query("""SELECT 'nation/' || k AS s, CASE WHEN k IN (SELECT n_nationkey FROM nation) THEN 'conflict' ELSE 'created' END AS outcome FROM (SELECT DISTINCT c_custkey % 40 AS k FROM customer)""")
+def crud_outcomes(spark, d):
+    new = table(spark, d, "customer").select(F.concat(F.lit("nation/"), (F.col("c_custkey") % 40).cast("string")).alias("s"))
+    return graph.outcomes(nations(spark, d), new, "conflict", "created")
+
+
+@query("SELECT 'nations' AS graph, 'replaced' AS outcome UNION ALL SELECT 'regions', 'created' UNION ALL SELECT 'none', 'missing'")
+def graph_outcomes(spark, d):
+    store = nations(spark, d)
+    put = graph.graph_outcome(store, "nations", "replaced", "created").union(graph.graph_outcome(store, "regions", "replaced", "created"))
+    return put.union(graph.graph_outcome(graph.drop_graph(store, "nations"), "none", "deleted", "missing"))
+
+
+@query("SELECT g, 'nation/' || n_nationkey AS s, n_name AS name FROM nation, (VALUES ('nations'), ('copy')) v(g) WHERE n_regionkey = 1")
+def sparql_graph_variable(spark, d):
+    store = nations(spark, d)
+    store = store.union(store.withColumn("graph", F.lit("copy"))).union(store.withColumn("graph", F.lit("other"))).union(store.withColumn("graph", F.lit(None).cast("string")))
+    named = patterns.from_named(store, "nations", "copy")
+    found = patterns.both(patterns.matched(named, "?s", "n_name", "?name", "?g"), patterns.matched(named, "?s", "n_regionkey", "?region", "?g"))
+    return patterns.bound_to(found, region="1").select("g", "s", "name")
