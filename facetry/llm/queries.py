@@ -37,8 +37,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    names, counts = language.language_counts(docs.where(F.coalesce(language.bucket_of(F.col("doc_id"), 5) != 0, F.lit(False))))
-    found = language.identify(docs, language.OutputCodes(names, counts))
+    found = language.identify(docs, language.fit_codes(docs.where(F.coalesce(language.bucket_of(F.col("doc_id"), 5) != 0, F.lit(False)))))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 

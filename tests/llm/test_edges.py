@@ -20,7 +20,7 @@ def operators(docs):
         "mix": mixing.mixed(docs),
         "quality": quality.score_quality(docs, model),
         "kept": quality.high_quality(docs, model),
-        "language": language.identify(docs, language.OutputCodes(*language.language_counts(docs))),
+        "language": language.identify(docs, language.fit_codes(docs)),
         "simhash": simhash.near_groups(docs),
         "first": simhash.first_of_groups(docs),
         "suffixes": suffixes.without_repeats(docs),

@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy; context mixing by its base counts and by summing to one."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -50,8 +51,7 @@ def test_codewords_differ_in_many_bits():
 
 def test_language_without_letters_or_training(spark):
     docs = documents(spark, [(1, None), (2, "123 !?"), (3, "hello world")])
-    names, counts = language.language_counts(docs.where("false"))
-    found = language.identify(docs, language.OutputCodes(names, counts)).collect()
+    found = language.identify(docs, language.fit_codes(docs.where("false"))).collect()
     assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)] * 3
 
 
@@ -149,17 +149,30 @@ def test_counts_packed_and_read_again():
         assert mixing_lm.widened(mixing_lm.narrow(counts), 3).tolist() == counts.tolist()
 
 
-def test_more_languages_than_are_learned(spark, monkeypatch):
-    docs = documents(spark, [(i, f"the words of text {'abcdefghij'[i % 10] * 3}", f"l{i % 8}", "web") for i in range(60)] + [(90, "rare words", "rare", "web"), (91, "more", None, "web")])
-    monkeypatch.setattr(language, "MOST_LANGUAGES", 6)
-    names, counts = language.language_counts(docs)
-    assert names == ["l0", "l1", "l2", "l3", "l4", "l5"] and counts.shape == (6, language.SLOTS)
-    found = language.identify(docs, language.OutputCodes(names, counts)).collect()
-    assert len(found) == 62 and {r.lang_pred for r in found} <= set(names)
+def test_all_languages_are_learned(spark, monkeypatch):
+    names = [f"l{i:03}" for i in range(620)]
+
+    def text(i):
+        own = random.Random(i)
+        return " ".join(own.choices(["".join(own.choices("abcdefghijklmnopqrstuvwxyzàéîöü", k=own.randint(3, 8))) for _ in range(40)], k=300))
+
+    docs = documents(spark, [(i, text(i % 620), names[i % 620], "web") for i in range(700)] + [(5000, "12 !", "digits", "web"), (5001, "more", None, "web"), (5002, None, "none", "web")])
+    monkeypatch.setattr(language, "HELD", 50)
+    model = language.fit_codes(docs)
+    assert model.names == names
+    counts = {x: np.zeros(language.SLOTS) for x in names}
+    for r in docs.where("doc_id < 5000").collect():
+        counts[r.lang] += language.counts_of(r.text)
+    share = np.array([(counts[x] + 0.5) / (counts[x] + 0.5).sum() for x in names])
+    for b in (0, 7, model.code.shape[1] - 1):
+        on, off = share[model.code[:, b] > 0].mean(axis=0), share[model.code[:, b] < 0].mean(axis=0)
+        assert np.allclose(model.weights[:, b], np.log(on / off))
+    found = language.identify(docs, model).where("doc_id < 5000").collect()
+    assert sum(r.lang_pred == names[r.doc_id % 620] for r in found) > 690
 
 
 def test_codewords_of_many_languages_differ():
-    for n in (2, 3, 5, 6, 40, language.MOST_LANGUAGES):
+    for n in (2, 3, 5, 6, 40, language.COMPARED, 2000):
         code = language.codewords(n)
         assert len(np.unique(code, axis=0)) == n and all(len(set(bit)) == 2 for bit in code.T)
 
