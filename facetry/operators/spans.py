@@ -21,12 +21,28 @@ TESTS = {
 
 
 def joined(left: DataFrame, right: DataFrame, key: str, how: str, width: int) -> DataFrame:
-    """Pairs of rows of one key whose spans lie as asked, once each. A pair meets in the bucket, ``width`` places wide, of the first place (or edge) that both have."""
+    """Pairs of rows of one key whose spans lie as asked, once each. Spans without a start or an end pair with nothing.
+
+    Buckets are ``width`` places wide, and twice as wide at each level. A span has the level at which it covers two buckets at
+    most, and lies in the buckets of that and of all higher levels that any span has: few rows, however long it is. A pair meets at the
+    higher of its levels, in the bucket of the first place (or edge) that both have.
+    """
     test: Column = TESTS[how](F.col("start"), F.col("end"), F.col("_start"), F.col("_end"))
     other = right.select(*(F.col(c).alias(c if c == key else f"_{c}") for c in right.columns))
-    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    found = left.withColumn("_bucket", bucket("start", "end")).join(other.withColumn("_bucket", bucket("_start", "_end")), [key, "_bucket"])
-    return found.where(test & (F.col("_bucket") == F.floor(F.greatest("start", "_start") / width))).drop("_bucket")
+    own = lambda a, b: F.greatest(F.lit(0), F.ceil(F.log2((F.col(b) - F.col(a) + 1) / width))).cast("int")
+    left, other = (rows.dropna(subset=[a, b]).withColumn(name, own(a, b)) for rows, a, b, name in ((left, "start", "end", "_own"), (other, "_start", "_end", "_other")))
+    levels = sorted(r[0] for r in left.select("_own").union(other.select("_other")).distinct().collect())  # as many as a length has bits
+    if not levels:
+        levels = [0]
+    size = (F.lit(width) * F.pow(F.lit(2.0), F.col("_level"))).cast("long")
+
+    def dealt(rows: DataFrame, a: str, b: str, own: str) -> DataFrame:
+        rows = rows.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col(own))))
+        return rows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))))
+
+    found = dealt(left, "start", "end", "_own").join(dealt(other, "_start", "_end", "_other"), [key, "_level", "_bucket"])
+    found = found.where((F.col("_level") == F.greatest("_own", "_other")) & test & (F.col("_bucket") == F.floor(F.greatest("start", "_start") / size)))
+    return found.drop("_level", "_bucket", "_own", "_other")
 
 
 def clustered(rows: DataFrame, key: str, start: str, end: str, name: str = "cluster") -> DataFrame:

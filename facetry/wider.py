@@ -219,6 +219,16 @@ def span_intersects(spark, d):
     return spans.joined(*event_spans(spark, d), "user_id", "intersects", 600).select(F.col("event_id").alias("one"), F.col("_event_id").alias("other"))
 
 
+@query("""WITH e AS (SELECT event_type, event_id, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + 1 + CASE WHEN event_id % 50 = 0 THEN 86400 * (event_id % 7 + 1) ELSE event_id % 900 END AS b FROM events)
+SELECT x.event_id AS outer_id, count(*) AS inner FROM e x JOIN e y ON x.event_type = y.event_type AND x.event_id % 50 = 0 AND y.event_id % 50 <> 0 AND x.a <= y.a AND y.b <= x.b GROUP BY 1""")
+def span_holds(spark, d):
+    """How many short events each event of days holds: spans of very different lengths."""
+    start, n = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000), F.col("event_id")
+    e = table(spark, d, "events").select("event_type", "event_id", start.alias("start"), (start + 1 + F.when(n % 50 == 0, 86400 * (n % 7 + 1)).otherwise(n % 900)).alias("end"))
+    found = spans.joined(e.where(n % 50 == 0), e.where(n % 50 != 0), "event_type", "contains", 600)
+    return found.groupBy(F.col("event_id").alias("outer_id")).agg(F.count("*").alias("inner"))
+
+
 @query("""SELECT c_custkey, ['a=' || c_custkey, 'b c=' || coalesce(c_mktsegment, ''), 'flag='] AS pairs FROM customer""")
 def fn_query_parameters(spark, d):
     text = F.concat(F.lit("a="), F.col("c_custkey").cast("string"), F.lit("&b+c="), F.col("c_mktsegment"), F.lit("&flag"))

@@ -104,3 +104,17 @@ def test_borders_of_spans(spark):
     found = sorted((r.k, r.start, r._start) for r in spans.joined(left, right, "k", "borders", 7).collect())
     assert found == [(1, 0, 10), (1, 20, 10), (1, 20, 35)]
     assert spans.joined(left, right, "k", "intersects", 4).count() == 2
+
+
+def test_spans_of_all_lengths_against_pairs(spark):
+    from facetry.operators import spans
+
+    random = __import__("random").Random(9)
+    span = lambda: (random.choice([1, 1, 2, None]), a := random.randint(-50, 400), a + random.choice([1, 2, 7, 40, 300, 5000]))
+    left, right = [span() for _ in range(60)] + [(1, None, 5)], [span() for _ in range(60)] + [(1, 3, None)]
+    frames = [spark.createDataFrame(rows, "k long, start long, end long") for rows in (left, right)]
+    for how, test in {"contains": lambda a, b, c, d: a <= c and d <= b, "intersects": lambda a, b, c, d: a < d and c < b, "borders": lambda a, b, c, d: b == c or d == a}.items():
+        told = sorted((k, a, b, c, d) for k, a, b in left for x, c, d in right if k is not None and k == x and None not in (a, b, c, d) and test(a, b, c, d))
+        found = sorted((r.k, r.start, r.end, r._start, r._end) for r in spans.joined(*frames, "k", how, 5).collect())
+        assert found == told, how
+    assert spans.joined(frames[0].limit(0), frames[1].limit(0), "k", "contains", 5).count() == 0
