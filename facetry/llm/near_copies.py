@@ -21,7 +21,7 @@ from facetry.llm.texts import MOST_SENT, checkpointed, map_rows, numbered
 #: Words of a shingle; bands, and least hashes in each.
 WORDS, BANDS, ROWS = 5, 24, 5
 #: Hashes handled at once; pairs of one text, or texts of one band, that are dealt to one task, about.
-PIECE, HOT = 1 << 16, 500
+PIECE, HOT = 1 << 16, 300
 _ODD = np.random.default_rng(23).integers(1 << 63, size=WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -141,25 +141,65 @@ def of_like_size(x: str, y: str):
 def alike_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links ``a``, ``b`` that connect all ``nodes`` (``unit``, a row of the texts, ``n`` and ``bands``) at a similarity of 0.8 or more that share a band.
 
-    First each text is compared with a leader of each of its bands. Then all pairs of a band that these links leave apart are.
-    Leaders are the least of three orders, so that bands of the same texts mostly have the same leaders.
+    First each text is compared with two leaders of each of its bands. Then texts of a band that these links leave apart are, in blocks.
+    One leader is the least of three orders, so that bands of the same texts mostly have the same. The other is the text whose
+    bands hold the most texts: of many changed copies of one text, which may be less like each other, that is the text itself.
     """
     keys = nodes.select("unit", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
-    leader = F.min(F.struct(F.xxhash64("unit", F.pmod("key", F.lit(3))), "unit", "n"))
-    bands = keys.groupBy("key").agg(F.count("*").alias("times"), leader.alias("leader")).where("times > 1")  # summed before they are shuffled
-    keys = checkpointed(keys.join(bands, "key").select("key", "unit", "n", "times", F.col("leader.unit").alias("leader"), F.col("leader.n").alias("leader_n")))
+    least = F.min(F.struct(F.xxhash64("unit", F.pmod("key", F.lit(3))), "unit", "n"))
+    bands = keys.groupBy("key").agg(F.count("*").alias("times"), least.alias("least")).where("times > 1")  # summed before they are shuffled
+    keys = checkpointed(keys.join(bands, "key"))
+    central = keys.groupBy("unit").agg(F.sum("times").alias("met"))
+    middle = keys.join(central, "unit").groupBy("key").agg(F.max(F.struct("met", -F.col("unit"), "n")).alias("middle"))
+    leaders = keys.join(middle.select("key", (-F.col("middle.col2")).alias("middle"), F.col("middle.n").alias("middle_n")), "key")
     sets = checkpointed(sets_of(texts, keys.select(F.col("unit").alias("row")).distinct()))
-    tried = checkpointed(keys.where((F.col("unit") != F.col("leader")) & of_like_size("n", "leader_n")).select(F.least("leader", "unit").alias("a"), F.greatest("leader", "unit").alias("b")).distinct())
+    led = leaders.select("unit", "n", F.inline(F.array(F.struct(F.col("least.unit").alias("leader"), F.col("least.n").alias("leader_n")), F.struct(F.col("middle").alias("leader"), F.col("middle_n").alias("leader_n")))))
+    keys = keys.drop("least")
+    tried = checkpointed(led.where((F.col("unit") != F.col("leader")) & of_like_size("n", "leader_n")).select(F.least("leader", "unit").alias("a"), F.greatest("leader", "unit").alias("b")).distinct())
     first = checkpointed(verified(sets, tried))
     labels = connected_components(first).toDF("unit", "label")
     labelled = keys.join(labels, "unit", "left").select("key", "unit", "n", "times", F.coalesce("label", "unit").alias("label"))
     apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    rest = checkpointed(labelled.join(apart, "key").withColumn("salts", F.ceil(F.col("times") / HOT).cast("int")))
-    left = rest.withColumn("salt", F.pmod(F.xxhash64("unit"), F.col("salts")).cast("int")).select("key", "salt", F.col("unit").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-    right = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("key", "salt", F.col("unit").alias("b"), F.col("n").alias("bn"), F.col("label").alias("bl"))
-    pairs = left.join(right, ["key", "salt"]).where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & of_like_size("an", "bn"))
-    untried = checkpointed(pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    return first.union(verified(sets, untried))
+    rest = labelled.join(apart, "key").select("key", "unit", "times", "label")
+    return first.union(band_links(rest, sets.join(nodes.select(F.col("unit").alias("row"), "bands"), "row").withColumnRenamed("row", "unit")))
+
+
+def band_links(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` of texts (``unit``, ``shingles``, ``bands``) of different labels that share a band (``key``, ``unit``, ``times``, ``label``).
+
+    A band's texts are dealt out to blocks of about HOT; two blocks meet in a task, which compares their texts in place and gives the links
+    alone. Pairs are neither written nor shuffled, and are compared in the first band that they share.
+    """
+    blocks = F.ceil(F.col("times") / HOT).cast("int")
+    rows = rest.withColumn("own", F.pmod(F.xxhash64("unit"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "unit", "label").join(texts, "unit")
+
+    def compared(key, table):
+        import pyarrow as pa
+
+        band, i, j = (k.as_py() for k in key)
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        size, units, own, label = np.array([len(x) for x in sets]), *(table[k].to_numpy() for k in ("unit", "own", "label"))
+        bands = np.array(table["bands"].to_pylist(), np.int64)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(size)
+        has, found = np.zeros(int(ids.max()) + 1, np.int32), []
+        order = np.arange(len(units))
+        for x in np.flatnonzero(own == i).tolist():
+            near = (label != label[x]) & (5 * np.minimum(size, size[x]) >= 4 * np.maximum(size, size[x])) & ((order > x) if i == j else (own == j))
+            if near.any():
+                common = bands == bands[x]
+                near &= bands[x][common.argmax(axis=1)] == band  # the first band that both have
+            if near.any():
+                mine = ids[ends[x] - size[x] : ends[x]]
+                has[mine] = 1
+                both = np.add.reduceat(has[ids], ends - size)
+                has[mine] = 0
+                found += [(units[x], units[y]) for y in np.flatnonzero(near & (9 * both >= 4 * (size + size[x]))).tolist()]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs.min(axis=1)), "b": pa.array(pairs.max(axis=1))})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compared, "a long, b long")
 
 
 def first_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
