@@ -8,7 +8,7 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -31,11 +31,28 @@ def batched(rows: DataFrame, n: int, *keys: str, order: list[Column | str]) -> D
     return numbered(rows, *keys, order=order).withColumn("batch", F.floor(F.col("_number") / n).cast("long")).drop("_number")
 
 
-def numbered(rows: DataFrame, *keys: str, order: list[Column | str]) -> DataFrame:
-    """Adds ``_number``, a row's place, from 0 on, in order within the keys.
+#: Rows of a key that one task sorts and numbers; more frequent keys are dealt out.
+HOT = 1_000_000
+
 
-    Rows are dealt out by ranges of keys and order, so that a key, however frequent, falls into many tasks; what a part leaves
-    to the next is its last key and that key's rows in it: a row a part goes to the driver.
+def numbered(rows: DataFrame, *keys: str, order: list[Column | str]) -> DataFrame:
+    """Adds ``_number``, a row's place, from 0 on, in order within the keys. Keys of up to HOT rows are one window each, others fall into many tasks."""
+    if not keys:
+        return dealt_numbers(rows, order=order)
+    window = lambda few: few.withColumn("_number", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+    hot = durable(rows.groupBy(*keys).count().where(F.col("count") > HOT).select(*keys))
+    if hot.isEmpty():
+        return window(rows)
+    same = reduce(lambda a, b: a & b, (F.col(f"rows.{k}").eqNullSafe(F.col(f"hot.{k}")) for k in keys))
+    split = lambda how: rows.alias("rows").join(hot.alias("hot"), same, how)
+    return window(split("left_anti")).unionByName(dealt_numbers(split("left_semi"), *keys, order=order))
+
+
+def dealt_numbers(rows: DataFrame, *keys: str, order: list[Column | str]) -> DataFrame:
+    """``numbered``, for keys however frequent.
+
+    Rows are dealt out by ranges of keys and order; what a part leaves to the next is its last key and that key's rows in it: a
+    row a part goes to the driver.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -63,8 +63,10 @@ def closure(edges: DataFrame) -> DataFrame:
     """All pairs (a, b) with a path of one or more edges. Each round joins the pairs that the last one found with all pairs, on both sides, so that paths double: a chain of n edges takes log n rounds."""
     found = Grown(edges.select("a", "b").dropna())
     while True:
-        known, fresh = found.all(), found.fresh
+        fresh = found.fresh
+        first = len(found.parts) == 1 and found.parts[0] is fresh  # at first both sides are the same
+        known = found.all()
         after = fresh.join(known.select(F.col("a").alias("b"), F.col("b").alias("_b")), "b").select("a", F.col("_b").alias("b"))
         before = known.select("a", F.col("b").alias("_b")).join(fresh.select(F.col("a").alias("_b"), "b"), "_b").select("a", "b")
-        if not found.grow(after.union(before)):
+        if not found.grow(after if first else after.union(before)):
             return known

@@ -77,7 +77,9 @@ def test_repeated_changes_of_a_stream(spark, tmp_path):
     assert spark.table("once").count() == 4
 
 
-def test_numbers_within_keys_over_many_parts(spark):
+@pytest.mark.parametrize("hot", [0, 20, 10**6])
+def test_numbers_within_keys_over_many_parts(spark, monkeypatch, hot):
+    monkeypatch.setattr(flow, "HOT", hot)
     random.seed(4)
     rows = [(random.choice([1, 1, 1, 1, 2, None]), i) for i in random.sample(range(500), 300)]
     frame = spark.createDataFrame(rows, "k long, t long").repartition(5)
