@@ -12,11 +12,13 @@ from facetry.llm.texts import checkpointed, documents
 
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's word figures, its measures by each vocabulary and the verdict. Null and empty texts have no words and fail the base rules; repeated rows agree."""
     measured = checkpointed(fertility.measure(documents(spark, sf_dir)))
     return fertility.fertility_rules(measured, fertility.bands(measured))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, its source's size and target, and the words that the mix takes of it. Null texts have size 0; null sources are one source, the last; repeated rows with one identifier draw alike."""
     plan = mixing.mix_plan(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
@@ -29,6 +31,7 @@ OP2_SQL = (
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score. Null and empty texts are scored as texts without words; a null identifier isn't learned from and isn't held out; repeated rows agree."""
     docs = documents(spark, sf_dir)
     model = quality.fit_quality(docs, documents(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs, model)
@@ -36,20 +39,24 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language. Null texts and texts without a letter are ``und`` with score 0; rows without a language, or with a null identifier, teach nothing."""
     docs = documents(spark, sf_dir)
     found = language.identify(docs, language.fit_codes(docs.where(F.coalesce(language.bucket_of(F.col("doc_id"), 5) != 0, F.lit(False)))))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op5_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component. Null, zero and non-finite vectors link with nothing and are components of their own; equal vectors link."""
     return hnsw.embedding_groups(documents(spark, sf_dir, "embeddings"))
 
 
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's fingerprint and component. Null texts and texts without words have the fingerprint zero and link as others do."""
     return simhash.near_groups(documents(spark, sf_dir)).select("doc_id", simhash.hexadecimal(F.col("bits")).alias("fingerprint"), "component_id")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of repeated passages. Null texts are empty and lose nothing; repeated rows are places of their own, so that long ones lose all their bytes."""
     found = suffixes.without_repeats(documents(spark, sf_dir), first_stays=False, characters=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -62,15 +69,18 @@ def segmented(docs: DataFrame) -> DataFrame:
 
 
 def op8_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of every text's n best segmentations. Null and empty texts have one, of no pieces."""
     return segmented(documents(spark, sf_dir))
 
 
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's base score and score. Null texts are an end alone; a null identifier isn't learned from; repeated rows count as often as they occur."""
     found = mixing_lm.score_texts(documents(spark, sf_dir), mixing_lm.learnable())
     return found.withColumn("held_out", mixing_lm.held_out())
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, quantiles and truncated totals for every context limit. Null and empty texts have length 0; an empty table gives no rows."""
     return lengths.length_table(checkpointed(lengths.length_histogram(lengths.encoded_lengths(documents(spark, sf_dir)))))
 
 
