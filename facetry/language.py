@@ -39,7 +39,7 @@ def tokens_sql(name: str, source: str, key: str, text: str) -> str:
 
 @query("WITH " + tokens_sql("t", "documents", "doc_id", "text") + " SELECT * FROM t")
 def text_typed_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.posexplode(tk.typed_tokens(F.col("text"))).alias("at", "t")).select("doc_id", "at", "t.*")
+    return tk.token_rows(table(spark, d, "documents"), ["doc_id"], F.col("text"), "at")
 
 
 @query("WITH " + tokens_sql("t", "pages", "page_id", "url") + """ SELECT page_id, string_agg(text || '/' || type, ' ' ORDER BY "at") AS tokens FROM t GROUP BY 1""")
@@ -86,8 +86,7 @@ m AS (SELECT rr.doc_id, first::INT AS first, len(run)::INT AS words, x.start, y.
 
 @query("WITH " + tokens_sql("t", "documents", "doc_id", "text") + ", " + models_sql("U+(?:oU+)?") + """ SELECT doc_id, 'NAME' AS type, first, words, start, "end" FROM m""")
 def text_model_find(spark, d):
-    found = md.model_matches(tk.typed_tokens(F.col("text")), names(), "NAME")
-    return table(spark, d, "documents").select("doc_id", F.inline(found))
+    return md.model_rows(table(spark, d, "documents"), ["doc_id"], F.col("text"), names(), "NAME")
 
 
 @query("WITH " + tokens_sql("t", "benchmark", "item_id", "text") + r""", w AS (SELECT *, regexp_matches(text, '^\p{Lu}') OR type = 'NNP' AS head FROM t)
@@ -100,7 +99,7 @@ def text_ngram_find(spark, d):
 @query("WITH " + tokens_sql("t", "documents", "doc_id", "text") + """, k AS (SELECT lower(c_mktsegment) AS entry, 'SEGMENT' AS type FROM customer UNION SELECT w, 'SMALL' FROM (VALUES ('of'), ('the'), ('de')) v(w))
 SELECT doc_id, t.type AS was, CASE WHEN t.type = '' THEN coalesce(k.type, '') ELSE t.type END AS type, count(*) AS count FROM t LEFT JOIN k ON lower(text) = entry GROUP BY ALL""")
 def text_tagged(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.inline(tk.typed_tokens(F.col("text"))))
+    words = tk.token_rows(table(spark, d, "documents"), ["doc_id"], F.col("text"))
     segments = table(spark, d, "customer").select(F.col("c_mktsegment").alias("entry"), F.lit("SEGMENT").alias("type"), F.lit(1).alias("rank"))
     small = spark.createDataFrame([(w, "SMALL", 2) for w in ("Of", "the", "DE")], "entry string, type string, rank int")
     return ln.tagged(words.withColumn("was", F.col("type")), segments.union(small)).groupBy("doc_id", "was", "type").agg(F.count("*").alias("count"))

@@ -197,3 +197,22 @@ def test_linking_against_a_plain_loop(spark):
             expected.append((d, s, z, e, -weight))
     got = sorted((r.doc_id, r.start, r.end, r.entity, r.weight) for r in found.collect())
     assert [x[:4] for x in got] == [x[:4] for x in sorted(expected)] and all(abs(a[4] - b[4]) < 1e-9 for a, b in zip(got, sorted(expected), strict=True))
+
+
+def test_rows_of_slices(spark):
+    """Tokens and matches by slices of rows are those by whole arrays, and no more than a slice is told at once."""
+    from facetry.functions import slices
+
+    texts = ["Ada of the Lab 9x", None, "", "x　Y\u0085Z", *(f"The E.ON{k} R&D é 🙂 {'Ab ' * k}." for k in range(300))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1)
+    plain = rows.select("k", tk.typed_tokens(F.col("text")).alias("t"))
+    tokens = sorted(map(tuple, tk.token_rows(rows, ["k"], F.col("text"), "at").collect()))
+    assert tokens == sorted((r.k, i, *x) for r in plain.collect() for i, x in enumerate(r.t or []))
+    assert [x for x in tokens if x[0] == 3] == [(3, 0, "x", "", 0, 1), (3, 1, "Y", "", 2, 3), (3, 2, "Z", "", 4, 5)]
+    name = md.token(md.upper).repeated(1)
+    matches = sorted(map(tuple, md.model_rows(rows, ["k"], F.col("text"), name, "N").collect()))
+    assert matches == sorted(map(tuple, plain.select("k", F.inline(md.model_matches(F.col("t"), name, "N"))).collect())) and len(matches) > 300
+    batch = rows.toArrow().to_batches()[0]
+    parts = list(slices.slices(batch, "text", 4000))
+    assert len(parts) > 5 and sum(p.num_rows for p in parts) == batch.num_rows
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= 4000 for p in parts)
