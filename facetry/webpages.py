@@ -14,7 +14,7 @@ from facetry.streaming.mirror import Mirror
 
 
 def nodes(spark, d):
-    return durable(axes.nodes_of(table(spark, d, "pages").select("page_id", pg.page_nodes(F.col("html")).alias("nodes")), "page_id", F.col("nodes")))
+    return durable(pg.page_rows(table(spark, d, "pages").select(F.col("page_id").alias("page"), "html"), ["page"], F.col("html")))
 
 
 _NAV = "SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages"

@@ -88,3 +88,13 @@ def test_nulls(spark):
     found = rows.select("k", pages.microdata(F.col("html"), F.col("url")).alias("m")).collect()
     assert [r.m and [tuple(x) for x in r.m] for r in found] == [None, [("_:#1", "terms#x", "y", "literal")], []]
     assert html.main_of("<div>" * 2000 + "<p>deep text</p>" + "</div>" * 2000) == "deep text"
+
+
+def test_node_rows_of_slices_are_those_of_arrays(spark):
+    from facetry.functions import pages
+
+    texts = [None, "", "<p id=a>x<b y>z</b>", *(f"<ul>{'<li a=1>t' * k}</ul>" for k in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "page long, html string").coalesce(1)
+    told = lambda found: sorted((r.page, r.node, r.last, r.parent, r.tag or "", str(r.attributes), r.text or "") for r in found.collect())
+    whole = told(axes.nodes_of(rows.select("page", pages.page_nodes(F.col("html")).alias("n")), "page", F.col("n")))
+    assert told(pages.page_rows(rows, ["page"], F.col("html"))) == whole and len(whole) > 3000
