@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,5 +33,13 @@ def greatest(kind: Column, text: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def without_marks(texts: pd.Series) -> pd.Series:
     """Letters without their marks; no built-in function decomposes characters."""
-    bare = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
     return texts.map(lambda t: t if t is None or t.isascii() else bare(t))
+
+
+def bare(text: str) -> str:
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)))
+
+
+def bare_texts(texts: pa.Array) -> pa.Array:
+    """``without_marks`` of a slice of texts."""
+    return pa.array([t if t is None or t.isascii() else bare(t) for t in texts.to_pylist()], pa.string())

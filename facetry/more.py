@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.functions import html, values
+from facetry.functions import html, slices, values
 from facetry.functions import text as fn
 from facetry.operators import graph, patterns
 from facetry.plans import compile as plan
@@ -176,7 +176,7 @@ def fn_point(spark, d):
 
 @query("SELECT doc_id, strip_accents(text) AS text FROM documents")
 def fn_clean_marks(spark, d):
-    return table(spark, d, "documents").select("doc_id", values.without_marks("text").alias("text"))
+    return slices.with_column(table(spark, d, "documents").select("doc_id", "text"), "text", F.col("text"), values.bare_texts, "string")
 
 
 # --- pages, texts and time
@@ -184,12 +184,12 @@ def fn_clean_marks(spark, d):
 
 @query()
 def html_untag(spark, d):
-    return table(spark, d, "pages").select("page_id", html.untagged("html").alias("text"))
+    return slices.with_column(table(spark, d, "pages").select("page_id", F.col("html").alias("text")), "text", F.col("text"), html.untagged_texts, "string")
 
 
 @query()
 def html_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", html.main_text("html").alias("text"))
+    return slices.with_column(table(spark, d, "pages").select("page_id", F.col("html").alias("text")), "text", F.col("text"), html.main_texts, "string")
 
 
 @query("""WITH b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS token FROM benchmark), t AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{N}]+'))) AS token FROM documents)

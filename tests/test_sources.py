@@ -61,3 +61,16 @@ def test_quads_of_all_kinds_come_back(spark):
     found = nquads.parsed(spark.createDataFrame([('<a> <p> "caf\\u00e9 \\\\u0041" .',)], "value string")).collect()
     assert found[0].o == "café \\u0041"
     assert [r.value for r in nquads.one_graph(rows, "g").where("value like '%@fr%'").collect()] == ['<a> <p> "un \\"mot\\"\\n"@fr .']
+
+
+def test_texts_by_slices_are_those_by_rows(spark):
+    from facetry.functions import html, slices, values
+
+    texts = [None, "", "é à", "<p>ü<h1>A</h1>", *("<li>" + "ñ" * k for k in range(200))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1)
+    for run, whole in ((html.untagged_texts, html.untagged), (html.main_texts, html.main_text), (values.bare_texts, values.without_marks)):
+        found = slices.with_column(rows, "text", F.col("text"), run, "string")
+        assert found.columns == ["k", "text"] and sorted(found.collect(), key=lambda r: r.k) == sorted(rows.select("k", whole("text").alias("text")).collect(), key=lambda r: r.k)
+    batch = rows.toArrow().to_batches()[0]
+    parts = list(slices.slices(batch, "text", 1000))
+    assert len(parts) > 10 and sum(p.num_rows for p in parts) == batch.num_rows
