@@ -121,10 +121,8 @@ nn AS (SELECT doc_id, entity, count(*) AS n FROM nb GROUP BY ALL), lh AS (SELECT
 ww AS (SELECT doc_id, start, "end", entity, CASE WHEN high > low THEN 0.1::DOUBLE * (weight - low)::DOUBLE / (high - low)::DOUBLE ELSE 0.1::DOUBLE END + coalesce(n, 0)::DOUBLE AS weight FROM q JOIN lh USING (doc_id) LEFT JOIN nn USING (doc_id, entity))
 SELECT doc_id, start, "end", entity, weight FROM ww QUALIFY row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY weight DESC, entity) = 1""")
 def text_link(spark, d):
-    docs = table(spark, d, "documents")
-    targets = docs.select("doc_id", ln.offsets(md.model_matches(tk.typed_tokens(F.col("text")), names())))
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("o"))
-    return ln.linked(lb.label_matches(docs, "doc_id", "text", benchmark_labels(spark, d)), targets, edges)
+    return ln.linked_texts(table(spark, d, "documents"), "doc_id", "text", benchmark_labels(spark, d), names(), edges)
 
 
 @query(f"""WITH l AS ({SQL["text_link"]}), n AS (SELECT 'reference/' || md5(doc_id || '|' || start || '|' || "end" || '|' || entity) AS s, l.*, substr(text, start + 1, "end" - start) AS anchor FROM l JOIN documents USING (doc_id))

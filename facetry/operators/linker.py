@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.operators import flow, spans
+from facetry.functions.models import Model
+from facetry.operators import flow, labels, spans
 from facetry.operators.durable import durable
 
 #: Places of a text that a bucket of spans covers.
@@ -33,9 +34,24 @@ def linked(matches: DataFrame, targets: DataFrame, edges: DataFrame) -> DataFram
     places = matches.select("doc_id", "start", "end").distinct()
     wanted = targets.select("doc_id", "start", "end").where(F.col("doc_id").isNotNull()).distinct()
     inside = spans.joined(places, wanted, "doc_id", "contains", WIDTH).select("doc_id", "start", "end").distinct()
-    kept = flow.pruned(inside, "doc_id", "start", "end")
+    return likeliest(matches.join(flow.pruned(inside, "doc_id", "start", "end"), ["doc_id", "start", "end"]), edges)
+
+
+def linked_texts(texts: DataFrame, id_col: str, text_col: str, entities: DataFrame, target: Model, edges: DataFrame) -> DataFrame:
+    """``linked``, of the labels of entities (``labelled``) that stand in texts, with the matches of a model in them as targets.
+
+    Whether a place holds a target is told where its text is; places are pruned before they meet the entities that have their words as a label.
+    """
+    known = labels.keyed(entities)
+    places = durable(labels.at_labels(labels.label_places(texts, id_col, text_col, known, target), known, "left_semi"))
+    kept = flow.pruned(places, "doc_id", "start", "end")
+    return likeliest(labels.at_labels(kept, known), edges)
+
+
+def likeliest(matches: DataFrame, edges: DataFrame) -> DataFrame:
+    """The last step of ``linked``: of the entities of each place that is kept the heaviest."""
     label = F.lower("label")
-    found = durable(matches.join(kept, ["doc_id", "start", "end"]).groupBy("doc_id", "start", "end", "entity", label.alias("words")).agg(F.max("weight").alias("weight")))
+    found = durable(matches.groupBy("doc_id", "start", "end", "entity", label.alias("words")).agg(F.max("weight").alias("weight")))
     ranges = found.groupBy("doc_id").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
     scaled = F.when(F.col("high") > F.col("low"), F.lit(TOP) * (F.col("weight") - F.col("low")).cast("double") / (F.col("high") - F.col("low")).cast("double")).otherwise(F.lit(TOP))
     weighed = found.join(ranges, "doc_id").join(connected(found, edges), ["doc_id", "entity"], "left").withColumn("weight", scaled + F.coalesce("neighbours", F.lit(0)))
@@ -67,7 +83,9 @@ def connected(found: DataFrame, edges: DataFrame) -> DataFrame:
     Candidates meet over edges, not over texts: a text's candidates are never paired.
     """
     candidates = found.select("doc_id", "entity").distinct()
-    both = edges.select("s", "o").union(edges.select("o", "s")).distinct().where("s <> o")
+    named = durable(candidates.select("entity").distinct())  # edges that leave the candidates of all texts go before they meet any
+    among = edges.where("s <> o").join(named.withColumnRenamed("entity", "s"), "s", "left_semi").join(named.withColumnRenamed("entity", "o"), "o", "left_semi")
+    both = durable(among.select("s", "o").union(among.select("o", "s")).distinct())
     near = candidates.join(both, F.col("entity") == F.col("s")).select("doc_id", "entity", F.col("o").alias("other"))
     near = near.join(candidates.select("doc_id", F.col("entity").alias("other")), ["doc_id", "other"], "left_semi")
     words = found.select("doc_id", "entity", "words").distinct()

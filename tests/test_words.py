@@ -216,3 +216,22 @@ def test_rows_of_slices(spark):
     parts = list(slices.slices(batch, "text", 4000))
     assert len(parts) > 5 and sum(p.num_rows for p in parts) == batch.num_rows
     assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= 4000 for p in parts)
+
+
+def test_links_of_texts_are_those_of_matches_and_targets(spark):
+    """Places told in one pass link as matches and targets joined afterwards; a label of many words, over other powers of two, is found in texts of its words only."""
+    random.seed(9)
+    words = ["Ada", "of", "Lab", "x", "the", "E.ON", "y"]
+    texts = [(k, " ".join(random.choices(words, k=random.randint(0, 60)))) for k in range(150)] + [(500, None), (None, "Ada Lab"), (501, "x " * 900), (502, "")]
+    names = sorted({" ".join(random.choices(words, k=random.randint(1, 6))) for _ in range(80)})
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    entities = lb.labelled(spark.createDataFrame([(k % 30, n) for k, n in enumerate(names)] + [(77, "x " * 37)], "e long, name string"), "e", "name")
+    edges = spark.createDataFrame([(random.randint(0, 40), random.randint(0, 40)) for _ in range(200)], "s long, o long")
+    model = md.token(md.upper).repeated(1)
+    targets = md.model_rows(frame, ["doc_id"], F.col("text"), model)
+    matches = lb.label_matches(frame, "doc_id", "text", entities)
+    assert matches.where("entity = 77").select("doc_id", "first").distinct().count() == 900 - 37 + 1
+    plans = ln.linked_texts(frame, "doc_id", "text", entities, model, edges)
+    found = sorted(map(tuple, plans.collect()))
+    assert found == sorted(map(tuple, ln.linked(matches, targets, edges).collect())) and len(found) > 100
+    assert "Exchange" not in lb.label_places(frame, "doc_id", "text", lb.keyed(entities))._jdf.queryExecution().executedPlan().toString()  # words aren't shuffled
