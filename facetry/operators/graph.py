@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetry.operators.flow import Grown
+from facetry.operators.durable import durable
 
 STATEMENT = ["graph", "s", "p", "o"]
 
@@ -60,13 +62,22 @@ def drop_graph(store: DataFrame, graph: str) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """All pairs (a, b) with a path of one or more edges. Each round joins the pairs that the last one found with all pairs, on both sides, so that paths double: a chain of n edges takes log n rounds."""
-    found = Grown(edges.select("a", "b").dropna())
+    """All pairs (a, b) with a path of one or more edges, in rounds that double the paths: a chain of n edges takes log n rounds.
+
+    A round finds the pairs whose shortest path has exactly twice as many edges as the last round's, and adds each of them followed
+    by a known shorter path. So a pair is reached by one split of its length, not by all, and is found in the round of its length.
+    """
+    exact = durable(edges.select("a", "b").dropna().distinct())
+    parts = [exact]
     while True:
-        fresh = found.fresh
-        first = len(found.parts) == 1 and found.parts[0] is fresh  # at first both sides are the same
-        known = found.all()
-        after = fresh.join(known.select(F.col("a").alias("b"), F.col("b").alias("_b")), "b").select("a", F.col("_b").alias("b"))
-        before = known.select("a", F.col("b").alias("_b")).join(fresh.select(F.col("a").alias("_b"), "b"), "_b").select("a", "b")
-        if not found.grow(after if first else after.union(before)):
+        known = reduce(DataFrame.union, parts)
+        exact = durable(unknown(exact, exact, known))
+        if exact.isEmpty():
             return known
+        parts += [exact, durable(unknown(exact, known, known.union(exact)))]
+
+
+def unknown(first: DataFrame, then: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs of ends of a pair of the first and one of the second that follows, but for known ones."""
+    after = first.select("a", F.col("b").alias("_at")).join(then.select(F.col("a").alias("_at"), "b"), "_at").select("a", "b")
+    return after.distinct().join(known, ["a", "b"], "left_anti")

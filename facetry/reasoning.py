@@ -41,7 +41,8 @@ def closure_of_chains(spark, d):
     orders = table(spark, d, "orders")
     name = lambda c: F.concat(F.lit("order/"), F.col(c).cast("string"))
     before = orders.withColumn("before", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("before IS NOT NULL")
-    return graph.closure(before.select(name("o_orderkey").alias("a"), name("before").alias("b")))
+    found = graph.closure(before.select(F.col("o_orderkey").alias("a"), F.col("before").alias("b")))
+    return found.select(name("a").alias("a"), name("b").alias("b"))
 
 
 # --- frames

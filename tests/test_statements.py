@@ -73,3 +73,10 @@ def test_literals_have_no_type_from_a_range(spark):
     store = spark.createDataFrame([("g", "p", inference.RANGE, "C"), ("g", "x", "p", '"text"'), ("g", "x", "p", "y")], graph.STATEMENT)
     found = {tuple(r) for r in inference.inferred(store, ~store.o.startswith('"')).collect()}
     assert ("y", inference.TYPE, "C") in found and ('"text"', inference.TYPE, "C") not in found
+
+
+def test_a_closure_joins_each_pair_of_a_chain_once(spark, monkeypatch):
+    made, unknown = [], graph.unknown
+    monkeypatch.setattr(graph, "unknown", lambda first, then, known: made.append(first.join(then.selectExpr("a AS b", "b AS c"), "b").count()) or unknown(first, then, known))
+    assert graph.closure(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")).count() == 200 * 201 // 2
+    assert sum(made) <= 200 * 201 // 2 + 200  # as many rows as pairs, a pair of exactly twice the length perhaps once more
