@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -45,6 +46,58 @@ def joined(left: DataFrame, right: DataFrame, key: str, how: str, width: int) ->
     return found.drop("_level", "_bucket", "_own", "_other")
 
 
+def held(left: DataFrame, right: DataFrame, key: str, name: str = "held") -> DataFrame:
+    """Adds the number of right rows of the same key whose spans the row's span holds, without making the pairs.
+
+    Those that end by the end, less those that start before the start, and more by those that do neither, which hold the row's
+    span with room on both sides and were taken off wrongly. Work grows with the rows times the logarithm of the spans of that last sort.
+    """
+    outer, inner = (rows.select(key, "start", "end").dropna() for rows in (left, right))
+    outer, axes = outer.distinct(), {"end": (2, 1), "start": (0, -1)}
+    points = reduce(DataFrame.union, (inner.select(key, F.lit(c).alias("axis"), F.col(c).alias("place")) for c in axes)).groupBy(key, "axis", "place").agg(F.count("*").alias("n"))
+    probes = reduce(DataFrame.union, (outer.select(key, F.lit(c).alias("axis"), F.col(c).alias("place"), F.lit(kind).alias("kind"), "start", "end", F.lit(sign).alias("sign")) for c, (kind, sign) in axes.items()))
+    signed = below(points, probes, [key, "axis"]).select(key, "start", "end", (F.col("sign") * F.col("_below")).alias("n"))
+    if (around := holders(outer, inner, key)) is not None:
+        signed = signed.union(around)
+    found = signed.groupBy(key, "start", "end").agg(F.sum("n").alias(name))
+    return left.join(found, [key, "start", "end"], "left").select(*left.columns, F.coalesce(name, F.lit(0).cast("long")).alias(name))
+
+
+def holders(outer: DataFrame, inner: DataFrame, key: str) -> DataFrame | None:
+    """For outer spans the number of inner ones that start before and end after them; None if no inner span is long enough.
+
+    Starts before a place, by rank, are a few whole blocks of a power of two of ranks, one a bit; ends are counted within each.
+    """
+    length = F.col("end") - F.col("start")
+    inner = durable(inner.join(outer.groupBy(key).agg(F.min(length).alias("_least")), key).where(length >= F.col("_least")).drop("_least"))
+    if inner.isEmpty():
+        return None
+    outer = outer.join(inner.groupBy(key).agg(F.max(length).alias("_most")), key).where(length <= F.col("_most")).drop("_most")
+    starts = inner.select(key, F.col("start").alias("place")).distinct().withColumn("n", F.lit(1).cast("long"))
+    of = lambda rows, own: rows.select(key, F.col("start").alias("place"), F.lit(0).alias("kind"), "start", "end", F.lit(own).alias("own"))
+    ranked = durable(below(starts, of(inner, False).union(of(outer, True)), [key]))
+    levels = F.sequence(F.lit(0), F.lit(max(0, int(ranked.agg(F.max("_below")).first()[0] or 0).bit_length() - 1)))
+    blocks = ranked.withColumn("level", F.explode(levels)).withColumn("block", F.expr("shiftright(_below, level)")).drop("_below", "place")
+    points = blocks.where("NOT own").groupBy(key, "level", "block", (-F.col("end")).alias("place")).agg(F.count("*").alias("n"))
+    probes = blocks.where("own AND block % 2 = 1").select(key, "level", (F.col("block") - 1).alias("block"), (-F.col("end")).alias("place"), "kind", "start", "end")
+    return below(points, probes, [key, "level", "block"]).select(key, "start", "end", F.col("_below").alias("n"))
+
+
+def below(points: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds to probes ``_below``, the sum of ``n`` of the points of the same keys at a lower ``place``, or also at their own (``kind`` 2 instead of 0).
+
+    Rows are dealt out by ranges of keys and place, so that no key is one task; a part's sums count for the parts after it.
+    """
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.withColumn("kind", F.lit(1)).unionByName(probes.withColumn("n", F.lit(0).cast("long")), allowMissingColumns=True)
+    dealt = durable(rows.repartitionByRange(parts, *keys, "place", "kind").withColumn("_part", F.spark_partition_id()))
+    before = dealt.groupBy(*keys, "_part").agg(F.sum("n").alias("_sum"))
+    before = before.select(*keys, "_part", F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    running = F.sum("n").over(Window.partitionBy(*keys, "_part").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = dealt.withColumn("_running", running).where("kind <> 1").join(before, [*keys, "_part"])
+    return found.select(*probes.columns, (F.col("_running") + F.coalesce("_before", F.lit(0))).alias("_below"))
+
+
 def clustered(rows: DataFrame, key: str, start: str, end: str, name: str = "cluster") -> DataFrame:
     """Adds the smallest start that a chain of overlaps within the key leads to; spans of different clusters don't overlap. Spans without a start or an end have no cluster."""
     return marked(rows, key, start, end, name).drop("_alone")

@@ -225,8 +225,8 @@ def span_holds(spark, d):
     """How many short events each event of days holds: spans of very different lengths."""
     start, n = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000), F.col("event_id")
     e = table(spark, d, "events").select("event_type", "event_id", start.alias("start"), (start + 1 + F.when(n % 50 == 0, 86400 * (n % 7 + 1)).otherwise(n % 900)).alias("end"))
-    found = spans.joined(e.where(n % 50 == 0), e.where(n % 50 != 0), "event_type", "contains", 600)
-    return found.groupBy(F.col("event_id").alias("outer_id")).agg(F.count("*").alias("inner"))
+    found = spans.held(e.where(n % 50 == 0), e.where(n % 50 != 0), "event_type").where("held > 0")
+    return found.groupBy(F.col("event_id").alias("outer_id")).agg(F.sum("held").alias("inner"))
 
 
 @query("""SELECT c_custkey, ['a=' || c_custkey, 'b c=' || coalesce(c_mktsegment, ''), 'flag='] AS pairs FROM customer""")

@@ -118,3 +118,18 @@ def test_spans_of_all_lengths_against_pairs(spark):
         found = sorted((r.k, r.start, r.end, r._start, r._end) for r in spans.joined(*frames, "k", how, 5).collect())
         assert found == told, how
     assert spans.joined(frames[0].limit(0), frames[1].limit(0), "k", "contains", 5).count() == 0
+
+
+def test_held_spans_are_counted_without_pairs(spark):
+    from facetry.operators import spans
+
+    random = __import__("random").Random(5)
+    some = lambda n, most: [(random.choice(["a", "b", None]), a, a + random.randint(0, most)) for a in (random.randint(0, 40) for _ in range(n))]
+    for most in ((9, 9), (30, 4), (3, 30)):  # spans of one length, holders, and held ones that are longer
+        outer, inner = some(60, most[0]), some(90, most[1])
+        outer, inner = [*outer, *outer[:5], ("a", None, 3), ("b", 3, None)], [*inner, *inner[:9], ("a", 2, None), ("b", None, 9)]
+        left, right = (spark.createDataFrame(x, "k string, start long, end long") for x in (outer, inner))
+        holds = lambda x, y: None not in (*x, *y) and x[0] == y[0] and x[1] <= y[1] and y[2] <= x[2]
+        found = sorted(map(repr, (tuple(r) for r in spans.held(left, right, "k").collect())))
+        assert found == sorted(repr((*x, sum(holds(x, y) for y in inner))) for x in outer)
+        assert {r.held for r in spans.held(left, right.limit(0), "k").collect()} == {0}
