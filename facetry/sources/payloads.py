@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.plans import shapes as sh
-from facetry.plans.compile import below, conjunction, is_name, rooted, rule_of
+from facetry.plans.compile import below, conjunction, is_name, joined_by, rooted, rule_of
 from facetry.plans.shapes import And, Clazz, Field, Lang, Localized, Or, Value, Values, When
 from facetry.sources.catalog import Catalog, Reference
 
@@ -23,11 +23,21 @@ def checked(rows: DataFrame, catalog: Catalog, name: str, shape, json: str = "js
     doesn't know are left out, not reported. One value a field at most is told plainly, others as an array.
     """
     shape = rooted(catalog, name, shape)
-    x = F.try_parse_json(json)
-    whole = F.json_object_keys(json).isNotNull() & x.isNotNull()
+    x = F.col("_parsed")
+    whole = x.isNotNull() & F.json_object_keys(json).isNotNull()
     report = F.when(whole, report_of(catalog, name, shape, F.array(x))).otherwise(failed("", "json"))
-    with_report = rows.withColumn("report", report)
-    return with_report.withColumn("trimmed", F.when(F.size("report") == 0, F.to_json(trimmed(catalog, name, shape, x))))
+    with_report = once(once(rows, "_parsed", F.try_parse_json(json)), "report", report)
+    return with_report.withColumn("trimmed", F.when(F.size("report") == 0, F.to_json(trimmed(catalog, name, shape, x)))).drop("_parsed")
+
+
+def once(rows: DataFrame, name: str, column: Column) -> DataFrame:
+    """Adds (or replaces) a column that is computed once a row: what uses it, filters included, doesn't repeat its expression."""
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c != name), F.explode(F.array(column)).alias(name))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value, which is computed once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def failed(path: str, rule: str) -> Column:
@@ -39,7 +49,7 @@ def nothing() -> Column:
 
 
 def all_of(reports: list[Column]) -> Column:
-    return reduce(lambda a, b: F.concat(a, b), reports) if reports else nothing()
+    return F.concat(*reports) if len(reports) > 1 else reports[0] if reports else nothing()
 
 
 def values_of(x: Column, label: str) -> Column:
@@ -65,35 +75,61 @@ def report_of(catalog: Catalog, name: str, shape, group: Column) -> Column:
     if isinstance(shape, And):
         return all_of([report_of(catalog, name, s, group) for s in shape.shapes])
     if isinstance(shape, Or):
-        return F.when(reduce(lambda a, b: a | b, (F.size(report_of(catalog, name, s, group)) == 0 for s in shape.shapes)), nothing()).otherwise(failed("", "or"))
+        return F.when(passed(catalog, name, shape, group), nothing()).otherwise(failed("", "or"))
     if isinstance(shape, When):
-        return F.when(F.size(report_of(catalog, name, shape.test, group)) == 0, report_of(catalog, name, shape.then, group)).otherwise(report_of(catalog, name, shape.other, group))
+        return F.when(passed(catalog, name, shape.test, group), report_of(catalog, name, shape.then, group)).otherwise(report_of(catalog, name, shape.other, group))
     if isinstance(shape, Field):
         return F.flatten(F.transform(group, lambda x: report_of_field(catalog, name, shape, x)))
     if isinstance(shape, bool):
         return nothing() if shape else failed("", "none")
+    if isinstance(shape, Clazz):
+        return F.when(passed(catalog, name, shape, group), nothing()).otherwise(failed("", shape.rule))
+    return nothing() if is_name(shape) else of_values(shape, names_of(group), F.size(group))
+
+
+def names_of(group: Column) -> Column:
+    return F.filter(F.transform(group, lambda x: F.coalesce(F.try_variant_get(x, "$['@id']", "string"), F.try_variant_get(x, "$", "string"))), lambda v: v.isNotNull())
+
+
+def passed(catalog: Catalog, name: str, shape, group: Column) -> Column:
+    """Whether ``report_of`` would tell nothing: no report is made, and what is settled early is looked at no further."""
+    if isinstance(shape, (And, Or)):
+        return joined_by([passed(catalog, name, s, group) for s in shape.shapes], shape)
+    if isinstance(shape, When):
+        return F.when(passed(catalog, name, shape.test, group), passed(catalog, name, shape.then, group)).otherwise(passed(catalog, name, shape.other, group))
+    if isinstance(shape, Field):
+        return F.forall(group, lambda x: passed_field(catalog, name, shape, x))
+    if isinstance(shape, bool):
+        return F.lit(shape)
     if isinstance(shape, Clazz):
         kind = catalog[name].kind
         label = next((k for k, v in catalog[name].fields.items() if v == kind), kind)
         fits = lambda x: F.exists(values_of(x, label), lambda v: F.try_variant_get(v, "$", "string").isin(*below(catalog.classes, shape.name)))
-        return F.when(F.forall(group, fits), nothing()).otherwise(failed("", shape.rule))
-    if is_name(shape):
-        return nothing()
-    names = F.filter(F.transform(group, lambda x: F.coalesce(F.try_variant_get(x, "$['@id']", "string"), F.try_variant_get(x, "$", "string"))), lambda v: v.isNotNull())
-    return of_values(shape, names, F.size(group))
+        return F.coalesce(F.forall(group, fits), F.lit(False))
+    return F.lit(True) if is_name(shape) else valid_values(shape, names_of(group), F.size(group))
+
+
+def passed_field(catalog: Catalog, name: str, shape: Field, x: Column) -> Column:
+    step = catalog[name].fields[shape.name]
+    if isinstance(step, Reference):
+        return bound(values_of(x, shape.name), lambda group: passed(catalog, step.entity, shape.shape, group))
+    if in_languages(shape.shape):
+        return bound(texts_of(x, shape.name), lambda group: F.size(of_texts(shape.shape, group)) == 0)
+    kind = catalog.rows(name).schema[step].dataType.simpleString()
+    return bound(F.transform(values_of(x, shape.name), lambda v: typed_value(v, kind)), lambda typed: F.forall(typed, lambda v: v.isNotNull()) & valid_values(shape.shape, typed, F.size(typed)))
 
 
 def report_of_field(catalog: Catalog, name: str, shape: Field, x: Column) -> Column:
     step = catalog[name].fields[shape.name]
     if isinstance(step, Reference):
-        found = report_of(catalog, step.entity, shape.shape, values_of(x, shape.name))
+        found = bound(values_of(x, shape.name), lambda group: report_of(catalog, step.entity, shape.shape, group))
     elif in_languages(shape.shape):
-        found = of_texts(shape.shape, texts_of(x, shape.name))
+        found = bound(texts_of(x, shape.name), lambda group: of_texts(shape.shape, group))
     else:
         kind = catalog.rows(name).schema[step].dataType.simpleString()
-        raw = values_of(x, shape.name)
-        typed = F.transform(raw, lambda v: typed_value(v, kind))
-        found = F.concat(F.when(F.exists(typed, lambda v: v.isNull()), failed("", f"type({kind})")).otherwise(nothing()), report_of_values(shape.shape, F.filter(typed, lambda v: v.isNotNull()), F.size(raw)))
+        wrong = lambda typed: F.when(F.exists(typed, lambda v: v.isNull()), failed("", f"type({kind})")).otherwise(nothing())
+        right = lambda typed: bound(F.filter(typed, lambda v: v.isNotNull()), lambda group: report_of_values(shape.shape, group, F.size(typed)))
+        found = bound(F.transform(values_of(x, shape.name), lambda v: typed_value(v, kind)), lambda typed: F.concat(wrong(typed), right(typed)))
     path = lambda p: F.when(p == "", F.lit(shape.name)).otherwise(F.concat(F.lit(f"{shape.name}."), p))
     return F.transform(found, lambda r: F.struct(path(r["path"]).alias("path"), r["rule"].alias("rule")))
 
@@ -112,15 +148,26 @@ def report_of_values(shape, group: Column, size: Column) -> Column:
     if isinstance(shape, And):
         return all_of([report_of_values(s, group, size) for s in shape.shapes])
     if isinstance(shape, Or):
-        return F.when(reduce(lambda a, b: a | b, (F.size(report_of_values(s, group, size)) == 0 for s in shape.shapes)), nothing()).otherwise(failed("", "or"))
+        return F.when(valid_values(shape, group, size), nothing()).otherwise(failed("", "or"))
     if isinstance(shape, When):
-        return F.when(F.size(report_of_values(shape.test, group, size)) == 0, report_of_values(shape.then, group, size)).otherwise(report_of_values(shape.other, group, size))
+        return F.when(valid_values(shape.test, group, size), report_of_values(shape.then, group, size)).otherwise(report_of_values(shape.other, group, size))
     if isinstance(shape, bool):
         return nothing() if shape else failed("", "none")
     return of_values(shape, group, size)
 
 
 def of_values(shape, group: Column, size: Column) -> Column:
+    return F.when(valid_values(shape, group, size), nothing()).otherwise(failed("", rule_of(shape)))
+
+
+def valid_values(shape, group: Column, size: Column) -> Column:
+    """Whether a group of plain values passes a shape without steps."""
+    if isinstance(shape, (And, Or)):
+        return joined_by([valid_values(s, group, size) for s in shape.shapes], shape)
+    if isinstance(shape, When):
+        return F.when(valid_values(shape.test, group, size), valid_values(shape.then, group, size)).otherwise(valid_values(shape.other, group, size))
+    if isinstance(shape, bool):
+        return F.lit(shape)
     ok = F.lit(True)
     if isinstance(shape, Value):
         ok = F.forall(group, lambda v: F.coalesce(shape.test(v, True), F.lit(True)))
@@ -136,8 +183,8 @@ def of_values(shape, group: Column, size: Column) -> Column:
         if shape.every:
             ok = ok & F.forall(group, lambda v: F.coalesce(shape.every.test(v, True), F.lit(True)))
     else:
-        return failed("", rule_of(shape))  # plain values have no fields
-    return F.when(F.coalesce(ok, F.lit(False)), nothing()).otherwise(failed("", rule_of(shape)))
+        return F.lit(False)  # plain values have no fields
+    return F.coalesce(ok, F.lit(False))
 
 
 def of_texts(shape, group: Column) -> Column:
@@ -176,5 +223,5 @@ def trimmed(catalog: Catalog, name: str, shape, x: Column) -> Column:
         else:
             kind = catalog.rows(name).schema[step].dataType.simpleString()
             values = F.transform(values_of(x, label), lambda v: typed_value(v, kind))  # noqa: B023
-        parts.append((F.get(values, 0) if one else F.when(F.size(values) > 0, values)).alias(label))
+        parts.append((F.get(values, 0) if one else bound(values, lambda v: F.when(F.size(v) > 0, v))).alias(label))
     return F.struct(*parts)

@@ -172,3 +172,16 @@ def test_payloads_with_alternatives_and_languages(spark, shop):
     assert found == [[], [("word", "lang(en, it)"), ("word", "localized"), ("word", "max_length(4)")], []] and kept[0] == {"word": {"en": "one", "it": "uno"}} and kept[2] == {}
     assert checked(spark, shop, "person", s.Clazz("Warm"), {"kind": "Red"}, {"kind": "Blue"}, {})[0] == [[], [("", "class(Warm)")], [("", "class(Warm)")]]
     assert checked(spark, shop, "person", s.field("boss", s.has_any("p/1")), {"boss": "p/1"}, {"boss": {"@id": "p/2"}})[0] == [[], [("boss", "any(p/1)")]]
+
+
+def test_payloads_are_parsed_once(spark, shop):
+    rows = spark.createDataFrame([(1, "{}")], "k long, json string")
+    shape = s.both(s.either(s.field("name", s.stem("A")), s.field("age", s.min_inclusive(50))), s.field("mail", s.required()))
+    found = payloads.checked(rows, shop, "person", shape).where("trimmed IS NOT NULL").select("k", "trimmed")
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parse_json") + found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_payload_alternatives_over_many_values(spark, shop):
+    shape = s.field("notes", s.min_count(1), s.either(s.field("word", s.has_any("a")), s.field("word", s.required(s.max_length(2)))))
+    found = checked(spark, shop, "person", shape, {"notes": [{"word": "a"}, {"word": ["a", "long"]}]}, {"notes": [{"word": "bb"}, {"word": "cc"}]}, {"notes": [{"word": "long"}, {"word": "a"}]}, {"notes": [{"word": 5}]}, {})[0]
+    assert found == [[], [], [("notes", "or")], [("notes", "or")], [("notes", "1.. values")]]
