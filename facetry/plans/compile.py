@@ -355,8 +355,14 @@ def broken(catalog: Catalog, name: str, shape, rows: DataFrame) -> DataFrame:
         elif step is not None:
             out += broken_step(catalog, name, part, rows)
         elif isinstance(part, When):
-            if (known := valid_test(catalog, name, part.test)) is not None:
-                out += [broken(catalog, name, x, rows.where(t)) for x, t in ((part.then, known), (part.other, ~known)) if x is not True]
+            if (known := told_test(catalog, name, part.test, rows)) is not None:
+                some, known = known
+                branches = [(x, t) for x, t in ((part.then, known), (part.other, ~known)) if x is not True]
+                if all(own_parts(catalog, name, x) for x, _ in branches):  # one pass for both
+                    found = [F.when(t & ~valid, F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"))) for x, t in branches for path, rule, valid in own_parts(catalog, name, x)]
+                    out += [exploded(some, key, found)] if found else []
+                else:
+                    out += [broken(catalog, name, x, some.where(t).select(rows.columns)) for x, t in branches]
             else:
                 fails = broken(catalog, name, part.test, rows).select(F.col("focus").alias("_no")).distinct()
                 for x, how in ((part.then, "left_anti"), (part.other, "left_semi")):
@@ -369,11 +375,49 @@ def broken(catalog: Catalog, name: str, shape, rows: DataFrame) -> DataFrame:
             every = reduce(DataFrame.union, fails).groupBy("focus").count().where(F.col("count") == len(fails))
             out.append(told(every, "focus", "", rule_of(part)))
     if tests:
-        found = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x")
-        out.insert(0, rows.select(F.col(key).alias("focus"), found).select("focus", "x.path", "x.rule"))
+        out.insert(0, exploded(rows, key, tests))
     return reduce(DataFrame.union, out) if out else told(rows.limit(0), key, "", "")
 
 
+def exploded(rows: DataFrame, key: str, tests: list[Column]) -> DataFrame:
+    found = F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("x")
+    return rows.select(F.col(key).alias("focus"), found).select("focus", "x.path", "x.rule")
+
+
+def own_parts(catalog: Catalog, name: str, shape) -> list[tuple[str, str, Column]] | None:
+    """The tests (path, rule, whether it holds) of a shape whose parts are fields in an entity's own columns; None for others."""
+    entity, out = catalog[name], []
+    for part in conjunction(shape):
+        step = entity.fields[part.name] if isinstance(part, Field) else None
+        if not isinstance(step, str):
+            return None
+        out += [(part.name, rule_of(x), valid_column(x, F.col(step), language(entity, part.name))) for x in conjunction(part.shape)]
+    return out
+
+
+def told_test(catalog: Catalog, name: str, shape, rows: DataFrame) -> tuple[DataFrame, Column] | None:
+    """Rows and, as a column, whether each passes a shape of own columns and of single items that references lead to; None for other shapes.
+
+    What fails is gathered among the items referred to, of which there are fewer, and joined to the rows by the reference.
+    """
+    if (known := valid_test(catalog, name, shape)) is not None:
+        return rows, known
+    if isinstance(shape, (And, Or)):
+        found = []
+        for x in shape.shapes:
+            if (one := told_test(catalog, name, x, rows)) is None:
+                return None
+            rows, passes = one
+            found.append(passes)
+        return rows, joined_by(found, shape)
+    step = catalog[name].fields[shape.name] if isinstance(shape, Field) else None
+    if not isinstance(step, Reference) or step.inverse or any(isinstance(x, Values) for x in conjunction(shape.shape)):
+        return None
+    k = sum(c.startswith("_fails") for c in rows.columns)
+    fails = broken(catalog, step.entity, shape.shape, catalog.rows(step.entity)).select(F.col("focus").alias(f"_fails{k}")).distinct()
+    return rows.join(fails, F.col(step.column) == F.col(f"_fails{k}"), "left"), F.col(f"_fails{k}").isNull()
+
+
 def broken_step(catalog: Catalog, name: str, part: Field, rows: DataFrame) -> list[DataFrame]:
     """What fails along a reference: the set of what it leads to, and each of these."""
     entity, step = catalog[name], catalog[name].fields[part.name]

@@ -185,3 +185,13 @@ def test_payload_alternatives_over_many_values(spark, shop):
     shape = s.field("notes", s.min_count(1), s.either(s.field("word", s.has_any("a")), s.field("word", s.required(s.max_length(2)))))
     found = checked(spark, shop, "person", shape, {"notes": [{"word": "a"}, {"word": ["a", "long"]}]}, {"notes": [{"word": "bb"}, {"word": "cc"}]}, {"notes": [{"word": "long"}, {"word": "a"}]}, {"notes": [{"word": 5}]}, {})[0]
     assert found == [[], [], [("notes", "or")], [("notes", "or")], [("notes", "1.. values")]]
+
+
+def test_conditions_along_references_are_joined_by_the_reference(spark, shop):
+    warm = s.field("boss", s.field("kind", s.one_of("Red")))  # missing and unknown bosses fail no test
+    adult, mail = s.field("age", s.min_inclusive(40)), s.field("mail", s.required())
+    assert report(shop, "person", s.When(warm, adult, mail)) == [(1, "age", "min_inclusive(40)"), (2, "age", "min_inclusive(40)")]
+    assert report(shop, "person", s.When(s.field("boss", s.field("kind", s.one_of("Blue"))), mail, adult)) == [(2, "age", "min_inclusive(40)")]
+    assert report(shop, "person", s.When(s.either(warm, s.field("name", s.stem("Z"))), s.field("boss", s.field("age", s.max_exclusive(20))), mail)) == [(2, "boss.age", "max_exclusive(20)")]
+    text = plan.violations(shop, "person", s.When(warm, adult, mail))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in text and "LeftSemi" not in text
