@@ -119,10 +119,15 @@ def sites_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     raw = b"".join(x for t in joined for x in (lead, t, tail))
     buffer = np.frombuffer(raw, np.uint8)
     size = np.array([len(t) + 1 for t in joined], np.int64)
-    starts = np.cumsum(size + width) - size  # of each text's first byte
-    at = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    four = np.ndarray(len(raw) - width + 1, ">u4", raw, 0, (1,)).astype(np.uint32)  # the four bytes from each place on
-    key = np.take(four, at - width).astype(np.uint64) << np.uint64(8) | np.take(buffer, at)
+    starts = np.cumsum(size + width) - size - width  # of what stands before each text
+    own = np.ones(len(raw), bool)
+    own[starts[:, None] + np.arange(width)] = False
+    at = np.flatnonzero(own)
+    here = np.take(buffer, at)
+    four = np.ndarray(len(raw) - width + 1, ">u4", raw, 0, (1,)).astype(np.uint64)  # the four bytes from each place on
+    key = np.take(four, at - width)
+    key <<= np.uint64(8)
+    key |= here
     bounds = np.flatnonzero(np.take(_APART, buffer))
     length = np.diff(np.append(bounds, len(buffer)))
     last = np.repeat(bounds, length)  # what came before the word; a text starts with a bound
@@ -130,16 +135,19 @@ def sites_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     value = np.take(_LETTER, buffer)
     value *= np.take(power, np.arange(len(buffer)) - last)
     total = np.cumsum(value, dtype=np.uint64)
-    before = at - 1
-    word = (np.take(total, before) - np.take(total, np.take(last, before))) * _MIX
-    return key, (word >> np.uint64(32)) << np.uint64(8) | np.take(buffer, at), size
+    total -= np.repeat(total[bounds], length)
+    word = np.take(total, at - 1)
+    word *= _MIX
+    word >>= np.uint64(32)
+    word <<= np.uint64(8)
+    word |= here
+    return key, word, size
 
 
 def distinct_sites(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The different pairs, where each came from, and how often each occurs."""
     back, found = pd.factorize((keys * _STEP ^ words) * _MIX)
-    first = np.empty(len(found), np.int64)
-    first[back[::-1]] = np.arange(len(back))[::-1]
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))  # numbers rise where they are new
     return keys[first], words[first], back, np.bincount(back, minlength=len(found))
 
 
@@ -475,11 +483,13 @@ class ContextMixing:
     def log10(self, keys: np.ndarray, words: np.ndarray) -> np.ndarray:
         """log10 probability of each site's byte after what is before it."""
         out, logs = np.empty(len(keys)), self.refined_logs().ravel()
-        for i in range(0, len(keys), FEW):
-            few = keys[i : i + FEW]
-            odds, gate = self.inputs(few, words[i : i + FEW])
+        order = np.argsort(keys)  # contexts that are alike lie together in the tables
+        for i in range(0, len(keys), 2 * FEW):
+            rows = order[i : i + 2 * FEW]
+            few = keys[rows]
+            odds, gate = self.inputs(few, words[rows])
             step = ((self.mix(odds, gate) + np.float32(1.5 * CLIP)) * np.float32(STEPS / (3 * CLIP))).astype(np.int32)
-            out[i : i + FEW] = np.take(logs, ((gate // SEEN << 1) + bits_of(few)) * STEPS + np.minimum(step, STEPS - 1)).sum(axis=1)
+            out[rows] = np.take(logs, ((gate // SEEN << 1) + bits_of(few)) * STEPS + np.minimum(step, STEPS - 1)).sum(axis=1)
         return out
 
 

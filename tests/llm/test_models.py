@@ -189,3 +189,24 @@ def test_pieces_of_long_texts_have_all_sequences(monkeypatch):
             assert (found is None) == (slots is None)
             if slots is not None:
                 assert (found == np.bincount(slots, minlength=language.SLOTS)).all(), (size, text[:20])
+
+
+def test_sites_and_their_first_places():
+    import numpy as np
+
+    from facetry.llm import mixing_lm as m
+
+    texts = [[b"ab", b"abc"], [], [b"ab", b"ab"]]
+    keys, words, size = m.sites_of(texts)
+    assert size.tolist() == [7, 1, 6]
+    told, seen = [], {}
+    for t in texts:
+        line = bytes([m.END]) * 4 + b" ".join(t) + bytes([m.END])
+        told += [int.from_bytes(line[i - 4 : i + 1], "big") for i in range(4, len(line))]
+    assert keys.tolist() == told
+    some, own, back, n = m.distinct_sites(keys, words)
+    for pair in zip(keys.tolist(), words.tolist(), strict=True):
+        seen.setdefault(pair, len(seen))
+    assert list(zip(some.tolist(), own.tolist(), strict=True)) == list(seen) and back.tolist() == [seen[p] for p in zip(keys.tolist(), words.tolist(), strict=True)] and n.sum() == len(keys)
+    model = m.ContextMixing.new([np.random.default_rng(1).integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in m.SLOT_BITS])
+    assert np.array_equal(model.log10(some, own)[back], model.log10(keys, words))
