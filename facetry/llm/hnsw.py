@@ -1,8 +1,9 @@
-"""Embedding near-dedup: a navigable small-world graph per shard, every vector searched in every shard, links verified."""
+"""Embedding near-dedup: a navigable small-world graph per shard of a cell, every vector searched in the cells that its links may lie in, links verified."""
 
 from __future__ import annotations
 
 import pickle
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,14 @@ COSINE = 0.9
 DEGREE, INSERT, STEP = 16, 1024, 4
 #: First and last width of a beam; a search that still needs more scans its shard.
 BEAM, WIDEST = 32, 512
-#: Searches of each sort that an audit repeats by brute force, and the recall that it asks for: of vectors that link, and of nearest ones whatever their cosine.
-AUDIT, RECALL, NEAREST = 128, 0.995, 0.9
-#: Vectors of a shard at most (on average) and shards at least; vectors that one task searches.
-SHARD, SHARDS, PART = 50_000, 6, 25_000
+#: Searches of each sort that an audit repeats by brute force, and the recall that it asks for: of vectors made at the limit, and of the links of vectors searched.
+AUDIT, RECALL, LINKED = 512, 0.995, 0.99
+#: Vectors of a shard at most (on average); vectors that one task searches.
+SHARD, PART = 50_000, 10_000
+#: Vectors of one length from which they are dealt to cells; cells at least then and at most; a cell of more than SHARD vectors has several shards.
+DEALT, CELLS, MOST_CELLS = 1024, 6, 2048
+#: Vectors and bytes of the sample that cells are fitted on, rounds of that, and the share of vectors at the limit whose cell must be searched.
+SAMPLE, SAMPLE_BYTES, ROUNDS, ROUTED = 16_384, 32 << 20, 5, 0.998
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -29,6 +34,19 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def at_limit(x: np.ndarray, toward: np.ndarray) -> np.ndarray:
+    """For each of ``x`` a vector at a cosine of COSINE to it, in the direction of ``toward``."""
+    off = toward - np.einsum("nd,nd->n", toward, x)[:, None] * x
+    length = np.linalg.norm(off, axis=1, keepdims=True)
+    return COSINE * x + np.sqrt(1 - COSINE**2) * off / np.where(length > 0, length, 1)
+
+
+def probes(x: np.ndarray, n: int, random: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two sorts of ``n`` pairs at the limit: some of ``x`` with vectors beside them in any direction, and in the direction of others of ``x``."""
+    some, others = x[random.integers(len(x), size=n)], x[random.integers(len(x), size=n)]
+    return [(some, at_limit(some, toward)) for toward in (random.normal(size=some.shape), others)]
+
+
 class Graph:
     """Layers of links over vectors sorted by falling level: layer l has the first ``sizes[l]`` of them."""
 
@@ -143,52 +161,53 @@ class Graph:
             active = active[open_[active].any(axis=1)]
         return np.where(ids < n, ids, -1), sims
 
-    def matches(self, exact: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, exact: np.ndarray, skip: np.ndarray | None = None, probed: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) of cosine >= COSINE in double precision; ``skip`` names a node for each query to leave out.
 
         Beams widen for queries whose whole beam matches, and for all while an audit against brute force falls short; a query
-        that needs more than the widest beam scans the shard. ``audited`` is the audit's recall, 1 where all is scanned.
+        that needs more than the widest beam scans the shard. ``audited`` is the audit's recall, 1 where all is scanned;
+        without ``probed`` it is that of the queries' own links alone, as the graph's beam was found by probes before.
         """
         self.audited = 1.0
         if not len(self.exact) or not len(exact):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(self.exact) <= 4 * BEAM:
+        if len(self.exact) <= 4 * BEAM or self.beam > WIDEST:
             return self._scan(exact, np.arange(len(exact)), skip)
-        if recall := self._audit(exact, skip):
+        if recall := self._audit(exact, skip, probed):
             self.audited = recall
             return self._beams(exact, skip)
         return self._scan(exact, np.arange(len(exact)), skip)
 
-    def _audit(self, exact: np.ndarray, skip: np.ndarray | None) -> float:
-        """Widens the beam until two sorts of queries find their truly nearest vector; their recall, or 0 if the widest beam doesn't do.
+    def _audit(self, exact: np.ndarray, skip: np.ndarray | None, probed: bool) -> float:
+        """Widens the beam until searches find links as brute force does; the least recall of any sort, or 0 (and a beam beyond the widest) if the widest doesn't do.
 
-        Vectors made at a cosine of COSINE to one of the graph stand for those that link, so that the audit measures
-        something where no two vectors link; vectors searched stand for themselves. Each query counts once.
+        Probes at a cosine of COSINE to vectors of the graph must find their nearest one: they stand for vectors that link,
+        so that the audit measures something where no two vectors link. Of vectors searched, those that link must find their
+        links, unless they fill the beam, which then widens by itself. Each query counts once.
         """
-        random = np.random.default_rng(11)
-        some = random.integers(len(self.exact), size=AUDIT)
-        off = random.normal(size=(AUDIT, self.exact.shape[1]))
-        off -= np.einsum("nd,nd->n", off, self.exact[some])[:, None] * self.exact[some]
-        length = np.linalg.norm(off, axis=1, keepdims=True)
-        probes = COSINE * self.exact[some] + np.sqrt(1 - COSINE**2) * off / np.where(length > 0, length, 1)
+        sorts = []
+        if probed:
+            for _, made in probes(self.exact, AUDIT, np.random.default_rng(11)):
+                sims = made @ self.exact.T
+                sorts.append((made, sims >= sims.max(axis=1, keepdims=True) - 1e-6, 1, RECALL))
         own = np.linspace(0, len(exact) - 1, min(AUDIT, len(exact))).astype(int)
-        recalls = [(probes, None, RECALL), (exact[own], None if skip is None else skip[own], NEAREST)]
-        truths = []
-        for queries, left_out, _ in recalls:
-            sims = queries @ self.exact.T
-            if left_out is not None:
-                sims[np.arange(len(queries)), left_out] = -2
-            truths.append((sims, sims.max(axis=1)))
+        near = exact[own] @ self.exact.T >= COSINE
+        if skip is not None:
+            near[np.arange(len(own)), skip[own]] = False
+        if (linked := near.any(axis=1)).any():
+            sorts.append((exact[own[linked]], near[linked], None, LINKED))
         while True:
-            found = []
-            for (queries, _, _), (sims, best) in zip(recalls, truths, strict=True):
+            recalls = []
+            for queries, truth, most, _ in sorts:
                 q = queries.astype(np.float32)
-                ids = self.search(q, self._entries(q, 0), 0, self.beam)[0]
-                near = np.where(ids >= 0, np.take_along_axis(sims, np.maximum(ids, 0), 1), -2).max(axis=1)
-                found.append(float((near >= best - 1e-6).mean()))
-            if all(r >= least for r, (_, _, least) in zip(found, recalls, strict=True)):
-                return found[0]
+                ids, sims = self.search(q, self._entries(q, 0), 0, self.beam)
+                found = ((ids >= 0) & np.take_along_axis(truth, np.maximum(ids, 0), 1)).sum(axis=1)
+                full = ((sims >= COSINE - 1e-4) & (ids >= 0)).all(axis=1) & (most is None)
+                recalls.append(float(np.where(full, 1, np.minimum(1, found / (most or truth.sum(axis=1)))).mean()))
+            if all(r >= least for r, (*_, least) in zip(recalls, sorts, strict=True)):
+                return min(recalls, default=1.0)
             if self.beam >= WIDEST:
+                self.beam = 2 * WIDEST
                 return 0.0
             self.beam *= 2
 
@@ -235,20 +254,86 @@ def vectors_of(column) -> np.ndarray:
     return np.frombuffer(b"".join(flat.to_pylist()), np.float64).reshape(len(flat), -1)
 
 
+def gaps(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's cell, that of the nearest centre, and how far the vector lies from its border with each other cell."""
+    inner = x @ centres.T
+    home = inner.argmax(axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-12))
+    return home, (np.take_along_axis(inner, home[:, None], 1) - inner) / apart[home]
+
+
+def fitted_cells(x: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Centres of cells for ``n`` vectors of which ``x`` are a sample, and the gap up to which a vector is searched in another cell.
+
+    Two vectors at the limit are sqrt(2 - 2 COSINE) apart, so that with that gap no link is missed. Mostly a smaller one does:
+    that by which, of probes at the limit, all but a share of 1 - ROUTED lie in a cell that either of the two is searched in.
+    """
+    random = np.random.default_rng(7)
+    centres = x[random.permutation(len(x))[: max(1, min(MOST_CELLS, len(x) // 8, max(CELLS, -(-n // SHARD))))]]
+    for _ in range(ROUNDS):
+        total = np.zeros_like(centres)
+        for i in range(0, len(x), 2048):
+            np.add.at(total, (x[i : i + 2048] @ centres.T).argmax(axis=1), x[i : i + 2048])
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        centres = np.where(length > 1e-9, total / np.maximum(length, 1e-9), centres)
+    least = []
+    for sort in probes(x, 2048, random):
+        (home, gap), (other, back) = (gaps(side, centres) for side in sort)
+        rows = np.arange(len(home))
+        least.append(np.quantile(np.minimum(gap[rows, other], back[rows, home]), ROUTED, method="higher"))
+    return centres, float(min(max(least), np.sqrt(2 - 2 * COSINE))) + 1e-9
+
+
+def fit_cells(key, table):
+    centres, gap = fitted_cells(unit(vectors_of(table.sort_by("node")["packed"])), table["n"][0].as_py())
+    return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "centres": pa.array([centres.tobytes()], pa.binary()), "gap": pa.array([gap], pa.float64())})
+
+
+def routed(nodes: DataFrame) -> DataFrame:
+    """``cell`` of each vector, and ``others``: the other cells that it is searched in."""
+    sizes = nodes.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") >= DEALT)
+    most = F.greatest(F.lit(1), F.least(F.lit(SAMPLE), F.floor(F.lit(SAMPLE_BYTES) / (8 * F.col("dim")))))
+    sample = nodes.join(F.broadcast(sizes), "dim").where(F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / most)) == 0)
+    fits = sample.select("dim", "n", "node", "packed").groupBy("dim").applyInArrow(fit_cells, "dim int, centres binary, gap double")
+    cells = nodes.sparkSession.sparkContext.broadcast({r.dim: (np.frombuffer(r.centres).reshape(-1, r.dim), r.gap) for r in fits.toLocalIterator()})  # as large as the cells, whatever the vectors
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1024):
+                b = whole.slice(i, 1024)
+                dim, cell, others = b["dim"].to_numpy(), np.zeros(b.num_rows, np.int32), [[]] * b.num_rows
+                for d in np.unique(dim):
+                    if d in cells.value:
+                        rows, (centres, gap) = np.flatnonzero(dim == d), cells.value[d]
+                        home, away = gaps(unit(vectors_of(b["packed"].take(pa.array(rows)))), centres)
+                        away[np.arange(len(rows)), home] = np.inf
+                        cell[rows] = home
+                        for row, x in zip(rows, away <= gap, strict=True):
+                            others[row] = np.flatnonzero(x).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(b[k] for k in ("node", "times", "packed", "dim")), pa.array(cell), pa.array(others, pa.list_(pa.int32()))], ["node", "times", "packed", "dim", "cell", "others"])
+
+    return nodes.mapInArrow(run, "node long, times long, packed binary, dim int, cell int, others array<int>")
+
+
+OWN = ("nodes", "times", "n_links", "group", "others")
+
+
 def shard_graph(key, table):
     """Builds a shard's graph, links its vectors among themselves and returns the graph in pieces."""
     table = table.sort_by("node")
     nodes, times = table["node"].to_numpy(), table["times"].to_numpy()
     graph = Graph(unit(vectors_of(table["packed"])))
-    nodes, times = nodes[graph.order], times[graph.order]
+    own = {"nodes": nodes[graph.order], "times": times[graph.order], "others": table["others"].take(pa.array(graph.order))}
     q, node = graph.matches(graph.exact, np.arange(len(nodes)))
     label = local_labels(len(nodes), q, node)
-    n_links = np.bincount(q, weights=times[node], minlength=len(nodes)).astype(np.int64)
+    own["n_links"] = np.bincount(q, weights=own["times"][node], minlength=len(nodes)).astype(np.int64)
     least = np.full(len(nodes), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, nodes)
+    np.minimum.at(least, label, own["nodes"])
+    own["group"], own["others"] = least[label], np.array([*map(tuple, own["others"].to_pylist()), None], object)[:-1]
     rows = range(0, max(1, len(nodes)), 4096)
-    pieces = [pickle.dumps({"exact": graph.exact[i : i + 4096], "links": [x[i : i + 4096] for x in graph.links], "sizes": graph.sizes, "beam": graph.beam, "recall": np.full(len(nodes[i : i + 4096]), graph.audited), "nodes": nodes[i : i + 4096], "times": times[i : i + 4096], "n_links": n_links[i : i + 4096], "group": least[label][i : i + 4096]}, protocol=5) for i in rows]
-    return pa.table({"dim": pa.array([key[0].as_py()] * len(pieces), pa.int32()), "shard": pa.array([key[1].as_py()] * len(pieces), pa.int32()), "piece": pa.array(list(range(len(pieces))), pa.int32()), "graph": pa.array(pieces, pa.binary())})
+    pieces = [pickle.dumps({"exact": graph.exact[i : i + 4096], "links": [x[i : i + 4096] for x in graph.links], "sizes": graph.sizes, "beam": graph.beam, "recall": np.full(len(nodes[i : i + 4096]), graph.audited), **{k: own[k][i : i + 4096] for k in OWN}}, protocol=5) for i in rows]
+    names = {k: pa.array([x.as_py()] * len(pieces), pa.int32()) for k, x in zip(("dim", "cell", "sub"), key, strict=True)}
+    return pa.table({**names, "piece": pa.array(list(range(len(pieces))), pa.int32()), "graph": pa.array(pieces, pa.binary())})
 
 
 def graph_of(table) -> tuple[Graph, dict]:
@@ -257,24 +342,32 @@ def graph_of(table) -> tuple[Graph, dict]:
     graph.exact = np.concatenate([p["exact"] for p in pieces])
     graph.x, graph.sizes, graph.beam = graph.exact.astype(np.float32), pieces[0]["sizes"], pieces[0]["beam"]
     graph.links = [np.concatenate([p["links"][k] for p in pieces]) for k in range(len(graph.sizes))]
-    return graph, {k: np.concatenate([p[k] for p in pieces]) for k in ("nodes", "times", "n_links", "group")}
+    return graph, {k: np.concatenate([p[k] for p in pieces]) for k in OWN}
 
 
 FOUND = "node long, n_links long, a long, b long"
 
 
-def search_shard(left, right):
-    """Searches a part of the vectors in a shard: links counted for each, and links between groups, each once."""
+def search_shard(key, left, right):
+    """Searches a part of the vectors in a shard: links counted for each, and links between groups, each once.
+
+    A vector found counts the link as well, unless it is searched in the other's cell and so finds the link itself.
+    """
     kind = pa.schema([(x, pa.int64()) for x in ("node", "n_links", "a", "b")])
     if not left.num_rows or not right.num_rows:
         return kind.empty_table()
     graph, own = graph_of(left)
-    q, node = graph.matches(unit(vectors_of(right["packed"])))
+    q, node = graph.matches(unit(vectors_of(right["packed"])), probed=False)
     n_links = np.bincount(q, weights=own["times"][node], minlength=right.num_rows).astype(np.int64)
+    home, cell = right["home"].to_numpy(), key[1].as_py()
+    searched = np.repeat(np.arange(len(own["others"])), list(map(len, own["others"]))) * MOST_CELLS + np.fromiter(chain.from_iterable(own["others"]), np.int64)
+    back = (home[q] != cell) & ~np.isin(node * MOST_CELLS + home[q], searched)
+    n_back = np.bincount(node[back], weights=right["times"].to_numpy()[q[back]], minlength=len(own["nodes"])).astype(np.int64)
     pairs = np.unique(np.stack([right["group"].to_numpy()[q], own["group"][node]], axis=1), axis=0) if len(q) else np.zeros((0, 2), np.int64)
-    some = n_links > 0
-    blank = [None] * int(some.sum())
-    return pa.table({"node": pa.array([*right["node"].to_numpy()[some], *[None] * len(pairs)], pa.int64()), "n_links": pa.array([*n_links[some], *[None] * len(pairs)], pa.int64()), "a": pa.array([*blank, *pairs[:, 0]], pa.int64()), "b": pa.array([*blank, *pairs[:, 1]], pa.int64())})
+    some, more = n_links > 0, n_back > 0
+    names, counts = np.append(right["node"].to_numpy()[some], own["nodes"][more]), np.append(n_links[some], n_back[more])
+    blank = [None] * len(names)
+    return pa.table({"node": pa.array([*names, *[None] * len(pairs)], pa.int64()), "n_links": pa.array([*counts, *[None] * len(pairs)], pa.int64()), "a": pa.array([*blank, *pairs[:, 0]], pa.int64()), "b": pa.array([*blank, *pairs[:, 1]], pa.int64())})
 
 
 def packed(vector):
@@ -294,7 +387,8 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     A vector that is null, empty, zero or holds a null or non-finite component has no links and is its own component, as has a
     row with a null identifier (component and ``kept`` null). Equal vectors meet as one node that counts as often as it
-    occurs. Vectors of different lengths don't link. The shards' number follows the number of distinct vectors.
+    occurs. Vectors of different lengths don't link. Cells are fitted on a bounded sample, and their number follows the number
+    of distinct vectors, of which every one is in a cell's graph.
     """
     cast = F.col(f"`{vector_col}`").cast("array<double>")
     rows = vectors.select(F.col(f"`{id_col}`").alias("vec_id"), cast.alias("vector"))
@@ -303,10 +397,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ids = checkpointed(rows.select("vec_id", F.when(fit, F.xxhash64("vector")).alias("node"), F.when(fit, F.col("vector")).alias("vector")))
     distinct = ids.where("node is not null").groupBy("node").agg(F.count("*").alias("times"), F.min("vec_id").alias("least"), F.first("vector").alias("vector"))
     distinct = checkpointed(distinct)
-    n = distinct.count()
-    n_shards, n_parts = max(SHARDS, -(-n // SHARD)), max(1, -(-n // PART))
-    nodes = packed(distinct.select("node", "times", "vector")).withColumn("dim", (F.length("packed") / 8).cast("int")).withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(n_shards)).cast("int"))
-    graphs = checkpointed(nodes.groupBy("dim", "shard").applyInArrow(shard_graph, "dim int, shard int, piece int, graph binary"))
+    nodes = checkpointed(routed(packed(distinct.select("node", "times", "vector")).withColumn("dim", (F.length("packed") / 8).cast("int"))))
+    cells = nodes.groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD).alias("subs"))
+    nodes = nodes.join(F.broadcast(cells), ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
+    graphs = checkpointed(nodes.groupBy("dim", "cell", "sub").applyInArrow(shard_graph, "dim int, cell int, sub int, piece int, graph binary"))
 
     def members(batches):
         for b in batches:
@@ -315,10 +409,13 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 yield pa.RecordBatch.from_arrays([*(pa.array(p[k], pa.int64()) for k in ("nodes", "n_links", "group")), pa.array(p["recall"], pa.float64())], ["node", "n_links", "group", "recall"])
 
     own = checkpointed(graphs.select("graph").mapInArrow(members, "node long, n_links long, group long, recall double"))
-    part = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(n_parts)).cast("int")
-    asked = nodes.join(own.select("node", "group"), "node").select("dim", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n_shards - 1)), F.array("shard"))).alias("shard"), part.alias("part"), "node", "group", "packed")
-    shards = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    found = checkpointed(shards.groupBy("dim", "shard", "part").cogroup(asked.groupBy("dim", "shard", "part")).applyInArrow(search_shard, FOUND))
+    targets = nodes.select("dim", F.col("cell").alias("home"), F.col("sub").alias("own_sub"), "node", "times", "packed", F.explode(F.array_append("others", F.col("cell"))).alias("cell"))
+    targets = targets.join(F.broadcast(cells), ["dim", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs").cast("int") - 1))).where("cell != home or sub != own_sub")
+    parts = targets.groupBy("dim", "cell", "sub").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    asked = targets.join(own.select("node", "group"), "node").join(F.broadcast(parts), ["dim", "cell", "sub"]).select("dim", "cell", "sub", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int").alias("part"), "node", "times", "home", "group", "packed")
+    shards = graphs.join(F.broadcast(parts), ["dim", "cell", "sub"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))).drop("parts")
+    shard = ("dim", "cell", "sub", "part")
+    found = checkpointed(shards.groupBy(*shard).cogroup(asked.groupBy(*shard)).applyInArrow(search_shard, FOUND))
     groups = connected_components(found.where("a is not null").select("a", "b")).toDF("group", "root")
     counts = own.select("node", "n_links").union(found.where("node is not null").select("node", "n_links")).groupBy("node").agg(F.sum("n_links").alias("n_links"))
     table = distinct.select("node", "times", "least").join(counts, "node").join(own.select("node", "group", "recall"), "node").join(groups, "group", "left").withColumn("root", F.coalesce("root", "group"))

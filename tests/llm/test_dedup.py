@@ -231,3 +231,27 @@ def test_graph_search_finds_near_vectors():
     q, node = graph.matches(graph.exact, np.arange(len(x)))
     told = (graph.exact @ graph.exact.T >= hnsw.COSINE).sum() - len(x)
     assert len(q) >= 0.99 * told
+
+
+def test_vectors_are_searched_in_the_cells_of_their_links_only(spark, monkeypatch):
+    """With many cells most are left out, and hardly any pair at the limit lies in one; with cells of several shards links are the same."""
+    random = np.random.default_rng(22)
+    x = hnsw.unit(random.normal(size=(6000, 24)))
+    x[3000:] = hnsw.at_limit(x[:3000], random.normal(size=(3000, 24)))
+    x[3000:] = hnsw.unit(0.95 * x[3000:] + 0.05 * x[:3000])
+    monkeypatch.setattr(hnsw, "CELLS", 60)
+    centres, gap = hnsw.fitted_cells(x[::2], len(x))
+    home, away = hnsw.gaps(x, centres)
+    rows, met = np.arange(3000), away <= gap
+    assert len(centres) == 60 and met.mean() < 0.5
+    assert (met[rows, home[3000:]] | met[rows + 3000, home[:3000]]).mean() >= 0.995
+    near = x @ x.T >= hnsw.COSINE
+    told = (near.sum(axis=1) - 1).tolist()
+    group = groups_of(range(len(x)), [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for shard in (hnsw.SHARD, 700):
+        monkeypatch.setattr(hnsw, "SHARD", shard)
+        monkeypatch.setattr(hnsw, "CELLS", 6)
+        found = sorted(hnsw.embedding_groups(table).collect())
+        assert sum(r.n_links for r in found) >= 0.995 * sum(told) and all(r.n_links <= told[r.vec_id] for r in found)
+        assert sum(r.component_id == group[r.vec_id] for r in found) >= 0.99 * len(found)
