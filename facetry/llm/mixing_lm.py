@@ -116,32 +116,28 @@ def sites_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     width = max(ORDERS)
     lead, tail = bytes([END]) * width, bytes([END])
     joined = [b" ".join(words) for words in texts]
-    raw = b"".join(x for t in joined for x in (lead, t, tail))
-    buffer = np.frombuffer(raw, np.uint8)
+    raw = b"".join([*(x for t in joined for x in (lead, t, tail)), bytes(7 - width)])
+    buffer = np.frombuffer(raw, np.uint8, len(raw) - 7 + width)
     size = np.array([len(t) + 1 for t in joined], np.int64)
     starts = np.cumsum(size + width) - size - width  # of what stands before each text
-    own = np.ones(len(raw), bool)
+    own = np.ones(len(buffer), bool)
     own[starts[:, None] + np.arange(width)] = False
-    at = np.flatnonzero(own)
-    here = np.take(buffer, at)
-    four = np.ndarray(len(raw) - width + 1, ">u4", raw, 0, (1,)).astype(np.uint64)  # the four bytes from each place on
-    key = np.take(four, at - width)
-    key <<= np.uint64(8)
-    key |= here
+    own, here = own[width:], buffer[width:]
+    key = np.ndarray(len(here), ">u8", raw, 0, (1,)).astype(np.uint64)  # the eight bytes from each place on
+    key >>= np.uint64(56 - 8 * width)
     bounds = np.flatnonzero(np.take(_APART, buffer))
     length = np.diff(np.append(bounds, len(buffer)))
-    last = np.repeat(bounds, length)  # what came before the word; a text starts with a bound
     power = np.cumprod(np.full(int(length.max(initial=0)) + 1, _STEP))
     value = np.take(_LETTER, buffer)
-    value *= np.take(power, np.arange(len(buffer)) - last)
-    total = np.cumsum(value, dtype=np.uint64)
+    value *= np.take(power, np.arange(len(buffer)) - np.repeat(bounds, length))  # by what came before the word; a text starts with a bound
+    total = np.cumsum(value, dtype=np.uint64, out=value)
     total -= np.repeat(total[bounds], length)
-    word = np.take(total, at - 1)
+    word = total[width - 1 : -1]
     word *= _MIX
     word >>= np.uint64(32)
     word <<= np.uint64(8)
     word |= here
-    return key, word, size
+    return key[own], word[own], size
 
 
 def distinct_sites(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -327,29 +323,38 @@ def opened(packed: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i8")
 
 
-#: For each half of a byte, the numbers of its four bits' places after those before.
-_PATH = np.array([[1 << j | half >> (4 - j) for j in range(4)] for half in range(16)], np.uint64)
+def counts_of(hashes: np.ndarray, found: list[dict], fan: int) -> np.ndarray:
+    """The counts of a block's words from their cells' replies."""
+    counts, cell = np.zeros(len(hashes), np.int64), cell_of(hashes, fan).astype(np.uint8)
+    order, ends = np.argsort(cell, kind="stable"), np.cumsum(np.bincount(cell, minlength=fan))
+    for r in found:
+        own = opened(r["counts"])
+        counts[order[ends[r["cell"]] - len(own) : ends[r["cell"]]]] = own
+    return counts
+
+
+#: For each byte, the numbers of its bits' places after those before, of the first four and of the last four.
+_PATH = np.array([[1 << j | half >> (4 - j) for half in (byte >> 4, byte & 15) for j in range(4)] for byte in range(256)])
 
 
 def paths_of(sites: np.ndarray) -> np.ndarray:
     """For each site the places of the eight bits of its last byte within a context's slots, which lie together for four bits each."""
-    low = (sites & np.uint64(255)).astype(np.int64)
-    return np.concatenate([_PATH[low >> 4], _PATH[low & 15]], axis=1)
+    return np.take(_PATH, (sites & np.uint64(255)).view(np.int64), axis=0)
 
 
 def nodes_of(sites: np.ndarray, order: int, paths: np.ndarray | None = None) -> np.ndarray:
     """For each site the slots of the eight bits of its last byte, after the ``ORDERS[order]`` bytes before or the word so far."""
     length, paths = ORDERS[order], paths_of(sites) if paths is None else paths
-    context = (sites >> np.uint64(8)) & np.uint64((1 << 8 * (length or 7)) - 1)
+    context = sites & np.uint64((1 << 8 * (length or 7)) - 1 << 8)
     base = np.empty((len(sites), 2), np.uint64)
-    base[:, 0], base[:, 1] = context << np.uint64(8), context << np.uint64(8) | np.uint64(16) | (sites >> np.uint64(4) & np.uint64(15))
+    base[:, 0], base[:, 1] = context, context | np.uint64(16) | (sites >> np.uint64(4) & np.uint64(15))
     base *= _MIX
     base ^= base >> np.uint64(29)
     base *= _MIX
     base >>= np.uint64(64 - SLOT_BITS[order])
-    out = paths.reshape(-1, 2, 4) + base[:, :, None]
-    out &= np.uint64((1 << SLOT_BITS[order]) - 1)
-    return out.reshape(-1, 8).view(np.int64)
+    out = paths.reshape(-1, 2, 4) + base.view(np.int64)[:, :, None]
+    out &= (1 << SLOT_BITS[order]) - 1
+    return out.reshape(-1, 8)
 
 
 def bits_of(keys: np.ndarray) -> np.ndarray:
@@ -372,6 +377,10 @@ def readings() -> np.ndarray:
     return ((odds.view(np.int32) & ~7) | seen.astype(np.int32)).view(np.float32).ravel()
 
 
+#: The weight set for each way the predictors' contexts may have been seen, three bits each.
+_SETS = np.max([np.where(t > 0, t + (order + 1) * SEEN - 1, 0) for order in range(len(ORDERS)) for t in (np.arange(8 ** len(ORDERS)) >> 3 * order & 7,)], axis=0)
+
+
 def predictor_tables(sites: DataFrame, n_rows: int, fan: int) -> list[np.ndarray]:
     """For each order the zeros and ones seen in each slot, as levels: fixed sizes, whatever the corpus."""
 
@@ -457,19 +466,24 @@ class ContextMixing:
         """The predictors' odds of a one, a row for each, and the weight set, for each of eight bits; ``without``: the bits, each left out once of what was counted."""
         odds, paths = np.empty((len(ORDERS) + 1, len(keys), 8), np.float32), paths_of(keys)
         odds[-1] = 0.3
-        gate = np.zeros((len(keys), 8), np.int32)
-        more = None if without is None else (without.astype(np.int32) + 1) << 16
-        for order, table in enumerate(self.tables):
-            slot = np.take(table, nodes_of(keys if ORDERS[order] else words, order, paths))
-            np.take(self.odds, slot if more is None else slot + more, out=odds[order])
-            times = odds[order].view(np.int32) & 7
-            np.copyto(gate, times + ((order + 1) * SEEN - 1), where=times > 0)
-        return odds, gate
+        times = np.zeros((len(keys), 8), np.int32)  # three bits for each predictor
+        more = None if without is None else (without.astype(np.int64) + 1) << 16
+        for order, table in enumerate(self.tables):  # all numbers are in range, and clipping saves a copy of what is taken
+            slot = np.take(table, nodes_of(keys if ORDERS[order] else words, order, paths), mode="clip").astype(np.int64)
+            if more is not None:
+                slot += more
+            np.take(self.odds, slot, out=odds[order], mode="clip")
+            own = odds[order].view(np.int32) & 7
+            own <<= 3 * order
+            times += own
+        return odds, np.take(_SETS, times, mode="clip")
 
     def mix(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        out = np.zeros(gate.shape, np.float32)
+        out, weighted, set_ = np.zeros(gate.shape, np.float32), np.empty(gate.shape, np.float32), gate.astype(np.int64, copy=False)
         for k in range(len(odds)):
-            out += odds[k] * np.take(np.ascontiguousarray(self.weights[:, k]), gate)
+            np.take(np.ascontiguousarray(self.weights[:, k]), set_, out=weighted, mode="clip")
+            weighted *= odds[k]
+            out += weighted
         return np.clip(out, -CLIP * 1.5, CLIP * 1.5, out=out)
 
     def refined_logs(self) -> np.ndarray:
@@ -488,8 +502,17 @@ class ContextMixing:
             rows = order[i : i + 2 * FEW]
             few = keys[rows]
             odds, gate = self.inputs(few, words[rows])
-            step = ((self.mix(odds, gate) + np.float32(1.5 * CLIP)) * np.float32(STEPS / (3 * CLIP))).astype(np.int32)
-            out[rows] = np.take(logs, ((gate // SEEN << 1) + bits_of(few)) * STEPS + np.minimum(step, STEPS - 1)).sum(axis=1)
+            mixed = self.mix(odds, gate)
+            mixed += np.float32(1.5 * CLIP)
+            mixed *= np.float32(STEPS / (3 * CLIP))
+            step = mixed.astype(np.int64)
+            np.minimum(step, STEPS - 1, out=step)
+            gate //= SEEN
+            gate <<= 1
+            gate += bits_of(few)
+            gate *= STEPS
+            step += gate
+            out[rows] = np.take(logs, step, mode="clip").sum(axis=1)
         return out
 
 
@@ -515,8 +538,8 @@ def learn_online(blocked: DataFrame, tables) -> ContextMixing:
             odds, gate = own.inputs(keys, words, bit)
             mixed = own.mix(odds, gate)
             cell = np.clip(np.rint((mixed + CLIP) * ((CELLS - 1) / (2 * CLIP))), 0, CELLS - 1).astype(np.int64)
-            set_, weight = gate.ravel().astype(np.int64), np.repeat(n.astype(float), 8)
-            at = (bit * cells[0].size + gate // SEEN * np.int64(CELLS) + cell).ravel()
+            set_, weight = gate.ravel(), np.repeat(n.astype(float), 8)
+            at = (bit * np.int64(cells[0].size) + gate // SEEN * CELLS + cell).ravel()
             cells[:] += np.bincount(at, weights=weight, minlength=cells.size).reshape(cells.shape)
             off = (bit - logistic(mixed)) * n[:, None].astype(np.float32)
             grad = np.stack([np.bincount(set_, weights=(off * o).ravel(), minlength=n_sets) for o in odds], axis=1)
@@ -571,9 +594,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")}
             for row in batch.to_pylist():
                 ids, hashes, texts = block_words(row)
-                counts, cell = np.zeros(len(hashes), np.int64), cell_of(hashes, fan)
-                for r in row["found"]:
-                    counts[cell == r["cell"]] = opened(r["counts"])
+                counts = counts_of(hashes, row["found"], fan)
                 word = np.log10((counts + 0.5) / (n_train + 0.5 * (distinct + 1)))
                 keys, words, _, slices_ = block_sites(texts)
                 logs = model.log10(keys, words)

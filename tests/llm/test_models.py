@@ -210,3 +210,20 @@ def test_sites_and_their_first_places():
     assert list(zip(some.tolist(), own.tolist(), strict=True)) == list(seen) and back.tolist() == [seen[p] for p in zip(keys.tolist(), words.tolist(), strict=True)] and n.sum() == len(keys)
     model = m.ContextMixing.new([np.random.default_rng(1).integers(0, 1 << 16, 1 << b).astype(np.uint16) for b in m.SLOT_BITS])
     assert np.array_equal(model.log10(some, own)[back], model.log10(keys, words))
+
+
+def test_counts_come_back_to_each_word():
+    """Replies hold counts of a cell's words in their order, and cells without words have none."""
+    hashes = np.random.default_rng(14).integers(1 << 63, size=2000, dtype=np.uint64)
+    for fan in (4, 256):
+        found = [mixing_lm.replies(0, cell, own, [1], [np.arange(len(own))]) for cell, _, own in mixing_lm.dealt(hashes, np.arange(2000), fan)]
+        rows = [{"cell": r["cell"][0], "counts": r["counts"][0]} for r in found]
+        assert mixing_lm.counts_of(hashes, rows[::-1], fan).tolist() == list(range(2000))
+    assert mixing_lm.counts_of(hashes[:0], [], 4).tolist() == []
+
+
+def test_weight_sets_tell_the_longest_context_seen():
+    n = len(mixing_lm.ORDERS)
+    for times in ([0] * n, [4, 0, 0, 0, 0], [1, 2, 3, 0, 0], [4, 4, 4, 4, 1], [0, 0, 0, 0, 4], [3, 0, 2, 0, 0]):
+        told = max(((k + 1) * mixing_lm.SEEN + t - 1 for k, t in enumerate(times) if t), default=0)
+        assert mixing_lm._SETS[sum(t << 3 * k for k, t in enumerate(times))] == told
