@@ -255,3 +255,17 @@ def test_vectors_are_searched_in_the_cells_of_their_links_only(spark, monkeypatc
         found = sorted(hnsw.embedding_groups(table).collect())
         assert sum(r.n_links for r in found) >= 0.995 * sum(told) and all(r.n_links <= told[r.vec_id] for r in found)
         assert sum(r.component_id == group[r.vec_id] for r in found) >= 0.99 * len(found)
+
+
+def test_spans_of_many_grams_are_sorted_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    spans = [str(i).encode() * 120 + b"x" * 10 * (i % 7) for i in range(1000, 7000) for _ in range(2)]
+    rows = {"h": [i // 2 for i in range(len(spans))], "k1": list(range(len(spans))), "k2": [0] * len(spans), "lo": [5] * len(spans), "span": spans}
+    table, sizes, real = pa.table(rows), [], suffixes.repeated_windows
+    monkeypatch.setattr(suffixes, "repeated_windows", lambda spans, *more: sizes.append(sum(map(len, spans))) or real(spans, *more))
+    found = [r for out in suffixes.sort_spans(True, 400)(iter(table.to_batches(max_chunksize=10_000))) for r in out.to_pylist()]
+    assert sum(sizes) == sum(map(len, spans)) and max(sizes) <= 1.25 * suffixes.SORT
+    whole = {r["k1"]: (r["s"], r["e"]) for r in found}
+    assert all(whole[k] == (5, 5 + len(spans[k])) for k in range(1, len(spans), 2))
+    assert list(suffixes.sort_spans(True, 400)(iter([table.to_batches()[0].slice(0, 0)]))) == []
